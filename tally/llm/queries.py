@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this package that holds query() and perhaps ORACLE_SQL
 MODULES = {
+    "op7_quality": "quality",
+    "op8_suffixes": "suffixes",
     "op10_simhash": "simhash",
 }
 
