@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this package that holds query() and perhaps ORACLE_SQL
 MODULES = {
     "op5_mixing": "mixing",
+    "op6_substrings": "substrings",
     "op7_quality": "quality",
     "op8_suffixes": "suffixes",
     "op9_sharding": "sharding",
