@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this package that holds query() and perhaps ORACLE_SQL
 MODULES = {
+    "op1_lines": "lines",
+    "op2_urls": "urls",
+    "op3_chat": "chat",
+    "op4_languages": "languages",
     "op5_mixing": "mixing",
     "op6_substrings": "substrings",
     "op7_quality": "quality",
