@@ -18,7 +18,7 @@ WINDOW = 35
 #: Words of the grams whose smallest hash in a window says to which shard it goes.
 GRAM = 8
 #: Distinct segments of one shard's index, about.
-SHARD_SEGMENTS = 16_000
+SHARD_SEGMENTS = 4_000
 #: Distinct segments of one gram from which its windows are dealt out one by one.
 HOT_SEGMENTS = 2_000
 
@@ -162,6 +162,11 @@ def repeated_windows(text: np.ndarray, begin: np.ndarray, size: np.ndarray, weig
 
 def _search_shard(window: int):
     def task(table: pa.Table) -> pa.Table:
+        # a row of the documents that repeats brings its segments again
+        key, content = (table.column(c).to_numpy() for c in ("key", "content"))
+        order = np.lexsort((content, key))
+        key, content = key[order], content[order]
+        table = table.take(pa.array(order[np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])]))
         data, offsets = text_bytes(table.column("words"))
         start, stop, first = word_spans(data, offsets)
         words, n = word_hashes(data, start, stop), table.num_rows
@@ -238,9 +243,9 @@ def _kept_words(window: int):
     return task
 
 
-def _masks(segments: DataFrame, window: int) -> DataFrame:
-    """(key, content, mask) of segments (key, content, n, words), one index a shard."""
-    shards = 1 + segments.count() // SHARD_SEGMENTS
+def _masks(segments: DataFrame, count: int, window: int) -> DataFrame:
+    """(key, content, mask) of so many segments (key, content, n, words), one index a shard."""
+    shards = 1 + count // SHARD_SEGMENTS
     sharded = segments.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "content", "n", "words")
     return sharded.groupBy("shard").applyInArrow(_search_shard(window), "key long, content long, mask long")
 
@@ -264,13 +269,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     wanted = distinct.join(hot, "key", "left").select("at.doc_id", "at.text_hash", F.struct("key", "content", "n", "at.begin", "at.windows", F.coalesce("hot", F.lit(False)).alias("hot")).alias("segment"))
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("segment").alias("segments")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & rows["text_hash"].eqNullSafe(wanted["__text"])).select("text", "segments")
-    contents = settled(texts.mapInArrow(_contents(window), "key long, content long, n long, words string, hashes array<long>").dropDuplicates(["key", "content"]))
-    masks = _masks(contents.where("hashes IS NULL"), window)
-    if not hot.isEmpty():
-        single = settled(contents.where("hashes IS NOT NULL").select("key", "content", "n", "words", F.posexplode("hashes").alias("j", "hash")))
+    contents = texts.mapInArrow(_contents(window), "key long, content long, n long, words string, hashes array<long>")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        contents = settled(contents)
+    masks = _masks(contents.where("hashes IS NULL"), distinct.count(), window)
+    if any_hot:
+        single = settled(contents.where("hashes IS NOT NULL").dropDuplicates(["key", "content"]).select("key", "content", "n", "words", F.posexplode("hashes").alias("j", "hash")))
         weights = single.groupBy("hash").agg(F.sum("n").alias("n"), F.min_by(F.struct("words", "j"), F.struct("key", "content")).alias("at")).where("n > 1")
-        cut = weights.select(F.col("hash").alias("key"), F.lit(0).cast("long").alias("content"), "n", F.array_join(F.slice(F.split("at.words", " "), F.col("at.j") + 1, F.lit(window)), " ").alias("words"))
-        sure = _masks(settled(cut), window).where("mask > 0").select(F.col("key").alias("hash"))
+        cut = settled(weights.select(F.col("hash").alias("key"), F.lit(0).cast("long").alias("content"), "n", F.array_join(F.slice(F.split("at.words", " "), F.col("at.j") + 1, F.lit(window)), " ").alias("words")))
+        sure = _masks(cut, cut.count(), window).where("mask > 0").select(F.col("key").alias("hash"))
         masks = masks.unionByName(single.join(sure, "hash", "left_semi").groupBy("key", "content").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask")))
     masks = settled(masks.where("mask <> 0"))
     return found.join(masks, ["key", "content"]).select("doc_id", "text_hash", "begin", "mask")
