@@ -77,7 +77,7 @@ def weekday_profile(view: DataFrame, first_week: dt.date, weeks: int = 8) -> Dat
     spent = view.where(P.is_expense() & F.col("local_day").between(F.lit(first_week), F.lit(last))).groupBy(periods.day_of_week("local_day").alias("dow")).agg(F.sum("amount").alias("total"))
     days = view.sparkSession.range(7).select(F.col("id").cast("int").alias("dow"))
     total = F.coalesce("total", F.lit(0)).cast("double")
-    return days.join(spent, "dow", "left").select(F.col("dow").cast("long"), total.alias("total"), F.round(total / weeks, 4).alias("average"))
+    return days.join(spent, "dow", "left").select(F.col("dow").cast("long"), total.alias("total"), (total / weeks).alias("average"))
 
 
 def net_to_savings(view: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def week_over_week(view: DataFrame, week: dt.date, top: int = 6) -> DataFrame:
     spent = view.where(P.is_expense() & F.col("week_start").between(back(4), back(0)))
     rows = spent.groupBy("category_id").agg(at(0).alias("current"), at(1).alias("previous"), (F.coalesce(F.sum(F.when(F.col("week_start") < back(0), F.col("amount"))), F.lit(0)).cast("double") / 4).alias("four_week_average"))
     rows = rows.where("current > 0 OR previous > 0").withColumn("delta", F.round(F.col("current") - F.col("previous"), 2))
-    return rows.orderBy(F.abs("delta").desc(), F.col("category_id").asc_nulls_last()).limit(top).select("category_id", "current", "previous", F.round("four_week_average", 4).alias("four_week_average"), "delta")
+    return rows.orderBy(F.abs("delta").desc(), F.col("category_id").asc_nulls_last()).limit(top).select("category_id", "current", "previous", "four_week_average", "delta")
 
 
 def top_categories(totals: DataFrame, keep: int = 5) -> DataFrame:

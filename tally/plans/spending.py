@@ -173,7 +173,7 @@ def income_sources(spark, d):
 _WEEKS_FROM = WEEK - dt.timedelta(days=49)
 
 
-@query("weekday_profile", f"WITH {S.VIEW}, s AS (SELECT extract(dow FROM local_day)::BIGINT AS dow, sum(amount)::DOUBLE AS total FROM v WHERE {EXPENSE} AND local_day BETWEEN DATE '{_WEEKS_FROM}' AND DATE '{WEEK}' + 6 GROUP BY 1) SELECT r.dow, coalesce(total, 0)::DOUBLE AS total, round(coalesce(total, 0)::DOUBLE / 8, 4) AS average FROM range(7) r(dow) LEFT JOIN s USING (dow)")
+@query("weekday_profile", f"WITH {S.VIEW}, s AS (SELECT extract(dow FROM local_day)::BIGINT AS dow, sum(amount)::DOUBLE AS total FROM v WHERE {EXPENSE} AND local_day BETWEEN DATE '{_WEEKS_FROM}' AND DATE '{WEEK}' + 6 GROUP BY 1) SELECT r.dow, coalesce(total, 0)::DOUBLE AS total, coalesce(total, 0)::DOUBLE / 8 AS average FROM range(7) r(dow) LEFT JOIN s USING (dow)")
 def weekday_profile(spark, d):
     return metrics.weekday_profile(canonical(spark, d), _WEEKS_FROM)
 
@@ -192,7 +192,7 @@ def rolling_four_bucket_mean(spark, d):
 @query(
     "week_over_week",
     f"""WITH {S.VIEW}, s AS (SELECT category_id, coalesce(sum(amount) FILTER (week_start = DATE '{WEEK}'), 0)::DOUBLE AS current, coalesce(sum(amount) FILTER (week_start = DATE '{WEEK}' - 7), 0)::DOUBLE AS previous, coalesce(sum(amount) FILTER (week_start < DATE '{WEEK}'), 0)::DOUBLE / 4 AS a FROM v WHERE {EXPENSE} AND week_start BETWEEN DATE '{WEEK}' - 28 AND DATE '{WEEK}' GROUP BY 1)
-SELECT category_id, current, previous, round(a, 4) AS four_week_average, round(current - previous, 2) AS delta FROM s WHERE current > 0 OR previous > 0 ORDER BY abs(round(current - previous, 2)) DESC, category_id NULLS LAST LIMIT 6""",
+SELECT category_id, current, previous, a AS four_week_average, round(current - previous, 2) AS delta FROM s WHERE current > 0 OR previous > 0 ORDER BY abs(round(current - previous, 2)) DESC, category_id NULLS LAST LIMIT 6""",
 )
 def week_over_week(spark, d):
     return metrics.week_over_week(canonical(spark, d), WEEK)
