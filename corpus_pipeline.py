@@ -20,8 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of near-duplicates stays: five-word shingles, a similarity of about 0.8 or more.
+
+    At a Jaccard similarity of 0.8 two texts' shingles have a cosine of 0.89, which sets 15 % of the fingerprint's
+    512 bits apart, 78 on average; the radius is one standard deviation more.
+    """
+    return simhash.drop_near_duplicates(docs, shingle=5, words=8, radius=86)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
