@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tally.plans import accounts, ledger, planning, registry, saving, spending  # noqa: F401  the modules register their queries
+from tally.plans import accounts, ledger, messages, planning, registry, saving, spending  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
