@@ -43,7 +43,7 @@ class Form:
             if name:
                 names.append(name)
                 out.append(f"({SHAPES.get(name, '.+?')})")
-        return "(?md)^" + "".join(out) + ("$" if self.date else ""), names
+        return "(?md)^" + "".join(out) + ("$" if self.text.endswith("}") else ""), names
 
 
 # The banks' wordings, after normalisation.
@@ -56,7 +56,7 @@ FORMS = (
     Form("AR-04", RAJHI, "purchase", "debit", DMY, "شراء انترنت\nبطاقة: {card} ;{scheme}\nمبلغ: {original} {currency} ({converted} SAR)\nلدي: {merchant}\nرسوم وضريبة: {fee} SAR\nسعر الصرف~ {rate}\nاجمالي المبلغ المستحق: {amount} SAR\nدولة: {country}\nرصيد: {balance} SAR\n{date}"),
     Form("AR-05", RAJHI, "card_payment", "credit", DMY, "بطاقة فيزا:سداد بSAR {amount}\nعبر{card};فيزا\nرصيد: {balance} SAR\n{date}"),
     Form("AR-06", RAJHI, "cashback_accrual", "credit", None, "بطاقة ايتمانية استرجاع نقدي :\nتم اضافة {amount} SAR الي محفظة الاسترجاع النقدي", "cashback_wallet"),
-    Form("AR-07", RAJHI, "cashback_redeem", "credit", None, "استرداد نقدي الي البطاقة:\nتم استرداد و اضافة {amount} SAR مبلغ الاسترداد النقدي الي رصيد بطاقتك {card}$"),
+    Form("AR-07", RAJHI, "cashback_redeem", "credit", None, "استرداد نقدي الي البطاقة:\nتم استرداد و اضافة {amount} SAR مبلغ الاسترداد النقدي الي رصيد بطاقتك {card}"),
     Form("SA-01", SAIB, "transfer", "credit", MONTH_FIRST, "حوالة واردة: محلية (مقبوله)\nمن: {from}\n{counterparty}\nعبر: {bank}\nمبلغ: SAR {amount}\nالي: {to}\nفي: {date}"),
     Form("SA-02", SAIB, "transfer", "debit", MONTH_FIRST, "حوالة صادرة: بين حساباتك\nمن: {from}\nمبلغ: SAR {amount}\nالي: {to}\nفي: {date}"),
     Form("SA-03", SAIB, "transfer", "debit", MONTH_FIRST, "حوالة محلية\nالمصرف {bank}\nالمبلغ SAR {amount}\nمن {from}\nالي: {counterparty}\nالي {to}\nالرسوم SAR {fee}\nفي {date}"),
