@@ -51,7 +51,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: fl
     scores = seeds.select("kind", "host", F.col("seed").alias("score"), "links")
     for _ in range(rounds):
         stuck = scores.where("links IS NULL").groupBy("kind").agg(F.sum("score").alias("stuck"))
-        moved = scores.join(edges, (scores["kind"] == edges["kind"]) & (scores["host"] == edges["source"])).select(edges["kind"], F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
+        moved = scores.join(edges.withColumnRenamed("source", "host"), ["kind", "host"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
         again = seeds.join(stuck, "kind", "left").select("kind", "host", (F.col("seed") * ((1 - damping) + damping * F.coalesce("stuck", F.lit(0.0)))).alias("part"))
         after = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("part").alias("score"))
         after = settled(after.join(outgoing, ["kind", "host"], "left"))
