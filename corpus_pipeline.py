@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.llm import mixing, quality, sharding, simhash, suffixes
+from tally.llm import mixing, quality, sharding, similar, suffixes
 from tally.llm.common import shared_folder
 
 #: SQL can't express the near-duplicate and mixing stages; tests hold the stages against brute force.
@@ -20,12 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates stays: five-word shingles, a similarity of about 0.8 or more.
-
-    At a Jaccard similarity of 0.8 two texts' shingles have a cosine of 0.89, which sets 15 % of the fingerprint's
-    512 bits apart, 78 on average; the radius is one standard deviation more.
-    """
-    return simhash.drop_near_duplicates(docs, shingle=5, words=8, radius=86)
+    """One document of each component stays; links are pairs whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return similar.drop_similar(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -319,14 +319,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1) -> DataFrame:
-    """The rows of docs that stay: of each component the one of the smallest (id, text hash), nulls last.
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay: of each root of found the one of the smallest (id, text hash), nulls last.
 
-    Of rows that repeat both the id and the text one stays. Rows without words count as one component.
+    found has doc_id, text_hash, node and root for each row of docs. Of rows that repeat both the id and the text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, radius, words)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash").isNull().alias("no_text"), F.col("text_hash"))
-    stay = settled(found.groupBy("fp", "root").agg(F.min(order).alias("best"), F.min_by(F.struct("doc_id", "text_hash"), order).alias("row")).groupBy("root").agg(F.min_by("row", "best").alias("row")).select("row.*"))
+    stay = settled(found.groupBy("node", "root").agg(F.min(order).alias("best"), F.min_by(F.struct("doc_id", "text_hash"), order).alias("row")).groupBy("root").agg(F.min_by("row", "best").alias("row")).select("row.*"))
     copies = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
     stay = settled(stay.join(copies, same(stay, copies, "doc_id", "text_hash"), "left").select(stay["doc_id"], stay["text_hash"], F.col("n").isNotNull().alias("repeated")))
     keyed = docs.withColumns({"__hash": text_hash(F.col(text_col))})
@@ -335,6 +334,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return single.unionByName(repeated).select(*docs.columns)
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1) -> DataFrame:
+    """The rows of docs that stay: one of each component of near_duplicates. Rows without words count as one component."""
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, radius, words).withColumnRenamed("fp", "node"), id_col, text_col)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits and component_id of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
