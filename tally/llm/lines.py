@@ -1,4 +1,4 @@
-"""Operator 1: line dedup by winnowing over line hashes, all in DataFrame functions."""
+"""Operator 1: line dedup by hashes of runs of lines, all in DataFrame functions."""
 
 from __future__ import annotations
 
@@ -24,65 +24,44 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.col("lines.at").alias("at"), F.col("lines.h").alias("h"))
 
 
-def winnowed(hashes: Column, gram: int, window: int) -> Column:
-    """(hash, place) of the fingerprints: in each window of grams the smallest, of equal ones the last."""
+def run_keys(hashes: Column, min_run: int) -> Column:
+    """(hash, place) of every run of min_run lines."""
+    starts = F.slice(hashes, F.lit(1), F.greatest(F.lit(0), F.size(hashes) - (min_run - 1)))
+    return F.transform(starts, lambda h, i: F.struct(F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, min_run))).alias("hash"), i.alias("place")))
 
-    def minima(grams: Column) -> Column:
-        windows = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(grams) - window))
-        least = lambda i: F.array_min(F.transform(F.slice(grams, i + 1, F.lit(window)), lambda g, k: F.struct(g.alias("hash"), (-(i + k)).alias("back"))))
-        return F.when(F.size(grams) > 0, F.array_distinct(F.transform(windows, least)))
 
-    grams = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.lit(0), F.size(hashes) - (gram - 1))), lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, gram))))
-    return _named(grams, minima)
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 3) -> DataFrame:
+    """(doc_id, text_hash, n_lines, runs, n_removed): the runs of lines (places among all lines, both ends in) that repeat earlier ones.
 
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 2, window: int = 2, min_run: int = 3) -> DataFrame:
-    """(doc_id, text_hash, n_lines, runs): the runs of lines (places among all lines, both ends in) that repeat earlier ones.
-
-    Documents stand in the order of (doc_id, text_hash), nulls last; rows equal in both count here as one. Each
-    fingerprint that occurs more than once is joined to its first occurrence only, never to all others; the pairs of
-    a document with one earlier place and one offset are one candidate, compared line by line over the whole
-    documents both ways. A run is what matches without a break over min_run lines or more. Any run of
-    window + gram - 1 lines or more holds a fingerprint. A line goes only because an equal one stands earlier, so the
-    first of equal lines always stays.
+    Documents stand in the order of (doc_id, text_hash), nulls last; rows equal in both count here as one. Every run of
+    min_run lines is joined to the first occurrence of just these lines, never to all others, and goes unless it is the
+    first; longer runs are made of such runs, so none is lost whatever stands before or after it. A line goes only
+    because an equal one stands earlier, so the first of equal lines always stays.
     """
     table = settled(line_table(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    prints = table.select("doc_id", "text_hash", order.alias("o"), F.explode(winnowed(F.col("h"), gram, window)).alias("f")).select("doc_id", "text_hash", "o", F.col("f.hash").alias("hash"), (-F.col("f.back")).alias("place"))
+    prints = table.select("doc_id", "text_hash", order.alias("o"), F.explode(run_keys(F.col("h"), min_run)).alias("f")).select("doc_id", "text_hash", "o", "f.hash", "f.place")
     first = prints.groupBy("hash").agg(F.min(F.struct("o", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    pairs = prints.join(first, "hash").where(~((F.col("first.o") == F.col("o")) & (F.col("first.place") == F.col("place"))))
-    pairs = pairs.select("doc_id", "text_hash", F.col("first.o.doc_id").alias("from_id"), F.col("first.o.text_hash").alias("from_hash"), (F.col("place") - F.col("first.place")).alias("shift")).distinct()
-    source = table.select(F.col("doc_id").alias("__from_id"), F.col("text_hash").alias("__from_hash"), F.col("h").alias("from_h"))
-    both = pairs.join(source, pairs["from_id"].eqNullSafe(source["__from_id"]) & (pairs["from_hash"] == source["__from_hash"])).select("doc_id", "text_hash", "from_h", "shift")
-    target = table.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "at", "h")
-    both = both.join(target, both["doc_id"].eqNullSafe(target["__id"]) & (both["text_hash"] == target["__hash"])).select("doc_id", "text_hash", "h", "at", "from_h", "shift")
-    n = F.size("h")
-    differs = lambda j: ~F.coalesce(F.when(j - F.col("shift") >= 0, F.get("from_h", j - F.col("shift")) == F.get("h", j)), F.lit(False))
-    breaks = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), n - 1), differs), F.array(n))
-    between = lambda b: F.filter(F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x, i: F.struct((x + 1).alias("start"), (F.get(b, i + 1) - 1).alias("stop"))), lambda r: r["stop"] - r["start"] + 1 >= min_run)
-    runs = both.select("doc_id", "text_hash", F.transform(_named(breaks, between), lambda r: F.struct(F.get("at", r["start"]).alias("start"), F.get("at", r["stop"]).alias("stop"))).alias("runs")).where(F.size("runs") > 0)
-    runs = runs.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
-
-    def join_up(done: Column, run: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], run["stop"]).alias("stop"))
-        return F.when(last["stop"] >= run["start"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(run)))
-
-    none = F.array().cast("array<struct<start: int, stop: int>>")
-    runs = runs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.aggregate("runs", none, join_up).alias("runs"))
-    found = table.join(runs, table["doc_id"].eqNullSafe(runs["__id"]) & (table["text_hash"] == runs["__hash"]), "left")
-    inside = F.aggregate("runs", F.lit(0), lambda total, r: total + F.size(F.filter("at", lambda x: (x >= r["start"]) & (x <= r["stop"]))))
-    return found.select("doc_id", "text_hash", F.size("at").alias("n_lines"), F.coalesce("runs", none).alias("runs"), F.coalesce(inside, F.lit(0)).alias("n_removed"))
-
-
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 2, window: int = 2, min_run: int = 3) -> DataFrame:
+    later = prints.join(first, "hash").where(~((F.col("first.o") == F.col("o")) & (F.col("first.place") == F.col("place"))))
+    places = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("place")).alias("places")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    found = table.join(places, table["doc_id"].eqNullSafe(places["__id"]) & (table["text_hash"] == places["__hash"]), "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    # runs that overlap are one: it starts where the place before is too far off, and stops where the next is
+    starts = F.filter("places", lambda p, k: (k == 0) | (F.get("places", k - 1) + min_run <= p))
+    stops = F.transform(F.filter("places", lambda p, k: (k == F.size("places") - 1) | (p + min_run <= F.get("places", k + 1))), lambda p: F.least(p + min_run, F.size("at")) - 1)
+    found = found.withColumn("spans", F.arrays_zip(starts.alias("start"), stops.alias("stop")))
+    runs = F.transform("spans", lambda r: F.struct(F.get("at", r["start"]).alias("start"), F.get("at", r["stop"]).alias("stop")))
+    inside = F.aggregate("spans", F.lit(0), lambda total, r: total + r["stop"] - r["start"] + 1)
+    return found.select("doc_id", "text_hash", F.size("at").alias("n_lines"), runs.alias("runs"), inside.alias("n_removed"))
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 3) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines (those with a word), n_removed and kept_text.
 
     Lines are compared lower-cased with single blanks; lines without a word are not compared, and go only inside a
     removed run. Of rows equal in id and text one is kept as the first and the others lose all lines, if these are
     min_run or more. A null text gives an empty one. Other columns are not read.
     """
-    runs = repeated_runs(docs, id_col, text_col, gram, window, min_run).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    runs = repeated_runs(docs, id_col, text_col, min_run).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash")))
     rows = rows.join(runs, rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["text_hash"] == F.col("__hash")))
