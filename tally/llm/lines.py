@@ -25,9 +25,11 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def run_keys(hashes: Column, min_run: int) -> Column:
-    """(hash, place) of every run of min_run lines."""
+    """(hash, place) of every run of min_run lines; of fewer lines, of all of them as one."""
+    short = F.array(F.struct(F.xxhash64(hashes, F.size(hashes)).alias("hash"), F.lit(0).alias("place")))
     starts = F.slice(hashes, F.lit(1), F.greatest(F.lit(0), F.size(hashes) - (min_run - 1)))
-    return F.transform(starts, lambda h, i: F.struct(F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, min_run))).alias("hash"), i.alias("place")))
+    runs = F.transform(starts, lambda h, i: F.struct(F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, min_run))).alias("hash"), i.alias("place")))
+    return F.when(F.size(hashes).between(1, min_run - 1), short).otherwise(runs)
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = 3) -> DataFrame:
@@ -35,8 +37,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents stand in the order of (doc_id, text_hash), nulls last; rows equal in both count here as one. Every run of
     min_run lines is joined to the first occurrence of just these lines, never to all others, and goes unless it is the
-    first; longer runs are made of such runs, so none is lost whatever stands before or after it. A line goes only
-    because an equal one stands earlier, so the first of equal lines always stays.
+    first; longer runs are made of such runs, so none is lost whatever stands before or after it. A document of fewer
+    lines goes whole if all of an earlier one are the same. A line goes only because an equal one stands earlier, so
+    the first of equal lines always stays.
     """
     table = settled(line_table(docs, id_col, text_col))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -58,14 +61,13 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """One row for each row of docs: doc_id, n_lines (those with a word), n_removed and kept_text.
 
     Lines are compared lower-cased with single blanks; lines without a word are not compared, and go only inside a
-    removed run. Of rows equal in id and text one is kept as the first and the others lose all lines, if these are
-    min_run or more. A null text gives an empty one. Other columns are not read.
+    removed run. Of rows equal in id and text one is kept as the first and the others lose all lines. A null text gives an empty one. Other columns are not read.
     """
     runs = repeated_runs(docs, id_col, text_col, min_run).withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("text_hash")))
     rows = rows.join(runs, rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["text_hash"] == F.col("__hash")))
-    gone = (F.col("copy") > 1) & (F.col("n_lines") >= min_run)
+    gone = (F.col("copy") > 1) & (F.col("n_lines") > 0)
     lines = F.split("text", "\n")
     starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["stop"] + 1))
     ends = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.size(lines)))

@@ -41,3 +41,9 @@ def test_a_shared_header_hides_no_run(spark):
 def test_runs_equal_brute_force(spark):
     rng = random.Random(4)
     _held(spark, [(k, "\n".join([f"only {k}", *(rng.choice("abcde") for _ in range(rng.randrange(1, 40)))])) for k in range(60)])
+
+
+def test_whole_documents_of_few_lines(spark):
+    docs = [(1, "a"), (2, " A "), (3, "a\nb"), (4, "a\n\nb"), (5, "b"), (6, "a\nb\nc"), (7, "a\nb"), (8, "z"), (8, "z"), (9, ""), (10, "")]
+    rows = lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), (2, 1), (3, 0), (4, 2), (5, 0), (6, 0), (7, 2), (8, 0), (8, 1), (9, 0), (10, 0)]
