@@ -21,10 +21,13 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; one of our own only where the session names none (tests)."""
+    """The checkpoint folder all executors share: the session's, or one of our own where driver and executors are one process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tally-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tally-"))
     return sc.getCheckpointDir()
 
 
@@ -39,6 +42,33 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, text_hash): all columns of docs as one struct, so that none can clash with ours; select("row.*") gives them back."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(id_col)).alias("doc_id"), text_hash(F.col(quoted(text_col))).alias("text_hash"))
+
+
+#: A key of more rows than this, and than a thousandth of all, is joined by broadcast: there are at most a thousand such keys.
+HOT_ROWS = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with table, which has one row a key and in n how many of the total rows have that key.
+
+    Rows of a hot key stay where they are, so none of them meet in one task; all others are shuffled. Keys have no nulls.
+    """
+    limit = max(HOT_ROWS, total // 1000)
+    hot, rest = table.where(F.col(n) > limit), table.where(F.col(n) <= limit)
+    if hot.isEmpty():
+        return rows.join(table, on, how)
+    met = rows.join(F.broadcast(hot), on)
+    return met.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality on these columns."""
     on = left[names[0]].eqNullSafe(right[names[0]])
@@ -96,7 +126,8 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             step = have[-1] * base
             have = np.concatenate([have, have * step])
-    _POWERS[name] = have
+        if len(have) <= 2 * CHUNK_BYTES:  # a longer word's powers are not held
+            _POWERS[name] = have
     return have
 
 
@@ -109,13 +140,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from one running sum over the text."""
-    n = len(data) + 1
-    up, down = _powers("up", _ODD, n), _powers("down", np.uint64(pow(int(_ODD), -1, 1 << 64)), n)
-    sums = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=sums[1:])
-        return mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each word's bytes, from running sums over blocks of the text."""
+    out, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK_BYTES, "right")))
+        head, tail = begin[i], end[j - 1]
+        n = int(tail - head) + 1
+        up, down = _powers("up", _ODD, n), _powers("down", np.uint64(pow(int(_ODD), -1, 1 << 64)), n)
+        sums = np.zeros(n, np.uint64)
+        a, b = begin[i:j] - head, end[i:j] - head
+        with np.errstate(over="ignore"):
+            np.cumsum((data[head:tail].astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=sums[1:])
+            out[i:j] = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:

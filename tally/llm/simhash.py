@@ -8,10 +8,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import _ODD, chunks, mixed, same, settled, text_bytes, text_hash
+from tally.llm.common import chunks, hot_join, settled, text_bytes, text_hash, whole_rows
 from tally.llm.components import components
 
 BITS = 64
@@ -37,23 +37,18 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(at[first:last], at[first + size : last + size])), np.uint64, last - first)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
-    """As many 64-bit words as asked: a bit is 1 if it is set in over half the shingles' hashes.
-
-    The first word counts the bits of the hashes themselves, each other one those of the hashes mixed with its number.
-    """
-    lanes, total = np.zeros((words * 8, 256), np.int64), 0
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """64 bits: a bit is 1 if it is set in over half the shingles' hashes."""
+    lanes, total = np.zeros((8, 256), np.int64), 0
     for hashes in shingle_hashes(text, shingle):
         total += len(hashes)
-        wide = np.stack([hashes, *(mixed(hashes + np.uint64(k * int(_ODD) % (1 << 64))) for k in range(1, words))], axis=1) if words > 1 else hashes[:, None]
-        lane = wide.view(np.uint8).reshape(len(hashes), words * 8) + np.arange(0, words * 8 * 256, 256)
-        lanes += np.bincount(lane.ravel(), minlength=words * 8 * 256).reshape(words * 8, 256)
-    ones = (lanes @ _BIT).ravel()
-    return np.packbits(2 * ones > total, bitorder="little").view(np.uint64)
+        lane = hashes[:, None].view(np.uint8).reshape(len(hashes), 8) + np.arange(0, 8 * 256, 256)
+        lanes += np.bincount(lane.ravel(), minlength=8 * 256).reshape(8, 256)
+    return int(np.packbits(2 * (lanes @ _BIT).ravel() > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, text_hash, fp): one row for each row of docs; fp is a long, or binary if it has several words.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, text_hash, fp): one row for each row of docs.
 
     A null text has no words, and no words give a fingerprint of zeros.
     """
@@ -62,40 +57,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in chunks(batches, "text"):
             data, offsets = text_bytes(batch.column(2))
             raw = data.tobytes()
-            found = [fingerprint(raw[a:b], shingle, words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            made = pa.array(np.concatenate(found).view(np.int64)) if words == 1 else pa.array([f.tobytes() for f in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["doc_id", "text_hash", "fp"])
+            found = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(task, f"doc_id {kind}, text_hash long, fp {'long' if words == 1 else 'binary'}")
+    return rows.mapInArrow(task, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """The values as 64 bit planes: plane b packs bit b of all values, 64 values to a word."""
-    width = -(-len(values) // 64) * 64
-    padded = np.zeros(width, np.uint64)
+    """Fingerprints of one or more words as bit planes: plane b packs bit b of all values, 64 values to a word."""
+    values = values.reshape(len(values), -1)
+    padded = np.zeros((-(-len(values) // 64) * 64, values.shape[1]), np.uint64)
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(left: np.ndarray, right: np.ndarray, radius: int, lanes: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of left, j of right) at Hamming distance <= radius.
+def near_masks(left: np.ndarray, right: np.ndarray, radius: int, lanes: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """For each block of left rows its first row and, a row each, the right ones at Hamming distance <= radius as packed bits.
 
     Distances of one left value to 64 right ones grow in bitwise counters: carry-save adders take planes two at a
     time, counter k holds weight 2**k, and a carry out of the top counter marks the lane as beyond the radius.
-    A block of left rows is abandoned once every lane in it is marked.
+    A block of left rows is abandoned once every lane in it is marked, and then isn't returned.
     """
+    if not len(left) or not len(right):
+        return
+    left = left.reshape(len(left), -1)
     sliced, levels = planes(right), max(1, int(radius).bit_length())
     valid = np.packbits(np.arange(sliced.shape[1] * 64) < len(right), bitorder="little").view(np.uint64)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for top in range(0, len(left), lanes):
         block = left[top : top + lanes]
-        flips = np.where((block[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1), ~np.uint64(0), np.uint64(0))
+        ones = np.unpackbits(np.ascontiguousarray(block).view(np.uint8), axis=1, bitorder="little")
+        flips = np.where(ones, ~np.uint64(0), np.uint64(0))
         far = np.broadcast_to(~valid, (len(block), sliced.shape[1])).copy()
         counters = [np.zeros_like(far) for _ in range(levels)]
-        for plane in range(0, BITS, 2):
+        for plane in range(0, len(sliced), 2):
             a, b = sliced[plane][None] ^ flips[:, plane, None], sliced[plane + 1][None] ^ flips[:, plane + 1, None]
             half = a ^ b
             carry = (a & b) | (half & counters[0])
@@ -116,61 +112,17 @@ def within(left: np.ndarray, right: np.ndarray, radius: int, lanes: int = 256) -
                 else:
                     more |= equal & counters[k]
                     equal &= ~counters[k]
-            near = ~(far | more)
-            rows, words = np.nonzero(near)
-            hit = np.unpackbits(near[rows, words].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            at, bit = np.nonzero(hit)
-            pairs.append((rows[at] + top, words[at] * 64 + bit))
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-
-
-def _transposed(values: np.ndarray) -> np.ndarray:
-    """64 planes of so many values; their number is a multiple of 64."""
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
+            yield top, ~(far | more)
 
 
-def pairs_within(values: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, lanes: int = 4096) -> np.ndarray:
-    """Which of the given pairs of wide fingerprints (rows of values) differ in at most radius bits.
-
-    A lane is a pair. The planes of a block's differences are added up word by word as in within(), and the block is
-    abandoned as soon as all its lanes are beyond the radius.
-    """
-    levels, near = max(1, int(radius).bit_length()), np.zeros(len(left), bool)
-    for top in range(0, len(left), lanes):
-        a, b = left[top : top + lanes], right[top : top + lanes]
-        width = -(-len(a) // 64) * 64
-        far = np.zeros(width // 64, np.uint64)
-        counters = [np.zeros_like(far) for _ in range(levels)]
-        for word in range(values.shape[1]):
-            differ = np.full(width, ~np.uint64(0))  # spare lanes are far
-            differ[: len(a)] = values[a, word] ^ values[b, word]
-            sliced = _transposed(differ)
-            for plane in range(0, BITS, 2):
-                half = sliced[plane] ^ sliced[plane + 1]
-                carry = (sliced[plane] & sliced[plane + 1]) | (half & counters[0])
-                counters[0] ^= half
-                for k in range(1, levels):
-                    if not carry.any():
-                        break
-                    up = counters[k] & carry
-                    counters[k] ^= carry
-                    carry = up
-                far |= carry
-            if bool((far == ~np.uint64(0)).all()):
-                break
-        else:
-            more, equal = np.zeros_like(far), ~np.zeros_like(far)
-            for k in reversed(range(levels)):
-                if radius >> k & 1:
-                    equal &= counters[k]
-                else:
-                    more |= equal & counters[k]
-                    equal &= ~counters[k]
-            near[top : top + lanes] = np.unpackbits((~(far | more)).view(np.uint8), bitorder="little")[: len(a)].astype(bool)
-    return near
+def within(left: np.ndarray, right: np.ndarray, radius: int, lanes: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i of left, j of right) at Hamming distance <= radius."""
+    pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for top, near in near_masks(left, right, radius, lanes):
+        rows, words = np.nonzero(near)
+        at, bit = np.nonzero(np.unpackbits(near[rows, words].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        pairs.append((rows[at] + top, words[at] * 64 + bit))
+    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
 def _spanning(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -251,92 +203,51 @@ def links(distinct: DataFrame, radius: int = 3, block_rows: int = BLOCK_ROWS) ->
     return out.union(tiles.groupBy("block", "a", "b").applyInArrow(_links_in_block(radius), "u long, v long"))
 
 
-#: Bits of a band of a wide fingerprint.
-BAND = 16
-
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) for each row of docs; root names the component, ids or not.
 
-def _links_in_bands(radius: int, words: int):
-    def task(table: pa.Table) -> pa.Table:
-        band, value = table.column("band").to_numpy(), table.column("value").to_numpy()
-        node, order = table.column("node").to_numpy(), np.lexsort((table.column("node").to_numpy(), value, band))
-        rows = table.column("fp").combine_chunks().take(pa.array(order))
-        key, node = (band.astype(np.int64) << BAND | value)[order], node[order]
-        prints = np.frombuffer(b"".join(rows.to_pylist()), np.uint64).reshape(-1, words)
-        left, right, lag = [], [], 1
-        at = np.flatnonzero(key[1:] == key[:-1])
-        while len(at):  # pairs of one band value, by how far apart they stand
-            near = pairs_within(prints, at, at + lag, radius)
-            left.append(at[near])
-            right.append(at[near] + lag)
-            lag += 1
-            at = at[at + lag < len(key)]
-            at = at[key[at] == key[at + lag]]
-        if not left:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-        kept = np.array(_spanning(np.concatenate(left), np.concatenate(right), len(key)), np.int64).reshape(-1, 2)
-        return pa.table({"u": node[kept[:, 0]], "v": node[kept[:, 1]]})
+    Rows link at fingerprints within the radius, every such pair; component_id is the smallest id among all that links
+    reach (null only where all ids are). Equal texts share a fingerprint, so a group of copies is one node however
+    large. Null and empty texts, and texts without words, have fingerprint 0 and link like any other. Repeated rows
+    are repeated in the result. An empty table gives an empty result. Columns other than the two are not read.
+    """
+    prints = settled(fingerprints(docs, id_col, text_col, shingle))
+    distinct = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    rooted = settled(distinct.join(roots, "fp", "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "n", "root", "component_id")
+    return hot_join(prints, settled(named), ["fp"], "n", prints.count()).select("doc_id", "text_hash", "fp", "root", "component_id")
 
-    return task
 
+def first_row(id_col: str = "doc_id", text_col: str = "text_hash") -> Column:
+    """What orders rows by id, then text hash, nulls last; the smallest of a group is the row that stays."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("doc_id"), F.col(text_col).isNull().alias("no_text"), F.col(text_col).alias("text_hash"))
 
-def band_links(distinct: DataFrame, words: int, radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v) of nodes whose wide fingerprints agree on a band of 16 bits and differ in at most radius bits.
 
-    At a difference of a share p of the bits, a pair meets with probability 1 - (1 - (1 - p) ** 16) ** bands. Bands
-    are dealt out by their leading bits; a value that very many share is compared in tiles, none left out.
-    """
-    lead = max(0, min(BAND, (distinct.count() // (block_rows // 2)).bit_length()))
-    number = lambda b: F.conv(F.hex(F.substring("fp", b * 2 + 1, 2)), 16, 10).cast("int")
-    keyed = distinct.select("node", "fp", F.explode(F.array(*(F.struct(F.lit(b).alias("band"), number(b).alias("value")) for b in range(words * 4)))).alias("key")).select("node", "fp", "key.band", "key.value")
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n"))
-    large = settled(sizes.where(F.col("n") > 2 * block_rows))
-    task = _links_in_bands(radius, words)
-    if large.isEmpty():
-        return keyed.groupBy("band", F.shiftright("value", BAND - lead).alias("lead")).applyInArrow(task, "u long, v long")
-    fit = keyed.join(large, ["band", "value"], "left_anti").groupBy("band", F.shiftright("value", BAND - lead).alias("lead")).applyInArrow(task, "u long, v long")
-    tiles = keyed.join(large, ["band", "value"]).withColumn("parts", F.ceil(F.col("n") / block_rows)).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiles = tiles.select("band", "value", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "node", "fp")
-    return fit.union(tiles.groupBy("band", "value", "a", "b").applyInArrow(task, "u long, v long"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id) for each row of docs; root names the component, ids or not.
+def only_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose (id, text) stand in stay (doc_id, text_hash), one row each.
 
-    Rows link at fingerprints within the radius; component_id is the smallest id among all that links reach (null
-    only where all ids are). Equal texts share a fingerprint, so a group of copies is one node however large.
-    With one word every pair within the radius is found. Texts of a similarity such as 0.8 differ in more bits than
-    can be searched exactly; for them take several words, whose bands find pairs with the probability that band_links
-    says. Null and empty texts, and texts without words, have fingerprint 0 and link like any other. Repeated rows
-    are repeated in the result. An empty table gives an empty result. Columns other than the two are not read.
+    Of rows that repeat both the first by all its columns stays; they meet by a hash of all columns before one is chosen.
     """
-    prints = settled(fingerprints(docs, id_col, text_col, shingle, words))
-    node = F.col("fp") if words == 1 else F.xxhash64("fp")
-    distinct = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", node))
-    roots = components(links(distinct, radius) if words == 1 else band_links(distinct, words, radius)).withColumnRenamed("node", "__node")
-    rooted = settled(distinct.join(roots, distinct["node"] == roots["__node"], "left").select("fp", "first_id", F.coalesce("root", "node").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    wanted = stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
+    met = whole_rows(docs, id_col, text_col).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__text")))
+    twice = settled(met.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")))
+    if twice.isEmpty():
+        return met.select("row.*")
+    again = F.col("doc_id").eqNullSafe(twice["__id"]) & F.col("text_hash").eqNullSafe(twice["__text"])
+    met = met.select("row", "doc_id", "text_hash")
+    chosen = met.join(twice, again, "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return met.join(twice, again, "left_anti").select("row").unionByName(chosen.select("row")).select("row.*")
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs that stay: of each root of found the one of the smallest (id, text hash), nulls last.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs that stay: of each component of near_duplicates the smallest by (id, text hash), nulls last.
 
-    found has doc_id, text_hash, node and root for each row of docs. Of rows that repeat both the id and the text one stays.
+    Rows without words count as one component; of rows that repeat id and text one stays. Other columns are kept as they are.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash").isNull().alias("no_text"), F.col("text_hash"))
-    stay = settled(found.groupBy("node", "root").agg(F.min(order).alias("best"), F.min_by(F.struct("doc_id", "text_hash"), order).alias("row")).groupBy("root").agg(F.min_by("row", "best").alias("row")).select("row.*"))
-    copies = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    stay = settled(stay.join(copies, same(stay, copies, "doc_id", "text_hash"), "left").select(stay["doc_id"], stay["text_hash"], F.col("n").isNotNull().alias("repeated")))
-    keyed = docs.withColumns({"__hash": text_hash(F.col(text_col))})
-    kept = keyed.join(stay.withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"}), F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__text")))
-    single, repeated = kept.where(~F.col("repeated")), kept.where("repeated").dropDuplicates(["__id", "__text"])
-    return single.unionByName(repeated).select(*docs.columns)
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, words: int = 1) -> DataFrame:
-    """The rows of docs that stay: one of each component of near_duplicates. Rows without words count as one component."""
-    return one_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, radius, words).withColumnRenamed("fp", "node"), id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    stay = found.groupBy("root").agg(F.min(first_row()).alias("first"))
+    return only_rows(docs, settled(stay.select("first.doc_id", "first.text_hash")), id_col, text_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

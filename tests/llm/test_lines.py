@@ -47,3 +47,10 @@ def test_whole_documents_of_few_lines(spark):
     docs = [(1, "a"), (2, " A "), (3, "a\nb"), (4, "a\n\nb"), (5, "b"), (6, "a\nb\nc"), (7, "a\nb"), (8, "z"), (8, "z"), (9, ""), (10, "")]
     rows = lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in rows) == [(1, 0), (2, 1), (3, 0), (4, 2), (5, 0), (6, 0), (7, 2), (8, 0), (8, 1), (9, 0), (10, 0)]
+
+
+def test_long_and_repeated(spark):
+    """Many equal lines in one text, and rows that repeat: the first occurrence stays."""
+    docs = [(1, "\n".join(["a"] * 40_000)), (2, "x\ny\nz"), (2, "x\ny\nz"), (2, "x\ny\nz"), (None, "x\ny\nz"), (3, None), (3, None)]
+    rows = lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 9, r["n_removed"], len(r["kept_text"])) for r in rows) == [(1, 39_999, 1), (2, 0, 5), (2, 3, 0), (2, 3, 0), (3, 0, 0), (3, 0, 0), (9, 3, 0)]

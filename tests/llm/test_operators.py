@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from tally.llm import chat, languages, lines, mixing, quality, sharding, simhash, substrings, suffixes, urls
+from tally.llm import chat, languages, lines, mixing, quality, sharding, similar, simhash, substrings, suffixes, urls
 from tally.llm import queries as llm
 from tally.llm.components import components
 from tests.conftest import SMALL
@@ -48,9 +48,11 @@ RUNS = {
     "sharding": lambda d, b: sharding.shards(d, limit=2000),
     "with_shards": lambda d, b: sharding.with_shards(d, limit=2000),
     "simhash": lambda d, b: simhash.near_duplicates(d),
-    "dropped": lambda d, b: simhash.drop_near_duplicates(d, shingle=5, words=8, radius=86),
+    "dropped": lambda d, b: simhash.drop_near_duplicates(d),
+    "similar": lambda d, b: similar.similar_documents(d),
+    "drop_similar": lambda d, b: similar.drop_similar(d),
 }
-FEWER = {"mixed", "clean", "decontaminated", "dropped"}
+FEWER = {"mixed", "clean", "decontaminated", "dropped", "drop_similar"}
 
 
 @pytest.mark.parametrize("name", RUNS)
@@ -119,7 +121,7 @@ def test_near_copies_leave_one(spark):
         near = list(texts[k])
         near[rng.randrange(300)] = "changed"
         rows.append((100 + k, " ".join(near)))
-    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=8, radius=86)
+    kept = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40))
 
 

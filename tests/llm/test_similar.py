@@ -73,3 +73,49 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in similar.drop_similar(docs).collect()) == [1, 5, 8]
     assert similar.drop_similar(docs.limit(0)).count() == 0
+
+
+def _planted(rng, jaccard, n):
+    """Pairs of 500 words of a shingle similarity about as asked: single words changed, each of which touches five shingles."""
+    out = []
+    for _ in range(n):
+        words = [f"v{rng.randrange(20000)}" for _ in range(500)]
+        near, at = list(words), 3
+        for _ in range(round(496 * (1 - jaccard) / (1 + jaccard) / 5)):
+            near[at] = f"n{rng.randrange(20000)}"
+            at += 7
+        out += [" ".join(words), " ".join(near)]
+    return out
+
+
+def test_recall_and_precision_at_the_threshold(spark):
+    """200 planted pairs at each of 0.70, 0.75, 0.80 (just above), 0.85 and 0.9: recall of 0.99 or more, nothing below linked."""
+    rng = random.Random(5)
+    texts = [t for jaccard in (0.7, 0.75, 0.805, 0.85, 0.9) for t in _planted(rng, jaccard, 200)]
+    found = similar.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    root = [r["root"] for r in found.orderBy("doc_id").collect()]
+    true = linked = both = 0
+    for k in range(0, len(texts), 2):
+        a, b = _shingles(texts[k]), _shingles(texts[k + 1])
+        same = 5 * len(a & b) >= 4 * len(a | b)
+        true, linked, both = true + same, linked + (root[k] == root[k + 1]), both + (same and root[k] == root[k + 1])
+    assert true >= 400 and linked == both and both >= 0.99 * true
+    assert len(set(root)) == len(texts) - linked
+
+
+def test_large_blocks_lose_no_link(spark):
+    """A large group of near copies among which some are similar to a part of it only: every way of cutting, against brute force."""
+    rng = random.Random(8)
+    base = [f"v{k}" for k in range(120)]
+    texts = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 1, 1, 2, 4])):
+            words[at] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    roots, _ = _roots(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for tile in (4, 16, 2048):
+        found = similar.similar_documents(docs, tile_sets=tile)
+        least = {r["root"]: r["least"] for r in found.groupBy("root").agg(F.min("doc_id").alias("least")).collect()}
+        assert [least[r["root"]] for r in found.orderBy("doc_id").collect()] == roots
