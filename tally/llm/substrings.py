@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import _ODD, chunks, mixed, run_hashes, settled, text_bytes, text_hash, word_hashes, word_spans
+from tally.llm.common import _ODD, chunks, hot_join, mixed, run_hashes, settled, text_bytes, text_hash, word_hashes, word_spans
 from tally.llm.suffixes import suffix_array
 
 #: Words of a window whose repeats are removed.
@@ -19,8 +19,8 @@ WINDOW = 35
 GRAM = 8
 #: Distinct segments of one shard's index, about.
 SHARD_SEGMENTS = 4_000
-#: Distinct segments of one gram from which its windows are dealt out one by one.
-HOT_SEGMENTS = 2_000
+#: Distinct segments of one gram that a shard takes; those of a gram with more are cut again by grams twice as long.
+GRAM_SEGMENTS = 2_000
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -93,8 +93,7 @@ class WaveletMatrix:
             self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed[:-1]), dtype=np.int64)]).astype(np.int32))
             self.zeros.append(int(len(values) - one.sum()))
             values = np.concatenate([values[~one], values[one]])
-        every = np.arange(symbols)
-        self.origin = self._descend(every, np.zeros(symbols, np.int64))
+        self.origin = self._descend(np.arange(symbols), np.zeros(symbols, np.int64))
 
     def _descend(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         for level, bit in enumerate(reversed(range(self.bits))):
@@ -108,8 +107,31 @@ class WaveletMatrix:
         return self._descend(symbol, place) - self.origin[symbol]
 
 
+class RunLengths:
+    """A sequence compressed to its runs of equal symbols: a wavelet matrix over one symbol a run, and where runs start.
+
+    Passages that repeat stand in equal contexts, so their transform has far fewer runs than words.
+    """
+
+    def __init__(self, values: np.ndarray, symbols: int):
+        self.starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+        self.heads = values[self.starts].astype(np.int32)
+        length = np.diff(np.append(self.starts, len(values)))
+        order = np.argsort(self.heads, kind="stable")
+        self.first = np.searchsorted(self.heads[order], np.arange(symbols + 1))
+        self.sums = np.concatenate([[0], np.cumsum(length[order])])
+        self.matrix, self.starts = WaveletMatrix(self.heads, symbols), np.append(self.starts, len(values))
+
+    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How often each symbol occurs before its place: in whole runs, and in the run that the place is in."""
+        run = np.searchsorted(self.starts, place, "right") - 1
+        whole = self.first[symbol] + self.matrix.rank(symbol, run)
+        inside = np.where(self.heads[np.minimum(run, len(self.heads) - 1)] == symbol, place - self.starts[run], 0)
+        return self.sums[whole] - self.sums[self.first[symbol]] + inside
+
+
 class FMIndex:
-    """Backward search over the Burrows-Wheeler transform of texts, each closed by the symbol 0.
+    """Backward search over the run-length compressed Burrows-Wheeler transform of texts, each closed by the symbol 0.
 
     Occurrences weigh as much as their text, so a text that stands for n equal ones is indexed once.
     """
@@ -118,7 +140,7 @@ class FMIndex:
         order = suffix_array(text, depth)
         symbols = int(text.max(initial=0)) + 1
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
-        self.transform = WaveletMatrix(text[order - 1], symbols)
+        self.transform = RunLengths(text[order - 1], symbols)
         self.weights = np.concatenate([[0], np.cumsum(weight[order])])
         self.n = len(text)
 
@@ -196,101 +218,121 @@ def _segments_of(window: int, gram: int):
 
 
 def _contents(window: int):
-    """Cuts the wanted segments' words out of whole texts; a hot one also gets its windows' hashes."""
+    """Cuts the wanted segments' words out of whole texts."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, wanted = batch.column(0), batch.column(1)
-            for text, segments in zip(texts, wanted):
-                words = (text.as_py() or "").encode().split()
-                rows = segments.as_py()
-                cut = [b" ".join(words[s["begin"] : s["begin"] + s["windows"] + window - 1]) for s in rows]
-                hashes = [None] * len(rows)
-                for k, s in enumerate(rows):
-                    if s["hot"]:
-                        data = np.frombuffer(cut[k], np.uint8)
-                        start, stop, _ = word_spans(data, np.array([0, len(data)]))
-                        hashes[k] = run_hashes(word_hashes(data, start, stop), window).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["key"] for s in rows], pa.int64()), pa.array([s["content"] for s in rows], pa.int64()), pa.array([s["n"] for s in rows], pa.int64()), pa.array([c.decode() for c in cut], pa.string()), pa.array(hashes, pa.list_(pa.int64()))],
-                    ["key", "content", "n", "words", "hashes"],
-                )
+        for batch in chunks(batches, "text"):
+            data, offsets = text_bytes(batch.column(0))
+            start, stop, first = word_spans(data, offsets)
+            wanted = batch.column(1)
+            rows, owner = wanted.flatten(), pc.list_parent_indices(wanted).to_numpy()
+            begin = first[owner] + rows.field("begin").to_numpy()
+            words = pa.array([b" ".join(data[start[k] : stop[k]].tobytes() for k in range(a, a + n)) for a, n in zip(begin.tolist(), (rows.field("windows").to_numpy() + window - 1).tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.field("key"), rows.field("content"), rows.field("n"), words.cast(pa.string())], ["key", "content", "n", "words"])
 
     return task
 
 
-def _kept_words(window: int):
+def _cut_again(window: int, gram: int):
+    """The segments of these segments' windows by grams of so many words; place says where each lies in its parent."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, removed, texts = [], [], []
-            flat = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
-            for text, hits in zip(batch.column(1), flat):
-                words = (text.as_py() or "").encode().split()
-                edge = None
-                for hit in hits.as_py() or ():
-                    if edge is None:
-                        edge = np.zeros(len(words) + 1, np.int32)
-                    starts = hit["begin"] + np.flatnonzero(np.array(hit["mask"]) >> np.arange(window) & 1)
-                    edge[starts] += 1
-                    edge[starts + window] -= 1
-                total.append(len(words))
-                if edge is not None:
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                removed.append(total[-1] - len(words))
-                texts.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        for batch in chunks(batches, "words"):
+            data, offsets = text_bytes(batch.column(3))
+            start, stop, first = word_spans(data, offsets)
+            found = Segments(word_hashes(data, start, stop), first, window, gram)
+            parent = pa.array(found.doc)
+            last = found.begin + found.windows + window - 2
+            words = pa.array([data[start[a] : stop[b]].tobytes() for a, b in zip(found.begin.tolist(), last.tolist())], pa.binary()).cast(pa.string())
+            of, within = batch.column(0).take(parent), batch.column(1).take(parent)
+            yield pa.RecordBatch.from_arrays([pa.array(found.key.view(np.int64)), pa.array(found.content.view(np.int64)), batch.column(2).take(parent), words, of, within, pa.array((found.begin - first[found.doc]).astype(np.int32))], ["key", "content", "n", "words", "of", "within", "place"])
 
     return task
 
 
-def _masks(segments: DataFrame, count: int, window: int) -> DataFrame:
-    """(key, content, mask) of so many segments (key, content, n, words), one index a shard."""
-    shards = 1 + count // SHARD_SEGMENTS
-    sharded = segments.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "content", "n", "words")
-    return sharded.groupBy("shard").applyInArrow(_search_shard(window), "key long, content long, mask long")
+def _kept_words(window: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            data, offsets = text_bytes(batch.column(1))
+            start, stop, first = word_spans(data, offsets)
+            hits = batch.column(2)
+            rows, owner = hits.flatten(), pc.list_parent_indices(hits).to_numpy()
+            edge = np.zeros(len(start) + 1, np.int32)
+            mask = rows.field("mask").to_numpy()[:, None] >> np.arange(window) & 1
+            at, bit = np.nonzero(mask)
+            begin = first[owner[at]] + rows.field("begin").to_numpy()[at] + bit
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + window, -1)
+            kept = np.cumsum(edge[:-1]) == 0
+            before = np.concatenate([[0], np.cumsum(kept)])[first]
+            place = np.flatnonzero(kept)
+            texts = [b" ".join(data[start[k] : stop[k]].tobytes() for k in place[a:b]).decode() for a, b in zip(before[:-1], before[1:])]
+            total = np.diff(first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(total - np.diff(before), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return task
+
 
+def segment_masks(segments: DataFrame, weights: DataFrame, window: int, gram: int, gram_segments: int = GRAM_SEGMENTS) -> DataFrame:
+    """(key, content, mask) of the segments (key, content, n, words), keyed by grams of so many words; weights has key and n of each.
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    Grams go to shards, and an FM-index of each answers. A gram with very many segments (a passage in ever new
+    contexts) is no shard's: its segments are cut again, by the smallest gram of twice the length in each window, up to
+    the window itself, whose segments are all equal. Equal windows meet at each length. A gram that weighs one is left out.
+    """
+    sizes = weights.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight")).where("weight > 1")
+    sizes = settled(sizes.select("key", "m", (F.col("m") > F.lit(gram_segments if gram < window else 1 << 62)).alias("large")))
+    known = {r["large"]: r["m"] for r in sizes.groupBy("large").agg(F.sum("m").alias("m")).collect()}
+    if known.get(True):
+        segments = settled(segments)
+    fit = segments.join(sizes.where("NOT large"), "key", "left_semi")
+    shards = 1 + known.get(False, 0) // SHARD_SEGMENTS
+    masks = fit.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "content", "n", "words").groupBy("shard").applyInArrow(_search_shard(window), "key long, content long, mask long")
+    if not known.get(True):
+        return masks
+    longer = min(2 * gram, window)
+    large = segments.join(F.broadcast(sizes.where("large").select("key")), "key", "left_semi") if known[True] // gram_segments < 1000 else segments.join(sizes.where("large"), "key", "left_semi")
+    cut = settled(large.select("key", "content", "n", "words").dropDuplicates(["key", "content"]).mapInArrow(_cut_again(window, longer), "key long, content long, n long, words string, of long, within long, place int"))
+    distinct = settled(cut.groupBy("key", "content").agg(F.sum("n").alias("n"), F.first("words").alias("words")))
+    found = segment_masks(distinct, distinct, window, longer, gram_segments).where("mask <> 0")
+    back = cut.select("key", "content", "of", "within", "place").join(found, ["key", "content"])
+    back = back.groupBy(F.col("of").alias("key"), F.col("within").alias("content")).agg(F.bit_or(F.call_function("shiftleft", F.col("mask"), F.col("place"))).alias("mask"))
+    return masks.unionByName(back)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, gram_segments: int = GRAM_SEGMENTS) -> DataFrame:
     """(doc_id, text_hash, begin, mask): bit j of mask says that the window from word begin + j on occurs anywhere else.
 
-    Segments of windows are keyed by their smallest gram; a gram that occurs once can't be in a repeated window.
-    Equal segments are one with a weight. The distinct ones go to shards by their gram, each small enough for
-    one task, where an FM-index of the shard answers which of their windows weigh two or more. A gram with very
-    many distinct segments (a passage in ever new contexts) is dealt out by single windows instead, of which only
-    those whose hash occurs twice need an index.
+    Segments of windows are keyed by their smallest gram; a gram that occurs once can't be in a repeated window. Equal
+    segments are one with a weight; segment_masks has the distinct ones' windows looked up. A window has at most
+    gram + 62 words, for a segment's windows are bits of one number.
     """
+    if not gram <= window < gram + 63:
+        raise ValueError(f"a window of {window} words takes grams of {max(1, window - 62)} to {window}")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     segments = rows.mapInArrow(_segments_of(window, gram), f"key long, content long, doc_id {kind}, text_hash long, begin int, windows int")
-    twice = settled(segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    found = settled(segments.join(twice, "key", "left_semi"))
+    twice = settled(segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    found = settled(hot_join(segments, twice, ["key"], "n", total).drop("n"))
     distinct = settled(found.groupBy("key", "content").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "text_hash", "begin", "windows"), F.struct(F.col("text_hash"), F.col("begin"))).alias("at")))
-    hot = settled(distinct.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT_SEGMENTS).select("key", F.lit(True).alias("hot")))
-    wanted = distinct.join(hot, "key", "left").select("at.doc_id", "at.text_hash", F.struct("key", "content", "n", "at.begin", "at.windows", F.coalesce("hot", F.lit(False)).alias("hot")).alias("segment"))
+    wanted = distinct.select("at.doc_id", "at.text_hash", F.struct("key", "content", "n", "at.begin", "at.windows").alias("segment"))
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("segment").alias("segments")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & rows["text_hash"].eqNullSafe(wanted["__text"])).select("text", "segments")
-    contents = texts.mapInArrow(_contents(window), "key long, content long, n long, words string, hashes array<long>")
-    any_hot = not hot.isEmpty()
-    if any_hot:
-        contents = settled(contents)
-    masks = _masks(contents.where("hashes IS NULL"), distinct.count(), window)
-    if any_hot:
-        single = settled(contents.where("hashes IS NOT NULL").dropDuplicates(["key", "content"]).select("key", "content", "n", "words", F.posexplode("hashes").alias("j", "hash")))
-        weights = single.groupBy("hash").agg(F.sum("n").alias("n"), F.min_by(F.struct("words", "j"), F.struct("key", "content")).alias("at")).where("n > 1")
-        cut = settled(weights.select(F.col("hash").alias("key"), F.lit(0).cast("long").alias("content"), "n", F.array_join(F.slice(F.split("at.words", " "), F.col("at.j") + 1, F.lit(window)), " ").alias("words")))
-        sure = _masks(cut, cut.count(), window).where("mask > 0").select(F.col("key").alias("hash"))
-        masks = masks.unionByName(single.join(sure, "hash", "left_semi").groupBy("key", "content").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j"))).alias("mask")))
-    masks = settled(masks.where("mask <> 0"))
-    return found.join(masks, ["key", "content"]).select("doc_id", "text_hash", "begin", "mask")
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    contents = texts.mapInArrow(_contents(window), "key long, content long, n long, words string")
+    masks = settled(segment_masks(contents, distinct, window, gram, gram_segments).where("mask <> 0"))
+    weighed = masks.join(distinct.select("key", "content", "n"), ["key", "content"])
+    return hot_join(found, settled(weighed), ["key", "content"], "n", total).select("doc_id", "text_hash", "begin", "mask")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, gram_segments: int = GRAM_SEGMENTS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed and kept_text, its words outside repeated windows.
 
     Words part at ASCII white space and are kept as they are, joined by one blank. A null text has no words; rows that
-    repeat are each other's repeats and lose all windows; ids may be null or repeat; other columns are not read.
+    repeat are each other's repeats and lose all windows; ids may be null or repeat; an empty table gives no rows; a
+    long text is read whole, in a step of its own; other columns are not read.
     """
-    hits = repeated_passages(docs, id_col, text_col, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
+    hits = repeated_passages(docs, id_col, text_col, window, gram, gram_segments).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__id"]) & rows["text_hash"].eqNullSafe(hits["__text"]), "left").select("doc_id", "text", "hits")

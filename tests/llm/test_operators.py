@@ -164,17 +164,39 @@ def test_mixture_meets_its_targets(spark):
         assert all(r["taken"] <= 3 * r["size"] for r in by[s])
 
 
-def test_substrings_equal_brute_force(spark):
-    rng = random.Random(2)
-    passage = [rng.choice(WORDS) for _ in range(60)]
-    docs = [(k, " ".join([rng.choice(WORDS) for _ in range(rng.randrange(80))] + passage[rng.randrange(20) : 40 + rng.randrange(20)] + [rng.choice(WORDS) for _ in range(30)])) for k in range(30)]
+def _substrings_hold(spark, docs, **options):
     seen = Counter(tuple(w[i : i + 35]) for _, t in docs for w in [t.split()] for i in range(len(w) - 34))
-    for r in substrings.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+    for r in substrings.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), **options).collect():
         w = docs[r["doc_id"]][1].split()
         gone = {p for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for p in range(i, i + 35)}
         assert (r["n_words"], r["n_removed"], r["kept_text"]) == (len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
 
 
+def _passages(rng, n, distinct=40):
+    """A passage of 60 words, all or part of it, in ever new contexts."""
+    passage = [rng.choice(WORDS) for _ in range(60)]
+    other = lambda k: [f"u{rng.randrange(distinct)}" for _ in range(k)]
+    return [(k, " ".join(other(rng.randrange(80)) + passage[rng.randrange(20) : 40 + rng.randrange(21)] + other(30))) for k in range(n)]
+
+
+def test_substrings_equal_brute_force(spark):
+    _substrings_hold(spark, _passages(random.Random(2), 30))
+
+
+def test_substrings_of_a_frequent_passage(spark):
+    """A gram with more segments than a shard takes is cut by longer grams, up to the window."""
+    _substrings_hold(spark, _passages(random.Random(6), 60, 10**6), gram_segments=4)
+
+
+def test_compressed_ranks():
+    rng = np.random.default_rng(3)
+    values = np.repeat(rng.integers(0, 9, 200), rng.integers(1, 6, 200))
+    made = substrings.RunLengths(values, 10)
+    for symbol in range(10):
+        counts = np.concatenate([[0], np.cumsum(values == symbol)])
+        assert (made.rank(np.full(len(counts), symbol), np.arange(len(counts))) == counts).all()
+
+
 def test_lines_keep_a_first_copy(spark):
     block = [f"line {k}" for k in range(6)]
     docs = [(1, "\n".join(["a", *block, "b"])), (2, "\n".join(["c", *block, "d"])), (3, "\n".join(block[:2])), (4, None)]
