@@ -31,8 +31,8 @@ def examples(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     formatted holds all turns up to this one; only the loss_chars code points after loss_start, the reply itself, are
     trained. A conversation whose last turn is of another role gets one more example of all its turns that trains
     nothing, so that no turn is lost. Turns go by number, nulls first, then role and text, so ties and repeats have
-    one order. Null roles and texts are empty; a null id is a conversation too; an empty table gives no rows. A whole
-    conversation is one row here, as its last example is by definition.
+    one order. Null roles and texts are empty; a null id is a conversation too; an empty table gives no rows; other
+    columns are not read. A whole conversation is one row here, as its last example is by definition.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     role = F.replace(escaped(F.coalesce(role_col, F.lit(""))), F.lit("\n"), F.lit("&nl;"))

@@ -17,7 +17,7 @@ GRAM = 3
 #: N-grams whose vectors are in memory at once, and documents that are compared at once.
 GRAMS_AT_ONCE = 8192
 DOCS_AT_ONCE = 128
-#: Prototypes are sent to all tasks; more bytes of them than this is an error, not a cut.
+#: Bytes of prototypes that are sent to all tasks at once; more of them are compared in blocks, the best so far kept.
 PROTOTYPE_BYTES = 64 << 20
 SPACE = 0x20
 _symbol: list[np.ndarray] = []
@@ -134,11 +134,13 @@ def prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 
 def _predictions(known, dimensions: int):
+    """Names the nearest of a block of prototypes where it is nearer than what an earlier block gave (lang_pred, score)."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = known.value
         for batch in chunks(batches, "text"):
             seen, codes, gram, start, letters = gram_counts(batch.column(2))
-            langs, scores = [], []
+            langs, scores = batch.column(3).to_pylist(), batch.column(4).to_numpy().copy()
             vectors = [gram_vectors(seen[a : a + GRAMS_AT_ONCE], codes, dimensions).astype(np.float32) for a in range(0, len(seen), GRAMS_AT_ONCE)] if len(seen) <= 4 * GRAMS_AT_ONCE else None
             for top in range(0, batch.num_rows, DOCS_AT_ONCE):
                 docs = range(top, min(batch.num_rows, top + DOCS_AT_ONCE))
@@ -150,36 +152,38 @@ def _predictions(known, dimensions: int):
                     for k, part in enumerate(vectors):
                         bundle += counts[:, k * GRAMS_AT_ONCE : (k + 1) * GRAMS_AT_ONCE] @ part
                 norm = np.maximum(np.linalg.norm(bundle, axis=1, keepdims=True), 1e-9)
-                cosine = bundle / norm @ matrix.T if len(names) else np.zeros((len(docs), 1))
+                cosine = bundle / norm @ matrix.T
                 best = cosine.argmax(axis=1)
-                some = (letters[top : top + len(docs)] > 0) & bool(names)
-                langs += [names[b] if ok else "und" for b, ok in zip(best.tolist(), some.tolist())]
-                scores += np.where(some, np.clip(cosine[np.arange(len(docs)), best], 0.0, 1.0), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                for row, k, near in zip(docs, best.tolist(), cosine[np.arange(len(docs)), best].tolist()):
+                    if letters[row] and near > scores[row]:
+                        langs[row], scores[row] = names[k], near
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "held_out", "text", "lang_pred", "score"])
 
     return task
 
 
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, block_bytes: int = PROTOTYPE_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred and score, the cosine with the nearest prototype.
 
     Prototypes come from all rows with a lang whose crc32(id as text) mod 5 is not 0 (held_out is false); a null id
     counts as an empty one. A text that is null or has no letters, or a table with no language to learn, gives und
-    and 0. Equal cosines go to the first lang by code point. Whole texts are read, and no other column in predicting.
+    and 0. Equal cosines go to the first lang by code point. Repeated rows are learned and judged each; an empty table
+    gives no rows. Whole texts are read, and no other column in predicting.
     """
     spark = docs.sparkSession
     held_out = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0).alias("held_out")
     learned = settled(prototypes(docs.where(~held_out), lang_col, text_col, dimensions))
-    size = learned.select("lang").distinct().count() * dimensions * 8
-    if size > PROTOTYPE_BYTES:
-        raise ValueError(f"prototypes of {size} bytes; lang holds something else than languages")
-    table = learned.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector")).orderBy("lang").collect()
-    names = [r["lang"] for r in table]
-    matrix = np.array([r["vector"] for r in table], np.float64).reshape(len(names), dimensions)
-    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out, F.coalesce(text_col, F.lit("")).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predictions(spark.sparkContext.broadcast((names, matrix)), dimensions), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    names = [r["lang"] for r in learned.select("lang").distinct().orderBy("lang").collect()]
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out, F.coalesce(text_col, F.lit("")).alias("text"), F.lit("und").alias("lang_pred"), F.lit(-2.0).alias("score"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, text string, lang_pred string, score double"
+    block = max(1, block_bytes // (8 * dimensions))
+    for top in range(0, len(names), block):
+        of_block = learned.where(F.col("lang").between(names[top], names[min(len(names), top + block) - 1]))
+        table = of_block.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector")).orderBy("lang").collect()
+        matrix = np.array([r["vector"] for r in table], np.float64)
+        matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        rows = rows.mapInArrow(_predictions(spark.sparkContext.broadcast(([r["lang"] for r in table], matrix)), dimensions), schema)
+    return rows.select("doc_id", "held_out", "lang_pred", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

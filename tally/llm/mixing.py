@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tally.llm.common import settled, text_hash
+from tally.llm.common import settled, text_hash, whole_rows
 from tally.llm.quality import words_of
 
 #: Rows that one window partition of a source's prefix sum holds about.
@@ -96,13 +96,22 @@ def mixture(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Documents without words, which no budget counts, stay once."""
+    """The rows of docs, each as often as the mix takes it; other columns are kept as they are.
+
+    Documents without words, null texts among them, count in no budget and stay once. Of rows that repeat id, text and
+    source, at a budget's boundary only some are taken once more: the first by a hash of all columns. An empty table
+    gives no rows.
+    """
     plan = mixture(docs, id_col, text_col, source_col, **options)
-    times = plan.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("source").alias("__source"), F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).alias("__copies"))
-    times = times.groupBy("__id", "__text", "__source").agg(F.max("__copies").alias("__copies")).where("__copies > 0")
-    keyed = docs.withColumn("__hash", text_hash(F.col(text_col)))
-    kept = keyed.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__text")) & F.col(source_col).eqNullSafe(F.col("__source")))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    times = plan.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("source").alias("__source"), F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(1)).alias("copies"))
+    times = times.groupBy("__id", "__text", "__source").agg(F.min("copies").alias("least"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
+    times = settled(times.where("least > 0 OR more > 0"))
+    rows = whole_rows(docs, id_col, text_col).withColumn("source", F.col("row")[source_col])
+    met = rows.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__text")) & F.col("source").eqNullSafe(F.col("__source")))
+    place = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy(F.xxhash64("row")))
+    uneven = met.where("more > 0").withColumn("copies", F.col("least") + (place <= F.col("more")).cast("long")).where("copies > 0")
+    every = met.where("more = 0").select("row", F.col("least").alias("copies")).unionByName(uneven.select("row", "copies"))
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

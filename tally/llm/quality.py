@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import settled, text_hash
+from tally.llm.common import hot_join, settled, text_hash, whole_rows
 
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -54,12 +54,12 @@ def document_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def frequent_lines(metrics: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(host, h): lines in more than max_docs and more than max_share of the host's documents; equal texts are one document."""
-    texts = metrics.select("host", "text_hash", F.array_distinct("lines.h").alias("h")).dropDuplicates(["host", "text_hash"])
+def frequent_lines(metrics: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
+    """(host, h, n): lines that more than min_docs and more than max_share of the host's documents hold, or more than max_docs; equal texts are one document, n counts all rows."""
+    texts = metrics.groupBy("host", "text_hash").agg(F.count("*").alias("rows"), F.first(F.array_distinct("lines.h")).alias("h"))
     sizes = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    lines = texts.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs)
-    return lines.join(sizes, "host").where(F.col("n") > F.col("docs") * max_share).select("host", "h")
+    lines = texts.select("host", "rows", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("texts"), F.sum("rows").alias("n")).where(F.col("texts") > min_docs)
+    return lines.join(sizes, "host").where((F.col("texts") > F.col("docs") * max_share) | (F.col("texts") > max_docs)).select("host", "h", "n")
 
 
 def quality_rules(
@@ -69,20 +69,23 @@ def quality_rules(
     host_col: str | None = "source",
     min_words: int = 50,
     max_repeat_percent: int = 50,
-    max_docs: int = 50,
+    min_docs: int = 5,
     max_share: float = 0.02,
+    max_docs: int = 10_000,
     min_left_percent: int = 30,
 ) -> DataFrame:
     """One row for each row of docs: the counts, base_failed, the words in frequent lines, the lines to drop, kept.
 
-    A line (lower-cased, white space single blanks) is boilerplate if more than max_docs, and more than max_share, of
-    its host's different texts hold it. A document that passes the base rules is rejected if its other lines have
+    A line (lower-cased, white space single blanks) is boilerplate if more than min_docs and more than max_share of its
+    host's different texts hold it, or more than max_docs of them, which bounds how often a line stays on a very large host. A document that passes the base rules is rejected if its other lines have
     less than min_left_percent of its words. A null or empty text has no words and fails the base rules; documents of
     a null host are one host; repeated rows count as one document and get the same verdict. Other columns are not read.
     """
     metrics = settled(document_metrics(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
     lines = metrics.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    hit = lines.join(frequent_lines(metrics, max_docs, max_share), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("boilerplate_words"), F.collect_set("h").alias("drop_lines"))
+    total = metrics.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first()["n"]
+    frequent = settled(frequent_lines(metrics, min_docs, max_share, max_docs))
+    hit = hot_join(lines, frequent, ["host", "h"], "n", total).groupBy("row").agg(F.sum("w").alias("boilerplate_words"), F.collect_set("h").alias("drop_lines"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("boilerplate_words", F.lit(0))
     return metrics.drop("lines").join(hit, "row", "left").select(
@@ -92,17 +95,20 @@ def quality_rules(
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", **rules) -> DataFrame:
-    """The rows of docs that quality_rules keeps, without their boilerplate lines; columns stay, an n_chars follows the text."""
+    """The rows of docs that quality_rules keeps, without their boilerplate lines; columns stay, an n_chars follows the text.
+
+    Null and empty texts are rejected, repeated rows stay or go together, an empty table gives no rows.
+    """
     verdict = quality_rules(docs, id_col, text_col, host_col, **rules).where("kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__text"), F.col("drop_lines").alias("__drop"))
-    host = F.col(host_col) if host_col else F.lit(None).cast("string")
-    keyed = docs.withColumns({"__h": F.xxhash64(host.isNull(), host), "__t": text_hash(F.col(text_col))})
-    kept = keyed.join(verdict.dropDuplicates(["__id", "__host", "__text"]), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__host")) & (F.col("__t") == F.col("__text")))
+    rows = whole_rows(docs, id_col, text_col)
+    host = F.col("row")[host_col] if host_col else F.lit(None).cast("string")
+    rows = rows.withColumn("host", F.xxhash64(host.isNull(), host))
+    kept = rows.join(verdict.dropDuplicates(["__id", "__host", "__text"]), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("host") == F.col("__host")) & (F.col("text_hash") == F.col("__text")))
     line_hash = lambda line: F.xxhash64(F.lower(F.trim(F.regexp_replace(line, WHITE, " "))))
-    text = F.when(F.size("__drop") == 0, F.col(text_col)).otherwise(F.array_join(F.filter(F.split(text_col, "\n"), lambda line: ~F.array_contains("__drop", line_hash(line))), "\n"))
-    kept = kept.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    was = F.col("row")[text_col]
+    text = F.when(F.size("__drop") == 0, was).otherwise(F.array_join(F.filter(F.split(was, "\n"), lambda line: ~F.array_contains("__drop", line_hash(line))), "\n"))
+    new = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return kept.select("row", text.alias("text")).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -124,7 +130,7 @@ rep AS (SELECT r, sum(least(3, coalesce(nxt - i, 3)))::BIGINT AS n_repeat_words
 uniq AS (SELECT DISTINCT source, t, no_text, list_distinct(ls) AS ls FROM w),
 hosts AS (SELECT source, count(*) AS docs FROM uniq GROUP BY source),
 freq AS (SELECT f.source, f.l FROM (SELECT source, l, count(*) AS n FROM (SELECT source, unnest(ls) AS l FROM uniq) GROUP BY source, l) f
-         JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 50 AND f.n > h.docs * 0.02),
+         JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 5 AND (f.n > h.docs * 0.02 OR f.n > 10000)),
 boil AS (SELECT x.r, sum(len(string_split(x.l, ' '))) AS b FROM (SELECT r, source, unnest(ls) AS l FROM w) x
          JOIN freq f ON x.l = f.l AND x.source IS NOT DISTINCT FROM f.source GROUP BY x.r),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,

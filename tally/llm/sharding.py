@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tally.llm.common import settled, text_hash
+from tally.llm.common import settled, text_hash, whole_rows
 
 #: Bits of a document's hash: 15 hex digits of an MD5, the same in any SQL engine.
 BITS = 60
@@ -70,28 +70,31 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limi
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the rows of docs as one folder a shard under path and returns docs with its shard."""
+    """Writes the rows of docs as one folder a shard under path and returns docs with its shard.
+
+    A folder is named s and the shard's bits, so that readers take it for no number, and the only shard is s alone.
+    """
     out = with_shards(docs, limit, id_col, text_col)
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    out.withColumn("shard", F.concat(F.lit("s"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
     return out
 
 
 def with_shards(docs: DataFrame, limit: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns shard and shard_bytes (existing ones of that name are replaced).
+    """docs with the columns shard and shard_bytes (existing ones of that name are replaced); an empty table gives no rows.
 
-    Only rows equal in id and text are numbered together; that sort spills to disk.
+    Only rows equal in id and text are numbered together, by a hash of all columns; that sort spills to disk.
     """
     place = shards(docs, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("repeat").alias("__repeat"), "shard", "shard_bytes")
     plain = [c for c in docs.columns if c not in ("shard", "shard_bytes")]
-    keyed = docs.select(*plain).withColumn("__hash", text_hash(F.col(text_col)))
-    keyed = keyed.withColumn("__number", F.row_number().over(Window.partitionBy(id_col, "__hash").orderBy(F.lit(1))).cast("long"))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__hash").eqNullSafe(F.col("__text")) & (F.col("__number") == F.col("__repeat"))
-    return keyed.join(place, on).select(*plain, "shard", "shard_bytes")
+    rows = whole_rows(docs, id_col, text_col)
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64("row"))).cast("long"))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__text")) & (F.col("number") == F.col("__repeat"))
+    return rows.join(place, on).select(*(F.col("row")[c].alias(c) for c in plain), "shard", "shard_bytes")
 
 
-def query(spark, sf_dir: str) -> DataFrame:
+def query(spark, sf_dir: str, limit: int = 8 << 20) -> DataFrame:
     """The shard of every document."""
-    return shards(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "bytes", "depth", "shard", "shard_bytes", "shard_docs")
+    return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), limit=limit).select("doc_id", "bytes", "depth", "shard", "shard_bytes", "shard_docs")
 
 
 ORACLE_SQL = r"""

@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import chunks, text_bytes, text_hash, word_hashes, word_spans
+from tally.llm.common import chunks, settled, text_bytes, text_hash, whole_rows, word_hashes, word_spans
 
 #: Window of a match in words.
 WINDOW = 10
-#: Benchmark text that one pass searches for; a larger benchmark is searched in as many passes as it takes.
+#: Bytes of test suffixes that one pass sends to all tasks; a larger benchmark is searched in as many passes as it takes.
 BLOCK_BYTES = 32 << 20
+#: Bytes that a word and the suffix that begins with it take there.
+SUFFIX_BYTES = 48
 
 #: Bytes between words: all ASCII but digits and letters.
 BETWEEN = np.ones(256, bool)
 BETWEEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -59,7 +62,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 @dataclass
 class Queries:
-    """Suffixes of the test items, one for each window: words holds all items' hashes, start where a suffix begins."""
+    """Suffixes of the test items, one for each window: words holds all items' hashes, start where a suffix begins, head where its item does."""
 
     ids: list[str]
     words: np.ndarray
@@ -67,22 +70,17 @@ class Queries:
     stop: np.ndarray
     need: np.ndarray
     item: np.ndarray
+    head: np.ndarray
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], window: int) -> Queries:
         words, first = hashed_words(pa.array([text for _, text in items], pa.large_string()))
-        ids = sorted({name for name, _ in items})
-        number = {name: k for k, name in enumerate(ids)}
-        start, stop, need, item = [], [], [], []
-        for k, (name, _) in enumerate(items):
-            a, b = int(first[k]), int(first[k + 1])
-            for s in range(a, max(a + 1, b - window + 1) if b > a else a):
-                start.append(s)
-                stop.append(b)
-                need.append(min(window, b - a))
-                item.append(number[name])
-        as_long = lambda x: np.array(x, np.int64)
-        return cls(ids, words, as_long(start), as_long(stop), as_long(need), as_long(item))
+        ids, item = np.unique(np.array([name for name, _ in items], object).astype(str), return_inverse=True)
+        size = np.diff(first)
+        suffixes = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        each = lambda x: np.repeat(x, suffixes)
+        inside = np.arange(suffixes.sum()) - each(np.cumsum(suffixes) - suffixes)
+        return cls(ids.tolist(), words, each(first[:-1]) + inside, each(first[1:]), each(np.minimum(window, size)), each(item.ravel()), each(first[:-1]))
 
 
 class Shard:
@@ -143,8 +141,17 @@ class Shard:
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return np.repeat(number, count), self.order[np.repeat(low, count) + inside]
 
-    def longest(self, queries: Queries, number: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Words by which each occurrence goes on to match, its window included."""
+    def longest(self, queries: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longest verbatim matches: number of a test suffix, place and words, of each that no word before it could lengthen.
+
+        An occurrence whose suffix and place both have a match one word before is the rest of that match.
+        """
+        number, place = self.occurrences(queries)
+        code = lambda n, p: n * (len(self.text) + 1) + p
+        before = np.maximum(number - 1, 0)
+        follows = (number > 0) & (place > 0) & (queries.start[before] + 1 == queries.start[number]) & (queries.stop[before] == queries.stop[number])
+        heads = ~(follows & np.isin(code(number - 1, place - 1), code(number, place)))
+        number, place = number[heads], place[heads]
         symbols, length = self.symbols(queries.words), queries.need[number].copy()
         live = np.arange(len(number))
         while len(live):
@@ -153,7 +160,7 @@ class Shard:
             live, a, b = live[fits], a[fits], b[fits]
             live = live[symbols[a] == self.text[b]]
             length[live] += 1
-        return length
+        return number, place, length
 
 
 def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
@@ -163,18 +170,18 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
 def _hits(queries: Queries, window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            shard, n = Shard(batch.column(2), window), batch.num_rows
-            number, place = shard.occurrences(queries.value)
+            shard, n, ids = Shard(batch.column(2), window), batch.num_rows, queries.value.ids
+            number, place, length = shard.longest(queries.value)
             edge = np.zeros(len(shard.text) + 1, np.int64)
             np.add.at(edge, place, 1)
-            np.add.at(edge, place + queries.value.need[number], -1)
+            np.add.at(edge, place + length, -1)
             hit = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
             start, stop = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
             owner = np.searchsorted(shard.first, start, "right") - 1
             spans = pa.StructArray.from_arrays([pa.array(start - shard.first[owner]), pa.array(stop - shard.first[owner])], ["start", "stop"])
-            pairs = np.unique((np.searchsorted(shard.first, place, "right") - 1) * max(1, len(queries.value.ids)) + queries.value.item[number])
-            doc, item = pairs // max(1, len(queries.value.ids)), pairs % max(1, len(queries.value.ids))
-            names = pa.array([queries.value.ids[k] for k in item], pa.string())
+            pairs = np.unique((np.searchsorted(shard.first, place, "right") - 1) * max(1, len(ids)) + queries.value.item[number])
+            doc, item = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+            names = pa.array([ids[k] for k in item], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard.counts.astype(np.int64)), _lists(owner, n, spans), _lists(doc, n, names)], ["doc_id", "text_hash", "n_words", "spans", "items"])
 
     return task
@@ -183,43 +190,47 @@ def _hits(queries: Queries, window: int):
 def _matches(queries: Queries, window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            shard = Shard(batch.column(2), window)
-            number, place = shard.occurrences(queries.value)
-            length = shard.longest(queries.value, number, place)
+            shard, q = Shard(batch.column(2), window), queries.value
+            number, place, length = shard.longest(q)
             owner = np.searchsorted(shard.first, place, "right") - 1
-            q = queries.value
-            head = {int(k): int(q.start[q.item == k].min()) for k in np.unique(q.item[number])}
             names = pa.array([q.ids[k] for k in q.item[number]], pa.string())
-            at = np.array([int(q.start[k]) - head[int(q.item[k])] for k in number], np.int64)
-            yield pa.RecordBatch.from_arrays([names, pa.array(at), batch.column(0).take(pa.array(owner)), pa.array(place - shard.first[owner]), pa.array(length)], ["item_id", "item_at", "doc_id", "doc_at", "words"])
+            yield pa.RecordBatch.from_arrays([names, pa.array(q.start[number] - q.head[number]), batch.column(0).take(pa.array(owner)), pa.array(place - shard.first[owner]), pa.array(length)], ["item_id", "item_at", "doc_id", "doc_at", "words"])
 
     return task
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> Iterator[tuple[DataFrame, object]]:
-    """The documents and a broadcast block of test suffixes, once for each block; a block's bytes are checked first."""
+def _passes(search, schema: str, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, block_bytes: int) -> list[DataFrame]:
+    """What search finds in the documents for each block of test suffixes; a block's bytes are checked before it is sent.
+
+    With several blocks each pass is written and its block let go before the next one is read.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.coalesce(item_text_col, F.lit("")).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("id")), F.lit(0)).alias("n")).first()["n"]
-    blocks = 1 + size // block_bytes
+    size = items.agg(F.coalesce(F.sum(F.octet_length("id") + F.octet_length("text") + SUFFIX_BYTES * F.size(F.split("text", SEPARATORS))), F.lit(0)).alias("n")).first()["n"]
+    blocks, found = 1 + size // block_bytes, []
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        yield rows, spark.sparkContext.broadcast(Queries.of([(r["id"], r["text"]) for r in part.collect()], window))
+        sent = spark.sparkContext.broadcast(Queries.of([(r["id"], r["text"]) for r in part.collect()], window))
+        hits = rows.mapInArrow(search(sent, window), schema)
+        found.append(settled(hits) if blocks > 1 else hits)
+        if blocks > 1:
+            sent.unpersist()
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, n_words, spans of hit words, ids of the items found in it.
 
-    A task builds the suffix array of each few MB of documents it reads and binary-searches every test suffix in it;
-    the documents aren't shuffled. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; an item
+    A task builds the suffix array of each few MB of documents it reads and binary-searches every test suffix in it; the
+    words of the longest matches are hit. The documents aren't shuffled. Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; an item
     of fewer words than the window is one window, one without words is none. A null text has no words; a null
     item_id is the empty id; repeated rows are searched and returned each by itself. A benchmark over block_bytes is
     searched in several passes, whose results are merged per (id, text). Empty tables give no rows or no hits.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, n_words long, spans array<struct<start: long, stop: long>>, items array<string>"
-    found = [rows.mapInArrow(_hits(queries, window), schema) for rows, queries in _passes(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes)]
+    found = _passes(_hits, schema, docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes)
     if len(found) == 1:
         return found[0]
     # one row of each pass meets the others by (id, text, number of the repeat)
@@ -239,20 +250,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(item_id, item_at, doc_id, doc_at, words): every place where a test suffix matches a window or more, and how far it goes."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = None
-    for rows, queries in _passes(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes):
-        found = rows.mapInArrow(_matches(queries, window), f"item_id string, item_at long, doc_id {kind}, doc_at long, words long")
-        out = found if out is None else out.unionByName(found)
+    """(item_id, item_at, doc_id, doc_at, words): each longest verbatim match of a window or more, and where it is in item and document.
+
+    What contamination rests on: repeated rows have their matches each, null texts none, empty tables give no rows.
+    """
+    schema = f"item_id string, item_at long, doc_id {docs.schema[id_col].dataType.simpleString()}, doc_at long, words long"
+    out, *more = _passes(_matches, schema, docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes)
+    for other in more:
+        out = out.unionByName(other)
     return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs."""
+    """The rows of docs in which no window of the benchmark occurs; null texts and repeated rows stay, other columns are kept as they are."""
     dirty = contamination(docs, benchmark, id_col, text_col, **options).where(F.size("items") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
-    keyed = docs.withColumn("__hash", text_hash(F.col(text_col)))
-    return keyed.join(dirty, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text")), "left_anti").select(*docs.columns)
+    rows = whole_rows(docs, id_col, text_col)
+    return rows.join(dirty, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__text")), "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

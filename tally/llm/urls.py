@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import settled
+from tally.llm.common import hot_join, settled
 
 #: (verdict, rule): a host and a path prefix.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -33,37 +33,41 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(source, target, links): links between different hosts; a relative link stays on its page's host and is none."""
+    """(source, target, links): links between different hosts; a relative link stays on its page's host, whatever base it has, and is none."""
     links = pages.select(host_of(F.col(url_col)).alias("source"), F.explode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(HREF), F.lit(1))).alias("link"))
+    links = links.withColumn("link", F.replace("link", F.lit("&amp;"), F.lit("&")))
     absolute = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
     links = links.where(F.col("link").rlike(r"(?i)^([a-z][a-z0-9+.-]*:)?//")).select("source", host_of(absolute).alias("target"))
     return links.where("source <> '' AND target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, rounds: int) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind's seeds (kind, host, seed) over its edges (kind, source, target, share).
 
-    What hosts without edges hold goes back to the seeds. Stops when the scores of all hosts together change by less
-    than the tolerance, or after so many rounds, by when 1 - damping ** rounds of the scores have settled.
+    What hosts without edges hold goes back to the seeds. Stops when a round reaches no new host and the scores of all
+    hosts together change by less than the tolerance, which takes about log(tolerance) / log(damping) rounds, or as many
+    as the farthest host is links away.
     """
     outgoing = edges.select("kind", F.col("source").alias("host")).distinct().withColumn("links", F.lit(True))
     seeds, edges = settled(seeds.join(outgoing, ["kind", "host"], "left")), settled(edges)
     scores = seeds.select("kind", "host", F.col("seed").alias("score"), "links")
-    for _ in range(rounds):
+    reached = -1
+    while True:
         stuck = scores.where("links IS NULL").groupBy("kind").agg(F.sum("score").alias("stuck"))
         moved = scores.join(edges.withColumnRenamed("source", "host"), ["kind", "host"]).select("kind", F.col("target").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
         again = seeds.join(stuck, "kind", "left").select("kind", "host", (F.col("seed") * ((1 - damping) + damping * F.coalesce("stuck", F.lit(0.0)))).alias("part"))
         after = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("part").alias("score"))
         after = settled(after.join(outgoing, ["kind", "host"], "left"))
         old = scores.select("kind", "host", F.col("score").alias("old"))
-        change = after.join(old, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first()["d"]
+        told = after.join(old, ["kind", "host"], "full").agg(F.coalesce(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))), F.lit(0.0)).alias("change"), F.count("score").alias("hosts")).first()
         scores = after
-        if (change or 0.0) < tolerance:
+        if told["change"] < tolerance and told["hosts"] == reached:
             break
+        reached = told["hosts"]
     return scores.select("kind", "host", "score")
 
 
-def host_scores(decided: DataFrame, edges: DataFrame, damping: float, tolerance: float, rounds: int) -> DataFrame:
+def host_scores(decided: DataFrame, edges: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(host, trust, distrust): trust runs along the links, distrust against them, from seed to seed weighed alike.
 
     decided has host and verdict (null: no rule fits) of each page. A host is a seed of trust if rules allow more than
@@ -78,7 +82,7 @@ def host_scores(decided: DataFrame, edges: DataFrame, damping: float, tolerance:
     ways = settled(ways)
     total = ways.groupBy("kind", "source").agg(F.sum("links").alias("total"))
     ways = ways.join(total, ["kind", "source"]).select("kind", "source", "target", (F.col("links") / F.col("total")).alias("share"))
-    scores = propagated(ways, seeds, damping, tolerance, rounds)
+    scores = propagated(ways, seeds, damping, tolerance)
     return scores.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
 
 
@@ -91,25 +95,27 @@ def judged_pages(
     damping: float = 0.85,
     threshold: float = 0.5,
     tolerance: float = 1e-4,
-    rounds: int = 40,
 ) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, and the host's trust and distrust.
 
     The longest rule that fits a url decides. Where none does, the host is blocked if distrust makes up more than
     threshold of its trust and distrust together, else allowed; so a host that no seed reaches is allowed. A null url, or
     one without "://", has an empty host and path, no rule, and is allowed. A null html has no links; an empty table
-    gives no rows. Other columns are not read.
+    gives no rows; repeated pages are judged each; a long html is read whole. Other columns are not read.
     """
     spark = pages.sparkSession
     rules = spark.createDataFrame(RULES, "verdict string, rule string") if rules is None else rules
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    known = host_rules(urls.select("host").distinct(), rules)
-    fits = urls.join(known, "host", "left").withColumn("hit", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0)))
+    hosts = settled(urls.groupBy("host").agg(F.count("*").alias("n")))
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    known = settled(hosts.join(host_rules(hosts.select("host"), rules), "host", "left"))
+    fits = hot_join(urls, known, ["host"], "n", total).withColumn("hit", F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0)))
     decided = settled(fits.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict")))
-    scores = settled(host_scores(decided, settled(host_edges(pages, url_col, html_col)), damping, tolerance, rounds))
+    scores = settled(host_scores(decided, settled(host_edges(pages, url_col, html_col)), damping, tolerance))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     method = F.when(distrust > threshold * (trust + distrust), F.lit("block")).otherwise(F.lit("allow"))
-    return decided.join(scores, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    known = settled(hosts.join(scores, "host", "left"))
+    return hot_join(decided, known, ["host"], "n", total).select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def _odd_documents(spark):
     rng = random.Random(5)
     base = " ".join(rng.choice(WORDS) for _ in range(120))
     rows = [(1, base, "en", "a"), (1, base, "en", "a"), (2, base + " more", None, "a"), (None, base, "en", None), (None, None, None, None), (5, None, "en", "a"), (6, "", "en", "b"), (7, " \n\t", "fr", "b"), (8, "word " * 200_000, "en", "c"), (9, "\n".join(["same line here"] * 40), "en", "c"), (10, "é́ 漢字 😀 \u0000 x", "zz", "c"), (11, base.upper(), "en", "b")]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"hash": F.lit("x"), "size": F.lit(1), "key": F.lit(None).cast("string"), "n_chars": F.length("text")})
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"hash": F.lit("x"), "size": F.lit(1), "key": F.lit(None).cast("string"), "n_chars": F.length("text"), "repeated": F.lit("r"), "__id": F.lit(1), "__text": F.lit("t"), "__copies": F.lit(2), "row": F.lit(0), "shard": F.lit("old"), "a.b": F.col("doc_id")})
 
 
 BENCHMARK = [("q1", " ".join(WORDS[:12])), (None, None), ("q2", "漢字"), ("q3", ""), ("q2", "漢字")]
@@ -47,12 +47,15 @@ RUNS = {
     "decontaminated": lambda d, b: suffixes.decontaminated(d, b),
     "sharding": lambda d, b: sharding.shards(d, limit=2000),
     "with_shards": lambda d, b: sharding.with_shards(d, limit=2000),
+    "longest": lambda d, b: suffixes.longest_matches(d, b),
+    "urls": lambda d, b: urls.judged_pages(d, id_col="doc_id", url_col="text", html_col="source"),
+    "chat": lambda d, b: chat.examples(d, id_col="doc_id", turn_col="n_chars", role_col="lang", trained="en"),
     "simhash": lambda d, b: simhash.near_duplicates(d),
     "dropped": lambda d, b: simhash.drop_near_duplicates(d),
     "similar": lambda d, b: similar.similar_documents(d),
     "drop_similar": lambda d, b: similar.drop_similar(d),
 }
-FEWER = {"mixed", "clean", "decontaminated", "dropped", "drop_similar"}
+FEWER = {"mixed", "clean", "decontaminated", "dropped", "drop_similar", "longest", "chat"}
 
 
 @pytest.mark.parametrize("name", RUNS)
@@ -61,6 +64,8 @@ def test_odd_rows_and_empty_tables(spark, name):
     found = RUNS[name](docs, items).collect()
     assert 0 < len(found) <= 3 * docs.count() if name in FEWER else len(found) == docs.count()
     assert RUNS[name](docs.limit(0), items.limit(0)).count() == 0
+    if name in FEWER - {"longest", "chat"}:
+        assert all(r["a.b"] == r["doc_id"] and (r["__id"], r["__text"], r["__copies"], r["repeated"]) == (1, "t", 2, "r") for r in found)
 
 
 def test_simhash_equals_brute_force(spark):
@@ -247,3 +252,124 @@ def test_pipeline_stages_against_brute_force(spark):
             assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in docs.collect() if not window(r["text"]) & bad)
         docs, was = out, docs
     assert docs.count() == was.count()
+
+
+def test_repeated_rows_at_a_boundary(spark):
+    """Equal rows are documents of their own: the mix's rows hold as many words as its plan."""
+    docs = spark.createDataFrame([(1, "one two three four five six", "a")] * 200 + [(2, " ".join(["w"] * 400), "b")], "doc_id long, text string, source string")
+    plan = mixing.mixture(docs)
+    planned = {r["source"]: r["t"] for r in plan.groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    written = {r["source"]: r["t"] for r in mixing.mixed_documents(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t")).collect()}
+    assert planned == written
+
+
+def test_mixture_takes_whole_epochs_then_smallest_keys(spark):
+    """Against a plain run of the method: keys from hash and weight, whole epochs first, then ascending keys up to the budget."""
+    import math
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [r.asDict() for r in mixing.mixture(docs).collect()]
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(0), F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    drawn = {(r["doc_id"], r["text_hash"]): r for r in hashed.collect()}
+    by = {}
+    for r in rows:
+        own = drawn[r["doc_id"], r["text_hash"]]
+        mean = own["chars"] / max(1, r["size"]) - 1
+        weight = 0.5 + 0.5 * math.exp(-abs(mean - 5.5) / 5.5) if r["size"] else 0.5
+        r["key"] = -math.log(((own["h"] % (1 << 64) >> 11) + 0.5) / 2**53) / weight
+        by.setdefault(r["source"], []).append(r)
+    for group in by.values():
+        size, target = group[0]["source_size"], group[0]["target"]
+        whole = int(target / size + 1e-9)
+        left = target - whole * size
+        for r in sorted(group, key=lambda r: r["key"]):
+            once = r["size"] <= left or 0 < left < r["size"] and r["size"] - left < left
+            assert r["copies"] == whole + (once if left > 0.5 else 0) or not r["size"], r
+            left -= r["size"]
+
+
+def test_trust_equals_power_iteration(spark):
+    """Hosts in a random graph with two chains longer than any fixed number of rounds reaches: dense power iteration agrees."""
+    rng = random.Random(12)
+    hosts = [f"h{k}.org" for k in range(60)] + ["shop.com", "www.good.com"] + ["x.net", "y.example.com"]
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(120)] + [(k, k + 1) for k in range(40, 50)] + [(k + 1, k) for k in range(50, 59)] + [(60, 40), (60, 3), (61, 7), (50, 62), (9, 62), (11, 63)]
+    urls_of = [f"http://{h}/" for h in hosts[:62]] + ["http://x.net/es/", "http://y.example.com/en/"]
+    links = sorted({(a, b) for a, b in links if a != b})
+    html = [" ".join(f'<a href="{urls_of[b]}">' for a, b in links if a == k) for k in range(64)]
+    found = urls.judged_pages(spark.createDataFrame([(k, urls_of[k], html[k]) for k in range(64)], "page_id long, url string, html string"), tolerance=1e-9).collect()
+
+    def rank(edges, seeds):
+        go = np.zeros((64, 64))
+        for a, b in edges:
+            go[b, a] = 1
+        out = go.sum(axis=0)
+        seed = np.zeros(64)
+        seed[seeds] = 1 / len(seeds)
+        score = seed.copy()
+        for _ in range(400):
+            score = 0.85 * (go @ np.where(out > 0, score / np.maximum(out, 1), 0)) + seed * (0.15 + 0.85 * score[out == 0].sum())
+        return score
+
+    trust, distrust = rank(links, [60, 61]), rank([(b, a) for a, b in links], [62, 63])
+    for r in found:
+        k = r["page_id"]
+        assert (r["trust"], r["distrust"]) == (pytest.approx(trust[k], abs=1e-7), pytest.approx(distrust[k], abs=1e-7))
+        if k < 60:
+            assert r["verdict"] == ("block" if distrust[k] > 0.5 * (trust[k] + distrust[k]) else "allow")
+    assert {r["verdict"] for r in found if r["page_id"] < 60} == {"allow", "block"}
+
+
+def test_languages_equal_plain_profiles(spark):
+    """Prototypes and cosines recomputed one n-gram at a time, and blocks of one prototype give the same."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(60)
+    rows = docs.collect()
+    found = {r["doc_id"]: r for r in languages.identified(docs).collect()}
+    for r in languages.identified(docs, block_bytes=8192).collect():
+        own = found[r["doc_id"]]
+        assert (r["held_out"], r["lang_pred"], r["score"]) == (own["held_out"], own["lang_pred"], pytest.approx(own["score"], abs=1e-6))
+
+    def profile(text):
+        out = np.zeros(languages.DIMENSIONS)
+        plain = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text or "")).strip() + " "
+        plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in plain)
+        for gram, n in Counter(plain[i : i + 3] for i in range(len(plain) - 2)).items():
+            a, b, c = languages.letter_vectors(np.array([ord(x) for x in gram])).astype(int)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    known = {}
+    for r in rows:
+        if not found[r["doc_id"]]["held_out"] and r["lang"] is not None and r["text"]:
+            known[r["lang"]] = known.get(r["lang"], 0) + profile(r["text"])
+    for r in rows:
+        mine, got = profile(r["text"]), found[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+            continue
+        cosine = {lang: float(mine @ p / np.linalg.norm(mine) / np.linalg.norm(p)) for lang, p in known.items()}
+        assert got["score"] == pytest.approx(max(cosine.values()), abs=1e-4) and cosine[got["lang_pred"]] == pytest.approx(max(cosine.values()), abs=1e-4)
+
+
+def test_splits_equal_sql(spark, same_rows):
+    """The directory at a limit that splits it several times, in the SQL as well."""
+    same_rows(lambda s, folder: sharding.query(s, folder, limit=20_000), sharding.ORACLE_SQL.replace("8388608", "20000"))
+
+
+def test_longest_matches(spark):
+    rng = random.Random(7)
+    item = [rng.choice(WORDS) + str(k) for k in range(30)]
+    docs = [(1, " ".join(["x", *item, "y"])), (2, " ".join(item[5:20])), (3, " ".join([*item[:9], "z", *item[9:30]])), (4, " ".join([*item[:12], *item[:12]])), (5, None)]
+    found = suffixes.longest_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("q", " ".join(item))], "item_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["item_at"], r["doc_at"], r["words"]) for r in found) == [(1, 0, 1, 30), (2, 5, 0, 15), (3, 9, 10, 21), (4, 0, 0, 12), (4, 0, 12, 12)]
+
+
+def test_frequent_lines_on_hosts_of_any_size(spark):
+    """A line in 30 % of the texts goes on a host of 30 texts as on one of 300; one in 3 of 30 texts stays."""
+    rows = []
+    for host, n in (("small", 30), ("large", 300)):
+        for k in range(n):
+            own = "\n".join(" ".join(f"{host}{k}x{i}y{j}" for j in range(12)) for i in range(6))
+            rows.append((len(rows), own + ("\nread more about us here" if k % 10 < 3 else "") + ("\na rare line" if k < 3 else ""), host))
+    kept = {r["doc_id"]: r["text"] for r in quality.clean_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(kept) == len(rows) and not any("read more" in t for t in kept.values())
+    assert sum("a rare line" in t for t in kept.values()) == 6
