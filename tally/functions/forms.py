@@ -136,11 +136,11 @@ def form_number(norm: Column, sender: Column, forms: tuple[Form, ...] = FORMS) -
 
 
 def form_values(norm: Column, number: Column, forms: tuple[Form, ...] = FORMS) -> Column:
-    """A map from field to string of what a text of that form says. One pass of the form's pattern."""
-    values = names = None
+    """A map from field to string of what a text of that form says. One pass of the form's pattern over the whole text."""
+    values, names = None, []
     for k, form in enumerate(forms):
         pattern, fields = form.parts()
-        groups = F.split(F.regexp_replace(F.regexp_extract(norm, pattern, 0), pattern, "\u0001".join(f"${g + 1}" for g in range(len(fields)))), "\u0001")
+        names.append(F.array(*map(F.lit, fields)))
+        groups = F.split(F.regexp_replace(norm, r"(?d)\A[\s\S]*?" + pattern + r"[\s\S]*\z", "\u0001".join(f"${g + 1}" for g in range(len(fields)))), "\u0001")
         values = F.when(number == k, groups) if values is None else values.when(number == k, groups)
-        names = F.when(number == k, F.lit(",".join(fields))) if names is None else names.when(number == k, F.lit(",".join(fields)))
-    return F.map_from_arrays(F.split(names, ","), F.transform(values, lambda x: F.trim(x)))
+    return F.map_from_arrays(F.get(F.array(*names), number), F.transform(values, lambda x: F.trim(x)))

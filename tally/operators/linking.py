@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tally.operators.lineage import settled
+
 WINDOW_SECONDS = 300
 
 
@@ -21,8 +25,11 @@ def topup_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """(topup_id, purchase_id): each top-up in order of (ts, id) with the nearest free purchase of the same card and cents.
 
     legs has id, kind, card, amount, ts and is_internal. Equally near purchases go by (ts, id). Nothing is paired twice.
-    Legs without a card or an amount are left out: they have nothing to match on.
+    Legs without a card or an amount are left out: they have nothing to match on. So are those that have a
+    transfer_group already, if legs has that column, so that a second run over a grown table takes nothing anew.
     """
+    if "transfer_group" in legs.columns:
+        legs = legs.where("transfer_group IS NULL")
     rows = legs.where("kind IN ('wallet_topup', 'purchase') AND card IS NOT NULL AND amount IS NOT NULL AND NOT (kind = 'purchase' AND is_internal)")
     rows = _sessions(rows.select("id", "kind", "card", F.round(F.col("amount") * 100).cast("long").alias("cents"), "ts"), ["card", "cents"], seconds)
     both = rows.groupBy("card", "cents", "session").agg(F.count_distinct("kind").alias("kinds")).where("kinds = 2").select("card", "cents", "session")
@@ -31,20 +38,23 @@ def topup_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["ts", "id"])
-        free, out = group[group["kind"] == "purchase"], []
+        free, out = list(zip(*(group[group["kind"] == "purchase"][c] for c in ("ts", "id")))), []
         for topup in group[group["kind"] == "wallet_topup"].itertuples():
-            far = (free["ts"] - topup.ts).abs()
-            if len(far) and far.min() <= window:
-                best = far.idxmin()
-                out.append((topup.id, free.loc[best, "id"]))
-                free = free.drop(best)
+            after = bisect_left(free, (topup.ts,))
+            near = [(topup.ts - free[after - 1][0], bisect_left(free, (free[after - 1][0],)))] if after else []
+            near += [(free[after][0] - topup.ts, after)] if after < len(free) else []
+            if near and min(near)[0] <= window:
+                out.append((topup.id, free.pop(min(near)[1])[1]))
         return pd.DataFrame(out, columns=["topup_id", "purchase_id"])
 
     return rows.join(both, ["card", "cents", "session"], "left_semi").groupBy("card", "cents", "session").applyInPandas(pair, f"topup_id {kind}, purchase_id {kind}")
 
 
 def linked_topups(legs: DataFrame, owned_cards: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """legs with is_internal and transfer_group: pairs share a group; a top-up of an owned card is internal even alone."""
+    """legs with is_internal and transfer_group: pairs share a group; a top-up of an owned card is internal even alone.
+
+    Running it again, also after more legs came, changes no pair that was made before.
+    """
     mine = legs.join(owned_cards.select("card").distinct(), "card", "left_semi")
     pairs = topup_pairs(mine, seconds)
     group = F.concat(F.lit("tg-"), F.col("topup_id").cast("string"))
@@ -89,26 +99,31 @@ def superseded_legs(legs: DataFrame, pairs: DataFrame) -> DataFrame:
     return legs.join(pairs, legs["message_id"] == pairs["echo_id"]).join(kept, ["kept_id", "account", "direction"]).select(F.col("id").alias("leg_id"), "superseded_by")
 
 
-def strict_pairs(legs: DataFrame, seconds: int = 420) -> DataFrame:
-    """(out_id, in_id): transfers matched one to one on cents, opposite direction, other account and named counterparty, in time order.
+def _buckets(ts: Column, seconds: int) -> Column:
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000))
 
-    legs has id, account, direction, amount, ts and counterparty (the account that the message names, null if none).
-    """
-    rows = legs.where("amount IS NOT NULL").select("id", "account", "direction", "counterparty", F.round(F.col("amount") * 100).cast("long").alias("cents"), "ts")
-    rows = _sessions(rows, ["cents"], seconds)
-    both = rows.groupBy("cents", "session").agg(F.count_distinct("direction").alias("n")).where("n = 2").select("cents", "session")
-    kind = legs.schema["id"].dataType.simpleString()
-    window = pd.Timedelta(seconds=seconds)
 
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "id"])
-        free, out = list(group[group["direction"] == "credit"].itertuples()), []
-        for given in group[group["direction"] == "debit"].itertuples():
-            fits = [t for t in free if t.account != given.account and abs(t.ts - given.ts) <= window and given.counterparty == t.account]
-            if fits:
-                best = min(fits, key=lambda t: (abs(t.ts - given.ts), t.ts, t.id))
-                free.remove(best)
-                out.append((given.id, best.id))
-        return pd.DataFrame(out, columns=["out_id", "in_id"])
-
-    return rows.join(both, ["cents", "session"], "left_semi").groupBy("cents", "session").applyInPandas(pair, f"out_id {kind}, in_id {kind}")
+def strict_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """(out_id, in_id): transfers matched one to one on cents and opposite direction, where either side names the other's account.
+
+    legs has id, kind, account, direction, amount, ts and counterparty (the owned account that the message names, null if
+    none). Only transfers pair, never with their own account. Candidates meet in time buckets of the window's length;
+    the nearest in time pair first, ties by the ids. A pair that is nearest to both its legs is sure, so each round
+    takes all of these at once, until no candidate is left.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = legs.where("kind = 'transfer' AND amount IS NOT NULL").select("id", "account", "direction", "counterparty", F.round(F.col("amount") * 100).cast("long").alias("cents"), micros.alias("at"), _buckets(F.col("ts"), seconds).alias("bucket"))
+    given = rows.where("direction = 'debit'").select(F.col("id").alias("out_id"), F.col("account").alias("giver"), F.col("counterparty").alias("to"), "cents", F.col("at").alias("out_at"), F.explode(F.array(*(F.col("bucket") + k for k in (-1, 0, 1)))).alias("bucket"))
+    taken = rows.where("direction = 'credit'").select(F.col("id").alias("in_id"), F.col("account").alias("taker"), F.col("counterparty").alias("of"), "cents", F.col("at").alias("in_at"), "bucket")
+    apart = F.abs(F.col("out_at") - F.col("in_at"))
+    near = (apart <= seconds * 1_000_000) & (F.col("giver") != F.col("taker"))
+    named = lambda here, there: given.join(taken, (given["cents"] == taken["cents"]) & (given["bucket"] == taken["bucket"]) & (F.col(here) == F.col(there))).where(near).select("out_id", "in_id", apart.alias("apart"))
+    left = settled(named("to", "taker").union(named("of", "giver")).distinct())
+    pairs = left.sparkSession.createDataFrame([], left.select("out_id", "in_id").schema)
+    order = F.struct("apart", "out_id", "in_id")
+    while not left.isEmpty():
+        best = left.withColumns({"of_out": F.min(order).over(Window.partitionBy("out_id")), "of_in": F.min(order).over(Window.partitionBy("in_id"))})
+        sure = settled(best.where((F.col("of_out") == order) & (F.col("of_in") == order)).select("out_id", "in_id"))
+        pairs = pairs.union(sure)
+        left = settled(left.join(sure.select("out_id"), "out_id", "left_anti").join(sure.select("in_id"), "in_id", "left_anti").select("out_id", "in_id", "apart"))
+    return pairs

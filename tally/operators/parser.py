@@ -104,8 +104,12 @@ def parsed_messages(raw: DataFrame, identifiers: DataFrame, funding_account: str
 
 
 def ledger_legs(parsed: DataFrame) -> DataFrame:
-    """One row a leg; its id derives from message, account and direction, so that a rerun writes the same rows."""
-    legs = parsed.where("status = 'parsed'").select(F.col("id").alias("raw_message_id"), "sender", "posted_at", "cycle_start", "kind", M.ledger_type(F.col("kind")).alias("type"), "details", F.explode("legs").alias("leg"))
+    """One row a leg; its id derives from message, account and direction, so that a rerun writes the same rows.
+
+    Only parsed messages have legs. They are told by the leg, not by the status before: a filter below would repeat
+    all that a status and its legs are made of.
+    """
+    legs = parsed.select(F.col("id").alias("raw_message_id"), "sender", "posted_at", "cycle_start", "kind", M.ledger_type(F.col("kind")).alias("type"), "details", F.explode_outer("legs").alias("leg")).where("leg IS NOT NULL")
     key = F.sha2(F.concat_ws("|", F.col("raw_message_id").cast("string"), "leg.account", "leg.direction"), 256)
     return legs.select(key.alias("id"), "raw_message_id", "sender", "posted_at", "cycle_start", "kind", "type", "details.*", "leg.*")
 

@@ -141,13 +141,20 @@ def _legs(spark, d):
     return S.table(spark, d, "events").select(k.alias("id"), kind.alias("kind"), (F.col("user_id") % 5).cast("string").alias("card"), F.floor("value").cast("decimal(14,2)").alias("amount"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(False).alias("is_internal"))
 
 
-@query("topup_links")
-def topup_links(spark, d):
-    """Each top-up's purchase, one to one and nearest first: greedy, so tests hold it against brute force."""
-    return linking.topup_pairs(_legs(spark, d))
+_CANDIDATES = "l AS (SELECT event_id AS id, event_id % 3 = 0 AS topup, user_id % 5 AS card, floor(value) AS amount, ts FROM events)"
 
 
-_CANDIDATES = "l AS (SELECT event_id AS id, event_id % 3 = 0 AS topup, user_id % 5 AS card, floor(value) AS amount, ts FROM events)"
+@query(
+    "topup_links",
+    f"""WITH RECURSIVE {_CANDIDATES}, t AS (SELECT *, row_number() OVER (PARTITION BY card, amount ORDER BY ts, id) AS k FROM l WHERE topup),
+g AS (SELECT DISTINCT card, amount, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS topup_id, NULL::BIGINT AS purchase_id FROM t
+ UNION ALL SELECT card, amount, k, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, id, p FROM (SELECT g.card, g.amount, g.k + 1 AS k, g.used, t.id, first(p.id ORDER BY abs(epoch_us(p.ts) - epoch_us(t.ts)), p.ts, p.id) AS p FROM g JOIN t ON t.card = g.card AND t.amount = g.amount AND t.k = g.k + 1
+   LEFT JOIN l p ON NOT p.topup AND p.card = t.card AND p.amount = t.amount AND abs(epoch_us(p.ts) - epoch_us(t.ts)) <= 300000000 AND NOT list_contains(g.used, p.id) GROUP BY g.card, g.amount, g.k, g.used, t.id))
+SELECT topup_id, purchase_id FROM g WHERE purchase_id IS NOT NULL""",
+)
+def topup_links(spark, d):
+    """Each top-up's purchase, one to one and nearest first, in the order of the top-ups."""
+    return linking.topup_pairs(_legs(spark, d))
 
 
 @query("topup_unlinked_expense", f"WITH {_CANDIDATES} SELECT count(*) FILTER (topup) AS topups, sum(amount) FILTER (NOT topup)::DOUBLE AS expense FROM l")
@@ -156,9 +163,63 @@ def topup_unlinked_expense(spark, d):
     return _legs(spark, d).agg(F.count_if(F.col("kind") == "wallet_topup").alias("topups"), F.sum(F.when(F.col("kind") == "purchase", F.col("amount"))).cast("double").alias("expense"))
 
 
-@query("echoed_transfers")
+@query(
+    "echoed_transfers",
+    """WITH RECURSIVE m AS (SELECT event_id AS id, event_type AS inst, user_id % 5 AS acc, floor(value / 10) AS amount, ts, row_number() OVER (PARTITION BY user_id % 5, floor(value / 10) ORDER BY ts, event_id) AS k FROM events),
+g AS (SELECT DISTINCT acc, amount, 0::BIGINT AS k, []::STRUCT(id BIGINT, inst VARCHAR, ts TIMESTAMP)[] AS kept, NULL::BIGINT AS kept_id, NULL::BIGINT AS echo_id FROM m
+ UNION ALL SELECT acc, amount, k, CASE WHEN f IS NULL THEN list_append(kept, {'id': id, 'inst': inst, 'ts': ts}) ELSE kept END, f, CASE WHEN f IS NOT NULL THEN id END FROM (SELECT g.acc, g.amount, m.k, m.id, m.inst, m.ts::TIMESTAMP AS ts, g.kept, list_filter(g.kept, lambda x: x.inst <> m.inst AND epoch_us(m.ts) - epoch_us(x.ts) <= 300000000)[1].id AS f FROM g JOIN m ON m.acc = g.acc AND m.amount = g.amount AND m.k = g.k + 1))
+SELECT kept_id, echo_id FROM g WHERE echo_id IS NOT NULL""",
+)
 def echoed_transfers(spark, d):
     """Messages that tell of a transfer once more, and the first that did."""
     legs = F.array(F.struct(F.lit("a").alias("account"), F.lit("debit").alias("direction")), F.struct(F.col("user_id").cast("string").alias("account"), F.lit("credit").alias("direction")))
     rows = S.table(spark, d, "events").withColumn("user_id", F.col("user_id") % 5).select(F.col("event_id").alias("message_id"), F.col("event_type").alias("institution"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.floor(F.col("value") / 10).cast("decimal(14,2)").alias("amount"), F.explode(legs).alias("leg"))
     return linking.echoes(rows.select("message_id", "institution", "ts", "amount", "leg.*"))
+
+
+@query(
+    "strict_transfer_pairs",
+    """WITH RECURSIVE l AS (SELECT event_id AS id, event_id % 2 AS side, user_id % 4 AS acc, floor(value / 20) AS amount, (user_id + event_id // 2) % 4 AS named, ts FROM events WHERE event_id % 7 <> 0),
+c AS (SELECT o.id AS out_id, i.id AS in_id, abs(epoch_us(o.ts) - epoch_us(i.ts)) AS gap FROM l o JOIN l i ON o.side = 0 AND i.side = 1 AND o.amount = i.amount AND o.acc <> i.acc AND (o.named = i.acc OR i.named = o.acc) AND abs(epoch_us(o.ts) - epoch_us(i.ts)) <= 300000000),
+g AS (SELECT 0 AS r, []::BIGINT[] AS used, NULL::BIGINT AS out_id, NULL::BIGINT AS in_id UNION ALL SELECT r + 1, list_concat(used, [b.out_id, b.in_id]), b.out_id, b.in_id FROM (SELECT g.r, g.used, first({'out_id': c.out_id, 'in_id': c.in_id} ORDER BY c.gap, c.out_id, c.in_id) AS b FROM g JOIN c ON NOT list_contains(g.used, c.out_id) AND NOT list_contains(g.used, c.in_id) GROUP BY g.r, g.used))
+SELECT out_id, in_id FROM g WHERE out_id IS NOT NULL""",
+)
+def strict_transfer_pairs(spark, d):
+    """Transfers whose two sides name each other's account, nearest in time first; bills (each seventh event) pair with none."""
+    k = F.col("event_id")
+    rows = S.table(spark, d, "events").select(k.alias("id"), F.when(k % 7 == 0, "bill_payment").otherwise("transfer").alias("kind"), F.when(k % 2 == 0, "debit").otherwise("credit").alias("direction"), (F.col("user_id") % 4).cast("string").alias("account"), F.floor(F.col("value") / 20).cast("decimal(14,2)").alias("amount"), ((F.col("user_id") + F.floor(k / 2)) % 4).cast("string").alias("counterparty"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return linking.strict_pairs(rows)
+
+
+@query("failed_attempts", f"WITH {_QUEUE}, a AS (SELECT *, id % 3 = 0 AS bad FROM q) SELECT id, CASE WHEN bad THEN CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS status, CASE WHEN bad THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN bad THEN 2000 END::BIGINT AS error_chars FROM a")
+def failed_attempts(spark, d):
+    """What is kept of failures: their count, and the first 2000 characters of the error."""
+    rows = _queued(spark, d).withColumn("last_error", F.lit(None).cast("string"))
+    found = parser.attempted(rows, F.col("id") % 3 == 0, F.repeat(F.lit("error "), F.lit(500)))
+    return found.select("id", "status", "attempts", F.length("last_error").cast("long").alias("error_chars"))
+
+
+@query("requeued_messages", f"WITH {_QUEUE}, s AS (SELECT *, CASE id % 4 WHEN 0 THEN 'a' ELSE 'b' END AS shape FROM q) SELECT id, CASE WHEN shape = 'a' AND status IN ('needs_review', 'failed') THEN 'pending' ELSE status END AS status, CASE WHEN shape = 'a' AND status IN ('needs_review', 'failed') THEN 0 ELSE attempts END AS attempts FROM s")
+def requeued_messages(spark, d):
+    rows = _queued(spark, d).withColumn("shape", F.when(F.col("id") % 4 == 0, "a").otherwise("b"))
+    return queue.requeued(rows, "a").select("id", "status", "attempts")
+
+
+@query("dismissed_messages", "WITH q AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'needs_review' ELSE 'parsed' END AS status FROM events) SELECT id, CASE WHEN id % 3 = 0 AND status = 'needs_review' THEN CASE WHEN id % 9 = 0 THEN 'needs_review' ELSE 'ignored' END ELSE status END AS status, CASE WHEN id % 3 = 0 AND id % 9 <> 0 AND status = 'needs_review' THEN 'user' END AS ignored_reason FROM q")
+def dismissed_messages(spark, d):
+    """A third is dismissed, a third of these is restored; parsed ones stay."""
+    rows = S.table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, "needs_review").otherwise("parsed").alias("status"), F.lit(None).cast("string").alias("ignored_reason"))
+    gone = queue.dismissed(rows, rows.where("id % 3 = 0").select("id"))
+    return queue.dismissed(gone, rows.where("id % 9 = 0").select("id"), restore=True)
+
+
+@query(
+    "labelled_amounts",
+    r"SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 1234.5 + event_id % 10 WHEN 1 THEN 12 + event_id % 10 WHEN 2 THEN 7.25 END::DOUBLE AS amount FROM events",
+)
+def labelled_amounts(spark, d):
+    """A grand total is taken before a subtotal, which is before a fee."""
+    k = F.col("event_id")
+    total, sub = (k % 10 + 1234).cast("string"), (k % 10 + 12).cast("string")
+    body = F.when(k % 4 == 0, F.concat(F.lit("amount: 3\ntotal due: "), F.regexp_replace(total, r"^(\d)", "$1,"), F.lit(".5"))).when(k % 4 == 1, F.concat(F.lit("fee 1\namount "), sub)).when(k % 4 == 2, "fee: 7.25 SAR").otherwise("nothing")
+    return S.table(spark, d, "events").select(k.alias("id"), text.labelled_amount(body, ["total due", "amount", "fee"]).cast("double").alias("amount"))

@@ -7,13 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tally.functions import text
-from tally.operators import parser, queue
+from tally.operators import linking, parser, queue
 from tally.schemas import RAW_MESSAGE
 
 
+#: The longest sender and body that are taken in.
+SENDER_CHARS, BODY_CHARS = 64, 4000
+#: Days back from the newest leg within which a batch links legs again: the two sides of a movement come in different batches.
+LOOKBACK_DAYS = 7
+
+
+def bounded(messages: DataFrame) -> DataFrame:
+    """The messages that an ingest takes: a sender and a body of at least one character and of the lengths allowed."""
+    return messages.where(F.length("sender").between(1, SENDER_CHARS) & F.length("body").between(1, BODY_CHARS))
+
+
 def message_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """JSON lines of raw messages as they arrive; a missing received_at is the time of reading."""
-    rows = spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", max_files).json(path)
+    """JSON lines of raw messages as they arrive, those of lengths that are taken in; a missing received_at is the time of reading."""
+    rows = bounded(spark.readStream.schema(RAW_MESSAGE).option("maxFilesPerTrigger", max_files).json(path))
     return rows.withColumn("received_at", F.coalesce("received_at", F.current_timestamp()))
 
 
@@ -32,8 +43,38 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+LINK = "id string, is_internal boolean, transfer_group string, superseded_by string, batch long"
+
+
+def current_legs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """All legs written under path as they are now: the newest link of a leg says what it is. before: as of that batch."""
+    legs, links = spark.read.parquet(f"{path}/legs"), _stored(spark, f"{path}/links", LINK)
+    if before is not None:
+        legs, links = legs.where(F.col("batch") <= before), links.where(F.col("batch") < before)
+    newest = links.groupBy(F.col("id").alias("link_id")).agg(F.max_by(F.struct("is_internal", "transfer_group", "superseded_by"), "batch").alias("now"))
+    both = legs.join(newest, legs["id"] == newest["link_id"], "left")
+    return both.withColumns({"is_internal": F.coalesce("now.is_internal", "is_internal"), "transfer_group": F.col("now.transfer_group"), "superseded_by": F.col("now.superseded_by")}).drop("link_id", "now")
+
+
+def new_links(legs: DataFrame, identifiers: DataFrame, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(id, is_internal, transfer_group, superseded_by) of the legs that a scan of the last days changes.
+
+    Top-ups find their purchases, and an echo of a transfer yields to the message that told of it first. Pairs that
+    were made and legs that were superseded are left as they are, so a scan that runs again changes nothing.
+    """
+    newest = legs.agg(F.max("posted_at")).first()[0]
+    recent = legs.where((F.col("posted_at") >= F.lit(newest) - F.make_dt_interval(F.lit(days))) & F.col("superseded_by").isNull())
+    cards = identifiers.where("value <> '__default__'").select(F.col("value").alias("card"))
+    linked = linking.linked_topups(recent.select("id", "kind", F.col("card_last4").alias("card"), "amount", F.col("posted_at").alias("ts"), "is_internal", "transfer_group"), cards)
+    told = recent.where("kind = 'transfer' AND is_internal").select("id", F.col("raw_message_id").alias("message_id"), F.col("sender").alias("institution"), F.col("posted_at").alias("ts"), "account", "direction", "amount")
+    yielded = linking.superseded_legs(told, linking.echoes(told)).withColumnRenamed("leg_id", "id")
+    was = recent.select("id", F.col("is_internal").alias("was_internal"), F.col("transfer_group").alias("was_group"))
+    now = linked.select("id", "is_internal", "transfer_group").join(yielded, "id", "left").join(was, "id")
+    return now.where("is_internal <> was_internal OR NOT (transfer_group <=> was_group) OR superseded_by IS NOT NULL").select("id", "is_internal", "transfer_group", "superseded_by")
+
+
 def write_batch(identifiers: DataFrame, path: str):
-    """Writes a batch's outcomes and legs under path, a folder a batch, so that a repeat of the batch replaces them."""
+    """Writes a batch's outcomes, legs and links under path, a folder a batch, so that a repeat of the batch replaces them."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -44,6 +85,7 @@ def write_batch(identifiers: DataFrame, path: str):
         parsed.write.mode("overwrite").parquet(f"{path}/messages/batch={number}")
         done = spark.read.parquet(f"{path}/messages/batch={number}")
         parser.ledger_legs(done).write.mode("overwrite").parquet(f"{path}/legs/batch={number}")
+        new_links(current_legs(spark, path, number), identifiers).write.mode("overwrite").parquet(f"{path}/links/batch={number}")
 
     return write
 

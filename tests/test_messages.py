@@ -121,3 +121,46 @@ def test_stream_writes_each_message_once(spark, tmp_path):
     run()
     assert spark.read.parquet(str(tmp_path / "out/messages")).count() == 1
     assert {(r["account"], float(r["amount"])) for r in spark.read.parquet(str(tmp_path / "out/legs")).collect()} == {("current", 50.0), ("savings", 50.0)}
+
+
+def test_a_second_run_links_nothing_anew(spark):
+    """A top-up that has its purchase takes no other, and a purchase that comes late finds a top-up that waited."""
+    row = lambda k, kind, seconds: (k, kind, "0256", 12.0, AT + dt.timedelta(seconds=seconds), False)
+    schema, cards = "id long, kind string, card string, amount double, ts timestamp_ntz, is_internal boolean", spark.createDataFrame([("0256",)], "card string")
+    first = linking.linked_topups(spark.createDataFrame([row(1, "wallet_topup", 0), row(2, "purchase", 10), row(3, "purchase", 20), row(4, "wallet_topup", 4000)], schema), cards)
+    state = {r["id"]: (r["is_internal"], r["transfer_group"]) for r in first.collect()}
+    assert state == {1: (True, "tg-1"), 2: (True, "tg-1"), 3: (False, None), 4: (True, None)}
+    assert {r["id"]: (r["is_internal"], r["transfer_group"]) for r in linking.linked_topups(first, cards).collect()} == state
+    late = first.unionByName(spark.createDataFrame([row(5, "purchase", 4100)], schema), allowMissingColumns=True)
+    again = {r["id"]: (r["is_internal"], r["transfer_group"]) for r in linking.linked_topups(late, cards).collect()}
+    assert again == state | {4: (True, "tg-4"), 5: (True, "tg-4")}
+
+
+def test_strict_pairs_of_equal_amounts(spark):
+    """Seven legs of one amount in seven minutes: three transfers, and a bill that pairs with none."""
+    at = lambda m: dt.datetime(2026, 8, 9, 21, m)
+    rows = [(1, "transfer", "savings", "debit", 113.0, at(38), "current"), (2, "transfer", "current", "credit", 113.0, at(38), "savings"), (3, "bill_payment", "current", "debit", 113.0, at(39), None), (4, "transfer", "wallet", "debit", 113.0, at(44), "current"), (5, "transfer", "current", "credit", 113.0, at(44), "wallet"), (6, "transfer", "current", "debit", 113.0, at(45), "savings"), (7, "transfer", "savings", "credit", 113.0, at(45), "current")]
+    legs = spark.createDataFrame(rows, "id long, kind string, account string, direction string, amount double, ts timestamp_ntz, counterparty string")
+    assert {tuple(r) for r in linking.strict_pairs(legs).collect()} == {(1, 2), (4, 5), (6, 7)}
+
+
+def test_stream_links_legs_of_different_batches(spark, tmp_path):
+    """A top-up and its purchase, and two banks' words on one transfer, come in different batches; a third run changes nothing."""
+    source = tmp_path / "in"
+    source.mkdir()
+    topup = {"id": "1", "sender": "barq app", "body": "إضافة أموال\n50 ر.س\nالبطاقة: 0256 , مدى\n2026-07-20 14:00", "received_at": "2026-07-20T11:01:00Z"}
+    purchase = {"id": "2", "sender": "AlRajhiBank", "body": "شراء عبر نقاط البيع\nبطاقة:0256 ;مدى\nلدى:Wallet\nمبلغ:50 SR\nرصيد:1,000.50 SAR\n20/7/26 14:02", "received_at": "2026-07-20T11:03:00Z"}
+    long = {"id": "3", "sender": "AlRajhiBank", "body": "x" * 4001, "received_at": "2026-07-20T11:03:00Z"}
+    owned = spark.createDataFrame([("AlRajhiBank", "0256", "card"), ("barq app", "0256", "card")], "sender string, value string, account string")
+
+    def run(name, *rows):
+        (source / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        ingest.run(ingest.message_stream(spark, str(source)), owned, str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+        return {r["raw_message_id"]: (r["is_internal"], r["transfer_group"]) for r in ingest.current_legs(spark, str(tmp_path / "out")).collect()}
+
+    first = run("a.json", topup, long)
+    assert first == {"1": (True, None)}
+    second = run("b.json", purchase)
+    group = second["1"][1]
+    assert group and second == {"1": (True, group), "2": (True, group)}
+    assert run("c.json", topup | {"id": "4"}, topup | {"id": "5", "received_at": "2026-07-20T12:30:00Z"})["2"] == (True, group)
