@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tally.operators.lineage import settled, shared_folder  # noqa: F401  the operators take them from here
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step inside a task works on; a longer document is taken alone.
@@ -20,23 +21,6 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share: the session's, or one of our own where driver and executors are one process (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tally-"))
-    return sc.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """Rows written once to the shared folder: cuts lineage, and a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_hash(text: Column) -> Column:
     """With the id, this names a document: rows equal in both get equal verdicts."""
     return F.xxhash64(text)

@@ -9,8 +9,11 @@ from tally.llm.common import settled
 
 
 def _centres(pairs: DataFrame) -> DataFrame:
-    """For each u its smallest neighbour or itself; aggregates before the shuffle, so a hub is one row a task."""
-    return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    """For each u its smallest neighbour or itself; aggregates before the shuffle, so a hub is one row a task.
+
+    Written before it is joined: a join of two plain shuffles is one whose skewed partitions, a hub's, can be split.
+    """
+    return settled(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
