@@ -21,6 +21,8 @@ GRAM = 8
 SHARD_SEGMENTS = 4_000
 #: Distinct segments of one gram that a shard takes; those of a gram with more are cut again by grams twice as long.
 GRAM_SEGMENTS = 2_000
+#: A table of fewer keys, 8 bytes each, is broadcast.
+SMALL_KEYS = 1 << 20
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -291,11 +293,15 @@ def segment_masks(segments: DataFrame, weights: DataFrame, window: int, gram: in
     if not known.get(True):
         return masks
     longer = min(2 * gram, window)
-    large = segments.join(F.broadcast(sizes.where("large").select("key")), "key", "left_semi") if known[True] // gram_segments < 1000 else segments.join(sizes.where("large"), "key", "left_semi")
-    cut = settled(large.select("key", "content", "n", "words").dropDuplicates(["key", "content"]).mapInArrow(_cut_again(window, longer), "key long, content long, n long, words string, of long, within long, place int"))
+    large = segments.join(F.broadcast(sizes.where("large").select("key")), "key", "left_semi") if known[True] // gram_segments < SMALL_KEYS else segments.join(sizes.where("large"), "key", "left_semi")
+    cut = large.select("key", "content", "n", "words").dropDuplicates(["key", "content"]).mapInArrow(_cut_again(window, longer), "key long, content long, n long, words string, of long, within long, place int")
+    # most windows of a passage in ever new contexts are unique by now, and go before their words are shuffled
+    heavy = settled(cut.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
+    cut = cut.join(F.broadcast(heavy) if heavy.count() < SMALL_KEYS else heavy, "key", "left_semi")
+    places = settled(cut.drop("words", "n"))
     distinct = settled(cut.groupBy("key", "content").agg(F.sum("n").alias("n"), F.first("words").alias("words")))
     found = segment_masks(distinct, distinct, window, longer, gram_segments).where("mask <> 0")
-    back = cut.select("key", "content", "of", "within", "place").join(found, ["key", "content"])
+    back = places.join(found, ["key", "content"])
     back = back.groupBy(F.col("of").alias("key"), F.col("within").alias("content")).agg(F.bit_or(F.call_function("shiftleft", F.col("mask"), F.col("place"))).alias("mask"))
     return masks.unionByName(back)
 
