@@ -94,15 +94,14 @@ def category_tree(spark, d):
 
 @query(
     "transaction_detail",
-    f"WITH {S.TX}, {S.ACCOUNTS}, {_CAT}, s AS (SELECT transaction_id, count(*) AS n FROM splits GROUP BY 1), b AS (SELECT account_id, posted_at::DATE AS day, count(*) AS n FROM tx GROUP BY 1, 2) SELECT tx.id, a.name AS account, c.name AS category, coalesce(s.n, 0) AS splits, b.n - 1 AS siblings FROM tx JOIN acc a ON a.id = tx.account_id LEFT JOIN cat c ON c.id = tx.category_id LEFT JOIN s ON s.transaction_id = tx.id JOIN b ON b.account_id = tx.account_id AND b.day = posted_at::DATE WHERE tx.id % 500 = 3",
+    f"WITH {S.TX}, {S.ACCOUNTS}, {_CAT}, s AS (SELECT transaction_id, count(*) AS n FROM splits GROUP BY 1), b AS (SELECT account_id, posted_at::DATE AS day, count(*) AS n FROM tx GROUP BY 1, 2) SELECT tx.id, a.name AS account, c.name AS category, coalesce(s.n, 0) AS splits, b.n - 1 AS siblings FROM tx JOIN acc a ON a.id = tx.account_id LEFT JOIN cat c ON c.id = tx.category_id LEFT JOIN s ON s.transaction_id = tx.id JOIN b ON b.account_id = tx.account_id AND b.day = posted_at::DATE",
 )
 def transaction_detail(spark, d):
-    """Some transactions with names, number of splits, and legs of their account on the same day."""
+    """Every transaction with names, number of splits, and legs of its account on the same day."""
     tx = S.transactions(spark, d)
-    some = tx.where("id % 500 = 3")
     split = S.splits(spark, d).groupBy(F.col("transaction_id").alias("id")).agg(F.count("*").alias("n_splits"))
     beside = tx.groupBy("account_id", F.to_date("posted_at").alias("day")).agg(F.count("*").alias("n_day"))
-    rows = some.withColumn("day", F.to_date("posted_at")).join(split, "id", "left").join(beside, ["account_id", "day"]).join(S.accounts(spark, d).select(F.col("id").alias("account_id"), F.col("name").alias("account")), "account_id").join(S.categories(spark, d).select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id", "left")
+    rows = tx.withColumn("day", F.to_date("posted_at")).join(split, "id", "left").join(beside, ["account_id", "day"]).join(S.accounts(spark, d).select(F.col("id").alias("account_id"), F.col("name").alias("account")), "account_id").join(S.categories(spark, d).select(F.col("id").alias("category_id"), F.col("name").alias("category")), "category_id", "left")
     return rows.select("id", "account", "category", F.coalesce("n_splits", F.lit(0)).alias("splits"), (F.col("n_day") - 1).alias("siblings"))
 
 
@@ -148,7 +147,7 @@ def rule_first_match(spark, d):
 
 @query(
     "replay_diff",
-    f"""WITH {S.TX}, st AS (SELECT id AS raw_id, id, account_id, direction, origin, locked_fields, posted_at, amount, merchant_raw, category_id FROM tx WHERE id % 31 <> 0), lg AS (SELECT id AS raw_id, account_id, direction, CASE WHEN id % 29 = 0 THEN 'ignored' ELSE 'parsed' END AS ms, CASE WHEN id % 10 = 1 THEN CAST(amount + 1 AS DECIMAL(14,2)) ELSE amount END AS amount, CASE WHEN id % 15 = 2 THEN 'shop' ELSE merchant_raw END AS merchant_raw, CASE WHEN id % 8 = 4 THEN NULL ELSE category_id END AS category_id FROM tx WHERE id % 3 = 0),
+    f"""WITH {S.TX}, st AS (SELECT id AS raw_id, id, account_id, direction, origin, locked_fields, posted_at, amount, merchant_raw, category_id FROM tx WHERE id % 31 <> 0), lg AS (SELECT id AS raw_id, account_id, direction, CASE WHEN id % 29 = 0 THEN 'ignored' ELSE 'parsed' END AS ms, CASE WHEN id % 10 = 1 THEN CAST(amount + 1 AS DECIMAL(14,2)) ELSE amount END AS amount, CASE WHEN id % 15 = 2 THEN 'shop' ELSE merchant_raw END AS merchant_raw, CASE WHEN id % 8 = 4 THEN NULL ELSE category_id END AS category_id FROM tx),
 j AS (SELECT lg.*, st.id, CASE WHEN ms = 'ignored' THEN 'deleted' WHEN st.id IS NULL THEN 'no-transaction' WHEN st.origin = 'manual' THEN 'manual' WHEN st.posted_at >= TIMESTAMP '2000-01-01' THEN 'out-of-scope' END AS skip, coalesce(locked_fields, []) AS lk,
  list_filter([CASE WHEN lg.amount IS DISTINCT FROM st.amount THEN 'amount:' || coalesce(st.amount::VARCHAR, '-') || ':' || coalesce(lg.amount::VARCHAR, '-') END, CASE WHEN lg.merchant_raw IS DISTINCT FROM st.merchant_raw THEN 'merchant_raw:' || coalesce(st.merchant_raw, '-') || ':' || coalesce(lg.merchant_raw, '-') END, CASE WHEN lg.category_id IS DISTINCT FROM st.category_id THEN 'category_id:' || coalesce(st.category_id::VARCHAR, '-') || ':' || coalesce(lg.category_id::VARCHAR, '-') END], lambda x: x IS NOT NULL) AS df FROM lg LEFT JOIN st ON st.raw_id = lg.raw_id AND st.account_id = lg.account_id AND st.direction = lg.direction),
 k AS (SELECT *, list_filter(df, lambda x: NOT list_contains(lk, split_part(x, ':', 1))) AS ch, list_filter(df, lambda x: list_contains(lk, split_part(x, ':', 1))) AS bl FROM j)
@@ -158,7 +157,7 @@ def replay_diff(spark, d):
     tx = S.transactions(spark, d)
     stored = tx.where("id % 31 <> 0").withColumn("raw_id", F.col("id"))
     k = F.col("id")
-    legs = tx.where("id % 3 = 0").select(k.alias("raw_id"), "account_id", "direction", F.when(k % 29 == 0, "ignored").otherwise("parsed").alias("message_status"), F.when(k % 10 == 1, (F.col("amount") + 1).cast("decimal(14,2)")).otherwise(F.col("amount")).alias("amount"), F.when(k % 15 == 2, "shop").otherwise(F.col("merchant_raw")).alias("merchant_raw"), F.when(k % 8 != 4, F.col("category_id")).alias("category_id"))
+    legs = tx.select(k.alias("raw_id"), "account_id", "direction", F.when(k % 29 == 0, "ignored").otherwise("parsed").alias("message_status"), F.when(k % 10 == 1, (F.col("amount") + 1).cast("decimal(14,2)")).otherwise(F.col("amount")).alias("amount"), F.when(k % 15 == 2, "shop").otherwise(F.col("merchant_raw")).alias("merchant_raw"), F.when(k % 8 != 4, F.col("category_id")).alias("category_id"))
     rows = R.replayed(legs, stored, ["amount", "merchant_raw", "category_id"], F.col("posted_at") < F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz"))
     return rows.select("raw_id", "outcome", F.array_join("changes", " ").alias("changes"), F.array_join("blocked", " ").alias("blocked"))
 

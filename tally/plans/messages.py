@@ -181,8 +181,8 @@ def echoed_transfers(spark, d):
     "strict_transfer_pairs",
     """WITH RECURSIVE l AS (SELECT event_id AS id, event_id % 2 AS side, user_id % 4 AS acc, floor(value / 20) AS amount, (user_id + event_id // 2) % 4 AS named, ts FROM events WHERE event_id % 7 <> 0),
 c AS (SELECT o.id AS out_id, i.id AS in_id, abs(epoch_us(o.ts) - epoch_us(i.ts)) AS gap FROM l o JOIN l i ON o.side = 0 AND i.side = 1 AND o.amount = i.amount AND o.acc <> i.acc AND (o.named = i.acc OR i.named = o.acc) AND abs(epoch_us(o.ts) - epoch_us(i.ts)) <= 300000000),
-g AS (SELECT 0 AS r, []::BIGINT[] AS used, NULL::BIGINT AS out_id, NULL::BIGINT AS in_id UNION ALL SELECT r + 1, list_concat(used, [b.out_id, b.in_id]), b.out_id, b.in_id FROM (SELECT g.r, g.used, first({'out_id': c.out_id, 'in_id': c.in_id} ORDER BY c.gap, c.out_id, c.in_id) AS b FROM g JOIN c ON NOT list_contains(g.used, c.out_id) AND NOT list_contains(g.used, c.in_id) GROUP BY g.r, g.used))
-SELECT out_id, in_id FROM g WHERE out_id IS NOT NULL""",
+g AS (SELECT out_id, in_id, gap, false AS sure FROM c UNION ALL SELECT out_id, in_id, gap, s FROM (SELECT *, bool_or(s) OVER (PARTITION BY out_id) AS x, bool_or(s) OVER (PARTITION BY in_id) AS y FROM (SELECT *, row_number() OVER (PARTITION BY out_id ORDER BY gap, out_id, in_id) = 1 AND row_number() OVER (PARTITION BY in_id ORDER BY gap, out_id, in_id) = 1 AS s FROM g WHERE NOT sure)) WHERE s OR NOT (x OR y))
+SELECT out_id, in_id FROM g WHERE sure""",
 )
 def strict_transfer_pairs(spark, d):
     """Transfers whose two sides name each other's account, nearest in time first; bills (each seventh event) pair with none."""

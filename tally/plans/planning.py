@@ -73,20 +73,20 @@ def budget_carry_close(spark, d):
     return rows.select("category_id", F.col("cycle_start").cast("string"), F.col("amount").cast("double"), "rollover", F.col("carry_in").cast("double"), "action")
 
 
-@query("unclosed_cycles", f"WITH {S.BUDGETS}, c AS (SELECT DISTINCT cycle_start FROM bud WHERE category_id < 3) SELECT cycle_start::VARCHAR AS cycle_start FROM c WHERE cycle_start < DATE '1997-12-25' AND (cycle_start + INTERVAL 1 MONTH)::DATE NOT IN (SELECT cycle_start FROM bud WHERE carry_closed_at IS NOT NULL AND category_id = 0) ORDER BY 1 LIMIT 6")
+@query("unclosed_cycles", f"WITH {S.BUDGETS}, c AS (SELECT DISTINCT cycle_start FROM bud) SELECT cycle_start::VARCHAR AS cycle_start FROM c WHERE cycle_start < DATE '1997-12-25' AND (cycle_start + INTERVAL 1 MONTH)::DATE NOT IN (SELECT cycle_start FROM bud WHERE carry_closed_at IS NOT NULL AND category_id = 0) ORDER BY 1 LIMIT 6")
 def unclosed_cycles(spark, d):
     """Of one category's settlements, so that some cycles are open."""
-    rows = S.budgets(spark, d).where("category_id < 3").withColumn("carry_closed_at", F.when(F.col("category_id") == 0, F.col("carry_closed_at")))
+    rows = S.budgets(spark, d).withColumn("carry_closed_at", F.when(F.col("category_id") == 0, F.col("carry_closed_at")))
     return budgets.unclosed_cycles(rows, dt.date(1998, 1, 10)).select(F.col("cycle_start").cast("string"))
 
 
 def goals(spark, d) -> DataFrame:
     k = F.col("c_custkey")
-    rows = S.table(spark, d, "customer").where("c_custkey % 7 < 3")
+    rows = S.table(spark, d, "customer")
     return rows.select(k.alias("goal_id"), F.when(k % 7 != 2, k - k % 7 + 1).alias("account_id"), (1000 + k % 13 * 500).cast("decimal(14,2)").alias("target_amount"), F.when(k % 5 != 0, F.date_add(F.lit(TODAY), ((k % 11) * 40 - 60).cast("int"))).alias("target_date"), ((k % 9) * 400).cast("decimal(14,2)").alias("allocation"))
 
 
-_GOALS = f"goals AS (SELECT c_custkey AS goal_id, CASE WHEN c_custkey % 7 <> 2 THEN c_custkey - c_custkey % 7 + 1 END AS account_id, CAST(1000 + c_custkey % 13 * 500 AS DECIMAL(14,2)) AS target_amount, CASE WHEN c_custkey % 5 <> 0 THEN DATE '{TODAY}' + (c_custkey % 11 * 40 - 60)::INTEGER END AS target_date, CAST(c_custkey % 9 * 400 AS DECIMAL(14,2)) AS allocation FROM customer WHERE c_custkey % 7 < 3)"
+_GOALS = f"goals AS (SELECT c_custkey AS goal_id, CASE WHEN c_custkey % 7 <> 2 THEN c_custkey - c_custkey % 7 + 1 END AS account_id, CAST(1000 + c_custkey % 13 * 500 AS DECIMAL(14,2)) AS target_amount, CASE WHEN c_custkey % 5 <> 0 THEN DATE '{TODAY}' + (c_custkey % 11 * 40 - 60)::INTEGER END AS target_date, CAST(c_custkey % 9 * 400 AS DECIMAL(14,2)) AS allocation FROM customer)"
 _BUCKETS = f"{BAL}, {_GOALS}, g AS (SELECT account_id, sum(allocation) AS allocated FROM goals WHERE account_id IS NOT NULL GROUP BY 1), buckets AS (SELECT g.account_id, coalesce(b.current_balance, 0)::DOUBLE AS balance, g.allocated::DOUBLE AS allocated, (coalesce(b.current_balance, 0) - g.allocated)::DOUBLE AS remainder, CASE WHEN g.allocated <= 0 THEN 1 ELSE least(1, greatest(0, coalesce(b.current_balance, 0)::DOUBLE) / g.allocated::DOUBLE) END::DOUBLE AS coverage, g.allocated > coalesce(b.current_balance, 0) AS over_allocated FROM g LEFT JOIN bal b ON b.id = g.account_id)"
 
 

@@ -16,7 +16,7 @@ from tally.sources import tables as S
 FIRST, LAST, TODAY = dt.date(1996, 1, 25), dt.date(1997, 7, 25), dt.date(1997, 8, 11)
 _SIGNED = "CASE WHEN direction = 'credit' THEN amount ELSE -amount END"
 _CYCLES = f"""{S.VIEW}, {S.ACCOUNTS}, lg AS (SELECT v.*, CASE WHEN is_internal AND direction = 'credit' THEN 'deposit' WHEN is_internal THEN 'withdrawal' WHEN type = 'profit' AND direction = 'credit' AND NOT excluded THEN 'profit' ELSE 'other' END AS kind, {_SIGNED} AS signed FROM v WHERE state = 'posted'),
-cy AS (SELECT unnest(range(DATE '{FIRST}', DATE '{LAST}' + 1, INTERVAL 1 MONTH))::DATE AS cycle), sa AS (SELECT id AS account_id, opening_balance, cycle, least((cycle + INTERVAL 1 MONTH)::DATE - 1, DATE '{TODAY}') AS last_day, DATE '{TODAY}' < (cycle + INTERVAL 1 MONTH)::DATE - 1 AS partial FROM acc, cy WHERE is_profit_bearing AND id % 6 = 0),
+cy AS (SELECT unnest(range(DATE '{FIRST}', DATE '{LAST}' + 1, INTERVAL 1 MONTH))::DATE AS cycle), sa AS (SELECT id AS account_id, opening_balance, cycle, least((cycle + INTERVAL 1 MONTH)::DATE - 1, DATE '{TODAY}') AS last_day, DATE '{TODAY}' < (cycle + INTERVAL 1 MONTH)::DATE - 1 AS partial FROM acc, cy WHERE is_profit_bearing),
 ct AS (SELECT account_id, cycle_start AS cycle, coalesce(sum(amount) FILTER (kind = 'deposit'), 0) AS deposits, coalesce(sum(amount) FILTER (kind = 'withdrawal'), 0) AS withdrawals, coalesce(sum(amount) FILTER (kind = 'profit'), 0) AS profit, coalesce(sum(signed) FILTER (kind = 'other'), 0) AS other FROM lg GROUP BY 1, 2),
 dd AS (SELECT sa.account_id, sa.cycle, opening_balance, unnest(range(cycle, last_day + 1, INTERVAL 1 DAY))::DATE AS day FROM sa), dm AS (SELECT account_id, local_day AS day, sum(signed) AS moved FROM lg WHERE local_day >= DATE '{FIRST}' GROUP BY 1, 2),
 db AS (SELECT dd.*, opening_balance + sum(coalesce(moved, 0)) OVER (PARTITION BY dd.account_id ORDER BY dd.day) AS balance FROM dd LEFT JOIN dm USING (account_id, day)), av AS (SELECT account_id, cycle, count(*) AS days, (sum(balance)::DOUBLE / count(*)) AS average_daily, arg_max(balance, day) AS closing FROM db GROUP BY 1, 2),
@@ -25,7 +25,7 @@ sv AS (SELECT *, opening_balance + sum(deposits - withdrawals) OVER w AS princip
 
 
 def _savers(spark, d) -> DataFrame:
-    return S.accounts(spark, d).where("is_profit_bearing AND id % 6 = 0")
+    return S.accounts(spark, d).where("is_profit_bearing")
 
 
 def _history(spark, d) -> DataFrame:
@@ -47,15 +47,15 @@ def savings_trailing_yield(spark, d):
 
 @query(
     "yield_projection_band",
-    f"""WITH RECURSIVE {_CYCLES}, h AS (SELECT account_id, arg_max(closing, cycle)::DOUBLE AS balance, avg(CASE WHEN realized_yield IS NOT NULL THEN least(realized_yield, 2) END) AS mean, coalesce(stddev_samp(CASE WHEN realized_yield IS NOT NULL THEN least(realized_yield, 2) END), 0) AS dev FROM (SELECT account_id, cycle, closing, realized_yield FROM sv) GROUP BY 1 HAVING count(realized_yield) > 0),
+    f"""WITH RECURSIVE {_CYCLES}, h AS (SELECT account_id, arg_max(closing, cycle)::DOUBLE AS balance, avg(realized_yield) AS mean, coalesce(stddev_samp(realized_yield), 0) AS dev FROM (SELECT account_id, cycle, closing, realized_yield FROM sv) GROUP BY 1 HAVING count(realized_yield) > 0),
 p AS (SELECT account_id, 0 AS ahead, balance AS low, balance AS mid, balance AS high, mean, dev FROM h UNION ALL SELECT account_id, ahead + 1, low * (1 + greatest(0, mean - dev) / 12) + 100, mid * (1 + mean / 12) + 100, high * (1 + (mean + dev) / 12) + 100, mean, dev FROM p WHERE ahead < 24)
-SELECT account_id, ahead::BIGINT AS ahead, round(low, 2) AS low, round(mid, 2) AS mid, round(high, 2) AS high FROM p""",
+SELECT account_id, ahead::BIGINT AS ahead, format('{{:.9e}}', low)::DOUBLE AS low, format('{{:.9e}}', mid)::DOUBLE AS mid, format('{{:.9e}}', high)::DOUBLE AS high FROM p""",
 )
 def yield_projection_band(spark, d):
-    """From each account's history; yields are capped at 200 % so that figures stay in a range."""
-    seen = _history(spark, d).withColumn("y", F.when(F.col("realized_yield").isNotNull(), F.least("realized_yield", F.lit(2.0))))
-    history = seen.groupBy("account_id").agg(F.max_by("closing", "cycle").alias("balance"), F.avg("y").alias("mean"), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias("deviation")).where("mean IS NOT NULL").withColumn("contribution", F.lit(100.0))
-    return V.projection(history).select("account_id", "ahead", *(F.round(c, 2).alias(c) for c in ("low", "mid", "high")))
+    """From each account's history, as it is: a year's yield on a balance near zero is a large one. Ten digits are told."""
+    seen = _history(spark, d)
+    history = seen.groupBy("account_id").agg(F.max_by("closing", "cycle").alias("balance"), F.avg("realized_yield").alias("mean"), F.coalesce(F.stddev_samp("realized_yield"), F.lit(0.0)).alias("deviation")).where("mean IS NOT NULL").withColumn("contribution", F.lit(100.0))
+    return V.projection(history).select("account_id", "ahead", *(F.format_string("%.9e", c).cast("double").alias(c) for c in ("low", "mid", "high")))
 
 
 @query(
@@ -72,12 +72,12 @@ def payout_status(spark, d):
 
 
 def loans(spark, d) -> DataFrame:
-    """One loan for some accounts: principal from the balance, a yearly rate in percent or as a share, a payment."""
-    rows = S.accounts(spark, d).where("is_liability AND id % 12 = 0")
+    """One loan for each liability: principal from the balance, a yearly rate in percent or as a share, a payment."""
+    rows = S.accounts(spark, d).where("is_liability")
     return rows.select(F.col("id").alias("loan_id"), (F.abs("opening_balance") + 1000).cast("double").alias("balance"), F.when(F.col("id") % 24 == 0, (F.col("id") % 9 + 2).cast("double")).otherwise((F.col("id") % 9 + 2) / 100.0).alias("apr"), (50 + F.col("id") % 7 * 100).cast("double").alias("payment"))
 
 
-_LOANS = "loans AS (SELECT c_custkey AS loan_id, (abs(CAST(c_acctbal AS DECIMAL(14,2))) + 1000)::DOUBLE AS balance, CASE WHEN c_custkey % 24 = 0 THEN (c_custkey % 9 + 2)::DOUBLE ELSE (c_custkey % 9 + 2) / 100.0::DOUBLE END AS apr, (50 + c_custkey % 7 * 100)::DOUBLE AS payment FROM customer WHERE c_custkey % 12 = 0)"
+_LOANS = "loans AS (SELECT c_custkey AS loan_id, (abs(CAST(c_acctbal AS DECIMAL(14,2))) + 1000)::DOUBLE AS balance, CASE WHEN c_custkey % 24 = 0 THEN (c_custkey % 9 + 2)::DOUBLE ELSE (c_custkey % 9 + 2) / 100.0::DOUBLE END AS apr, (50 + c_custkey % 7 * 100)::DOUBLE AS payment FROM customer WHERE c_custkey % 4 = 0)"
 _RATE = "CASE WHEN apr > 1 THEN apr / 100 WHEN apr > 0 THEN apr ELSE 0 END / 12"
 
 

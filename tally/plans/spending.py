@@ -133,11 +133,16 @@ def category_trend_top(spark, d):
     return metrics.top_categories(metrics.spend_by_category(canonical(spark, d), "cycle", _FIRST, _LAST))
 
 
-@query("category_trend_pivot", f"WITH {S.VIEW} SELECT cycle_start::VARCHAR AS bucket, " + ", ".join(f"round(coalesce(sum(amount) FILTER (category_id = {k}), 0)::DOUBLE, 2) AS c{k}" for k in range(5)) + f" FROM v WHERE {EXPENSE} AND cycle_start BETWEEN DATE '{_FIRST}' AND DATE '{_LAST}' GROUP BY cycle_start")
+_COLUMNS = [*range(25), None]
+
+
+@query("category_trend_pivot", f"WITH {S.VIEW} SELECT cycle_start::VARCHAR AS bucket, " + ", ".join(f"round(coalesce(sum(amount) FILTER (category_id {'IS NULL' if k is None else f'= {k}'}), 0)::DOUBLE, 2) AS {'uncategorized' if k is None else f'c{k}'}" for k in _COLUMNS) + f" FROM v WHERE {EXPENSE} AND cycle_start BETWEEN DATE '{_FIRST}' AND DATE '{_LAST}' GROUP BY cycle_start")
 def category_trend_pivot(spark, d):
+    """A column for each category there is, and one for what has none."""
     spent = metrics.spend_by_category(canonical(spark, d), "cycle", _FIRST, _LAST)
-    wide = spent.groupBy("bucket").pivot("category_id", list(range(5))).agg(F.round(F.sum("total"), 2))
-    return wide.select("bucket", *(F.coalesce(F.col(str(k)), F.lit(0.0)).alias(f"c{k}") for k in range(5)))
+    wide = spent.groupBy("bucket").pivot("category_id", _COLUMNS).agg(F.round(F.sum("total"), 2))
+    name = lambda k: "uncategorized" if k is None else f"c{k}"
+    return wide.select("bucket", *(F.coalesce(F.col("null" if k is None else str(k)), F.lit(0.0)).alias(name(k)) for k in _COLUMNS))
 
 
 @query(
