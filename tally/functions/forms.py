@@ -25,7 +25,10 @@ SHAPES = {
 
 @dataclass(frozen=True)
 class Form:
-    """text is in normal form; account names the account that the sender implies; date is a Spark datetime pattern."""
+    """text is in normal form; account names the account that the sender implies; date is a Spark datetime pattern.
+
+    A form that was derived from one message is whole: it fits messages from their first character to their last.
+    """
 
     id: str
     sender: str
@@ -34,6 +37,7 @@ class Form:
     date: str | None
     text: str
     account: str | None = None
+    whole: bool = False
 
     def parts(self) -> tuple[str, list[str]]:
         """The pattern and the field of each of its groups; a blank stands for any number of them."""
@@ -43,7 +47,8 @@ class Form:
             if name:
                 names.append(name)
                 out.append(f"({SHAPES.get(name, '.+?')})")
-        return "(?md)^" + "".join(out) + ("$" if self.text.endswith("}") else ""), names
+        edges = (r"\A", r"\z") if self.whole else ("^", "$" if self.text.endswith("}") else "")
+        return "(?md)" + edges[0] + "".join(out) + edges[1], names
 
 
 # The banks' wordings, after normalisation.
@@ -135,12 +140,17 @@ def form_number(norm: Column, sender: Column, forms: tuple[Form, ...] = FORMS) -
     return out
 
 
+def _around(pattern: str) -> str:
+    """The pattern with whatever stands before and after it, so that one replacement leaves its groups alone."""
+    return r"(?d)\A[\s\S]*?" + pattern + r"[\s\S]*\z"
+
+
 def form_values(norm: Column, number: Column, forms: tuple[Form, ...] = FORMS) -> Column:
     """A map from field to string of what a text of that form says. One pass of the form's pattern over the whole text."""
     values, names = None, []
     for k, form in enumerate(forms):
         pattern, fields = form.parts()
         names.append(F.array(*map(F.lit, fields)))
-        groups = F.split(F.regexp_replace(norm, r"(?d)\A[\s\S]*?" + pattern + r"[\s\S]*\z", "\u0001".join(f"${g + 1}" for g in range(len(fields)))), "\u0001")
+        groups = F.split(F.regexp_replace(norm, _around(pattern), "\u0001".join(f"${g + 1}" for g in range(len(fields)))), "\u0001")
         values = F.when(number == k, groups) if values is None else values.when(number == k, groups)
     return F.map_from_arrays(F.get(F.array(*names), number), F.transform(values, lambda x: F.trim(x)))

@@ -39,6 +39,23 @@ class Rule:
         return cls(row["id"], row.get("priority", 0), tuple(conditions), known, bool(row.get("enabled", True))) if known else None
 
 
+STORED = "struct<match: array<struct<field: string, operator: string, value: string>>, actions: map<string, string>>"
+
+
+def stored_rules(rows: DataFrame) -> DataFrame:
+    """(id, valid, match, actions) of rules stored as JSON (id, rule): one that isn't wholly as it should be never matches.
+
+    A rule needs conditions, each with a known field, a known operator and a value, and at least one known action;
+    actions that aren't known are left out.
+    """
+    parsed = rows.select("id", F.from_json("rule", STORED).alias("r")).select("id", "r.*")
+    sound = F.forall("match", lambda c: c["field"].isin(*FIELDS) & c["operator"].isin(*OPERATORS) & c["value"].isNotNull())
+    known = F.map_filter("actions", lambda k, v: k.isin(*ACTIONS))
+    parsed = parsed.withColumn("actions", known)
+    valid = F.coalesce((F.size("match") > 0) & F.coalesce(sound, F.lit(False)) & (F.size("actions") > 0), F.lit(False))
+    return parsed.select("id", valid.alias("valid"), "match", "actions")
+
+
 def matches(rule: Rule) -> Column:
     """All conditions, without case; superseded legs match nothing."""
 

@@ -183,3 +183,28 @@ def lock_union(spark, d):
 def rows_as_json(spark, d):
     rows = S.table(spark, d, "nation").select("n_regionkey", F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("r"))
     return rows.groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: F.to_json(r)), ",").alias("rows"))
+
+
+_JSON = [
+    '{"match": [{"field": "merchant_raw", "operator": "equals", "value": "x"}], "actions": {"set_category": "4"}}',
+    '{"match": [{"field": "merchant_raw", "operator": "like", "value": "x"}], "actions": {"set_category": "4"}}',
+    '{"match": [], "actions": {"set_category": "4"}}',
+    '{"match": [{"field": "biller", "operator": "contains", "value": "y"}], "actions": {"explode": "1"}}',
+    '{"match": [{"field": "biller", "operator": "contains"}], "actions": {"set_merchant": "1"}}',
+    "not a rule",
+    '{"match": [{"field": "type", "operator": "starts_with", "value": "f"}, {"field": "direction", "operator": "equals", "value": "debit"}], "actions": {"set_merchant": "2", "explode": "1"}}',
+]
+
+
+@query("stored_rules", "SELECT n_nationkey AS id, n_nationkey % 7 IN (0, 6) AS valid, CASE n_nationkey % 7 WHEN 0 THEN 1 WHEN 6 THEN 2 END::INTEGER AS conditions FROM nation")
+def stored_rules(spark, d):
+    """Rules as they are stored, each nation's one of seven, five of them malformed in a way of their own."""
+    rows = S.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.get(F.array(*map(F.lit, _JSON)), (F.col("n_nationkey") % 7).cast("int")).alias("rule"))
+    return R.stored_rules(rows).select("id", "valid", F.when(F.col("valid"), F.size("match")).alias("conditions"))
+
+
+@query("split_violations", f"WITH {S.TX}, s AS (SELECT transaction_id, sum(amount) + CASE WHEN transaction_id % 4 = 1 THEN 1 ELSE 0 END AS parts FROM splits GROUP BY 1) SELECT id, (amount - parts)::DOUBLE AS remainder FROM tx JOIN s ON s.transaction_id = tx.id WHERE parts <> amount")
+def split_violations(spark, d):
+    """Transactions whose splits don't add up to them, and by how much."""
+    parts = S.splits(spark, d).groupBy(F.col("transaction_id").alias("id")).agg((F.sum("amount") + F.when(F.col("transaction_id") % 4 == 1, 1).otherwise(0)).alias("parts"))
+    return S.transactions(spark, d).join(parts, "id").where("parts <> amount").select("id", (F.col("amount") - F.col("parts")).cast("double").alias("remainder"))

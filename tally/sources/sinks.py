@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,18 @@ def csv_field(value: Column) -> Column:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Parts of CSV under path, lines ended by \\r\\n; each begins with the byte order mark and the header, so that it opens by itself."""
-    named = rows.select(*(guarded(F.col(c)).alias(BOM + c if k == 0 else c) for k, c in enumerate(rows.columns)))
-    named.write.option("header", True).option("lineSep", "\r\n").option("escape", '"').option("emptyValue", "").csv(path)
+    """Parts of CSV under path, lines ended by \\r\\n; each begins with the byte order mark and the header, so that it opens by itself.
+
+    Line ends inside a field are kept as they are, which Spark's own CSV would turn into its line separator.
+    """
+    header = BOM + ",".join(rows.columns)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        yield from batches
+
+    lines = rows.select(F.concat_ws(",", *(csv_field(F.col(c)) for c in rows.columns)).alias("value"))
+    lines.mapInArrow(headed, "value string").write.option("lineSep", "\r\n").text(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
