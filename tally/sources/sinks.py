@@ -35,7 +35,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
 
     lines = rows.select(F.concat_ws(",", *(csv_field(F.col(c)) for c in rows.columns)).alias("value"))
     lines.mapInArrow(headed, "value string").write.option("lineSep", "\r\n").text(path)
