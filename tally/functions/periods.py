@@ -74,6 +74,17 @@ def short_label(d) -> Column:
     return F.concat_ws(" ", F.day(_col(d)).cast("string"), F.substring(F.element_at(F.array(*map(F.lit, MONTHS)), F.month(_col(d))), 1, 3))
 
 
+def civil_short(d, today) -> Column:
+    """Day and short month, with the year if it isn't today's."""
+    return F.concat(short_label(d), F.when(F.year(_col(d)) == F.year(_col(today)), "").otherwise(F.concat(F.lit(" "), F.year(_col(d)).cast("string"))))
+
+
+def day_label(d, today) -> Column:
+    """Today, Yesterday, or the weekday and the day."""
+    back = F.datediff(_col(today), _col(d))
+    return F.when(back == 0, "Today").when(back == 1, "Yesterday").otherwise(F.concat(F.date_format(_col(d), "EEE"), F.lit(" "), civil_short(d, today)))
+
+
 def salary_cycle(due, received) -> Column:
     """The cycle a salary funds: that of its due date MM/DD, in January's year if it is announced in December."""
     received = _col(received)

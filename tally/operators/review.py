@@ -37,6 +37,12 @@ def backup_state(last_export: Column, now: Column) -> dict[str, Column]:
     return {"days": days.cast("long"), "never": last_export.isNull(), "due": last_export.isNull() | (days >= EXPORT_DAYS)}
 
 
+def reminder_steps(states: DataFrame) -> DataFrame:
+    """(id, step) from id, due and open (whether a reminder is open): raise one where a backup is due, clear it where none is."""
+    step = F.when(F.col("due") & ~F.col("open"), "raise").when(~F.col("due") & F.col("open"), "clear").otherwise("none")
+    return states.select("id", step.alias("step"))
+
+
 def ranked_alerts(stored: DataFrame, derived: DataFrame | None = None) -> DataFrame:
     """Open alerts (id, severity, created_at) in the order they are shown: by severity, those derived on the spot first, then the newest."""
     rows = stored.select(F.col("id").cast("string").alias("id"), "severity", "created_at", F.lit(1).alias("source"))
@@ -103,6 +109,16 @@ def card_alerts(statements: DataFrame, today, within: int = 3) -> DataFrame:
     return statements.where(F.col("paid_at").isNull() & left.between(0, within)).select(F.lit("card_due").alias("type"), F.col("id").cast("string").alias("key"), left.cast("double").alias("amount"))
 
 
+def pace_order() -> list[Column]:
+    """How paced categories are listed: budgeted ones by the share they have used, then the others by what was spent."""
+    return [F.col("share").desc_nulls_last(), F.when(F.col("share").isNull(), F.col("spent")).desc(), F.col("category_id")]
+
+
+def calendar_order() -> list[Column]:
+    """How series are listed: the soonest first, those without a next date last, then by confidence."""
+    return [F.col("next_expected_at").asc_nulls_last(), F.col("confidence").desc(), F.col("detect_key")]
+
+
 def rule_of(row: dict) -> dict | None:
     """The draft of a rule that catches transactions like this one: its merchant, else its biller; none if it has neither."""
     for field in ("merchant_raw", "biller"):

@@ -130,3 +130,16 @@ def adjustment_legs(edited: DataFrame) -> DataFrame:
     """The leg that books the difference (id, current_balance, stated_balance) an edit by hand leaves; none without one."""
     delta = F.col("stated_balance") - F.col("current_balance")
     return edited.where(delta != 0).select(F.col("id").alias("account_id"), F.lit("adjustment").alias("type"), F.when(delta > 0, "credit").otherwise("debit").alias("direction"), F.abs(delta).alias("amount"), F.lit("manual").alias("origin"), F.lit(True).alias("excluded"))
+
+
+def edit_snapshots(edited: DataFrame, at) -> DataFrame:
+    """The balance stated by hand in each edit that leaves a difference, as a snapshot of its account."""
+    return edited.where("stated_balance <> current_balance").select(F.col("id").alias("account_id"), F.col("stated_balance").alias("balance"), F.lit("manual").alias("source"), F.lit(at).alias("as_of"))
+
+
+def closed_by_edit(alerts: DataFrame, edited: DataFrame, note: str = "balance stated by hand") -> DataFrame:
+    """alerts (account_id, resolved_at, note) after the edits: an open one of an account whose balance was stated is closed with a note."""
+    hit = edited.where("stated_balance <> current_balance").select(F.col("id").alias("account_id"), F.lit(True).alias("stated")).distinct()
+    both = alerts.join(hit, "account_id", "left")
+    closes = F.coalesce("stated", F.lit(False)) & F.col("resolved_at").isNull()
+    return both.withColumn("closed", F.col("resolved_at").isNotNull() | closes).withColumn("note", F.when(closes, F.lit(note)).otherwise(F.col("note"))).drop("stated")

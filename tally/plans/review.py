@@ -219,3 +219,67 @@ def settings_with_defaults(spark, d):
     k = F.col("n_nationkey")
     rows = S.table(spark, d, "nation").select(k.alias("id"), F.when(k % 3 == 0, "Asia/Dubai").alias("timezone"), F.when(k % 2 == 0, 1).alias("anchor_day"))
     return sinks.with_defaults(rows)
+
+
+@query("export_reminders", "WITH s AS (SELECT event_id AS id, event_id % 3 = 0 AS due, event_id % 2 = 0 AS open FROM events) SELECT id, CASE WHEN due AND NOT open THEN 'raise' WHEN NOT due AND open THEN 'clear' ELSE 'none' END AS step FROM s")
+def export_reminders(spark, d):
+    k = F.col("event_id")
+    return V.reminder_steps(S.table(spark, d, "events").select(k.alias("id"), (k % 3 == 0).alias("due"), (k % 2 == 0).alias("open")))
+
+
+@query(
+    "pace_ranking",
+    f"""WITH {S.VIEW}, {S.BUDGETS}, s AS (SELECT * FROM ({_SPENT}) WHERE cycle_start = DATE '{CYCLE}'), b AS (SELECT coalesce(b.category_id, s.category_id) AS category_id, coalesce(s.spent, 0)::DOUBLE AS spent, coalesce(s.spent, 0)::DOUBLE / nullif((b.amount + b.carry_in)::DOUBLE, 0) AS share FROM (SELECT * FROM bud WHERE cycle_start = DATE '{CYCLE}') b FULL JOIN s ON s.category_id = b.category_id)
+SELECT category_id, round(share, 9) AS share FROM b ORDER BY b.share DESC NULLS LAST, CASE WHEN b.share IS NULL THEN spent END DESC NULLS LAST, category_id LIMIT 5""",
+)
+def pace_ranking(spark, d):
+    """The five categories that a phone shows: the limit is the feature."""
+    spent = budgets.spend(canonical(spark, d).where(F.col("cycle_start") == F.lit(CYCLE))).select("category_id", "spent")
+    base = S.budgets(spark, d).where(F.col("cycle_start") == F.lit(CYCLE)).select("category_id", (F.col("amount") + F.col("carry_in")).cast("double").alias("budget"))
+    rows = base.join(spent, "category_id", "full").withColumn("spent", F.coalesce("spent", F.lit(0)).cast("double"))
+    rows = rows.withColumn("share", F.col("spent") / F.nullif(F.col("budget"), F.lit(0.0)))
+    return rows.orderBy(*V.pace_order()).limit(5).select("category_id", F.round("share", 9).alias("share"))
+
+
+@query("series_calendar", "WITH s AS (SELECT n_name AS detect_key, CASE WHEN n_nationkey % 4 <> 0 THEN DATE '1997-08-01' + (n_nationkey * 7 % 20)::INTEGER END AS next_expected_at, (n_nationkey % 3) / 2.0::DOUBLE AS confidence FROM nation) SELECT detect_key, row_number() OVER (ORDER BY next_expected_at NULLS LAST, confidence DESC, detect_key)::INTEGER AS place FROM s")
+def series_calendar(spark, d):
+    k = F.col("n_nationkey")
+    rows = S.table(spark, d, "nation").select(F.col("n_name").alias("detect_key"), F.when(k % 4 != 0, F.date_add(F.lit(dt.date(1997, 8, 1)), (k * 7 % 20).cast("int"))).alias("next_expected_at"), (k % 3 / F.lit(2.0)).alias("confidence"))
+    listed = rows.orderBy(*V.calendar_order()).agg(F.collect_list("detect_key").alias("keys"))
+    return listed.select(F.posexplode("keys").alias("at", "detect_key")).select("detect_key", (F.col("at") + 1).alias("place"))
+
+
+@query(
+    "day_labels",
+    f"WITH d AS (SELECT o_orderkey AS id, o_orderdate::DATE AS d FROM orders), s AS (SELECT id, d, day(d) || ' ' || strftime(d, '%b') || CASE WHEN year(d) = 1997 THEN '' ELSE ' ' || year(d) END AS short FROM d) SELECT id, short, CASE date_diff('day', d, DATE '{_TODAY}') WHEN 0 THEN 'Today' WHEN 1 THEN 'Yesterday' ELSE strftime(d, '%a') || ' ' || short END AS label FROM s",
+)
+def day_labels(spark, d):
+    """How days are called, seen from one of them."""
+    from tally.functions import periods
+
+    rows = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("d"))
+    return rows.select("id", periods.civil_short("d", F.lit(_TODAY)).alias("short"), periods.day_label("d", F.lit(_TODAY)).alias("label"))
+
+
+@query(
+    "account_edit_effects",
+    f"WITH {S.ACCOUNTS}, e AS (SELECT id, opening_balance AS cur, CASE WHEN id % 3 = 0 THEN opening_balance + 10 ELSE opening_balance END AS st FROM acc) SELECT id AS account_id, CASE WHEN st <> cur THEN st END::DOUBLE AS snapshot, id % 5 = 0 OR st <> cur AS closed, CASE WHEN st <> cur AND id % 5 <> 0 THEN 'balance stated by hand' END AS note FROM e",
+)
+def account_edit_effects(spark, d):
+    """Stating a balance by hand leaves a snapshot and closes the account's open drift alert."""
+    from tally.operators import rules as R
+
+    k = F.col("id")
+    rows = S.accounts(spark, d)
+    edited = rows.select("id", F.col("opening_balance").alias("current_balance"), F.when(k % 3 == 0, F.col("opening_balance") + 10).otherwise(F.col("opening_balance")).alias("stated_balance"))
+    alerts = rows.select(k.alias("account_id"), F.when(k % 5 == 0, F.lit(_AT)).alias("resolved_at"), F.lit(None).cast("string").alias("note"))
+    stated = R.edit_snapshots(edited, _AT).select("account_id", F.col("balance").cast("double").alias("snapshot"))
+    return R.closed_by_edit(alerts, edited).join(stated, "account_id", "left").select("account_id", "snapshot", "closed", "note")
+
+
+@query("account_statements", f"WITH {S.TX}, {S.ACCOUNTS}, m AS (SELECT account_id, count(*) AS legs, count(*) FILTER (len(locked_fields) > 0) AS edited, max(posted_at) AS newest FROM tx WHERE state = 'posted' AND superseded_by IS NULL GROUP BY 1) SELECT a.id AS account_id, a.name, coalesce(legs, 0) AS legs, coalesce(edited, 0) AS edited, strftime(newest, '%Y-%m-%d %H:%M:%S') AS newest FROM acc a LEFT JOIN m ON m.account_id = a.id WHERE is_active")
+def account_statements(spark, d):
+    """What an account's page scans: its posted legs, those edited by hand, and its newest."""
+    legs = S.transactions(spark, d).where("state = 'posted' AND superseded_by IS NULL").groupBy(F.col("account_id").alias("id")).agg(F.count("*").alias("legs"), F.count_if(F.size("locked_fields") > 0).alias("edited"), F.date_format(F.max("posted_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
+    rows = S.accounts(spark, d).where("is_active").join(legs, "id", "left")
+    return rows.select(F.col("id").alias("account_id"), "name", F.coalesce("legs", F.lit(0)).alias("legs"), F.coalesce("edited", F.lit(0)).alias("edited"), "newest")

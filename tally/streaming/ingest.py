@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tally.functions import forms as M
 from tally.functions import text
 from tally.operators import linking, parser, queue
 from tally.schemas import RAW_MESSAGE
@@ -73,7 +74,7 @@ def new_links(legs: DataFrame, identifiers: DataFrame, days: int = LOOKBACK_DAYS
     return now.where("is_internal <> was_internal OR NOT (transfer_group <=> was_group) OR superseded_by IS NOT NULL").select("id", "is_internal", "transfer_group", "superseded_by")
 
 
-def write_batch(identifiers: DataFrame, path: str):
+def write_batch(identifiers: DataFrame, path: str, backfill: bool = False, forms=M.FORMS):
     """Writes a batch's outcomes, legs and links under path, a folder a batch, so that a repeat of the batch replaces them."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -81,7 +82,7 @@ def write_batch(identifiers: DataFrame, path: str):
         stored = _stored(spark, f"{path}/messages", "body_hash string, batch long").where(F.col("batch") < number)
         fresh = queue.new_messages(batch, stored)
         local = fresh.withColumn("received_at", F.from_utc_timestamp("received_at", "Asia/Riyadh").cast("timestamp_ntz"))
-        parsed = parser.parsed_messages(local, identifiers).withColumn("body", parser.stored_body())
+        parsed = parser.parsed_messages(local, identifiers, backfill=backfill, forms=forms).withColumn("body", parser.stored_body())
         parsed.write.mode("overwrite").parquet(f"{path}/messages/batch={number}")
         done = spark.read.parquet(f"{path}/messages/batch={number}")
         parser.ledger_legs(done).write.mode("overwrite").parquet(f"{path}/legs/batch={number}")
@@ -90,7 +91,14 @@ def write_batch(identifiers: DataFrame, path: str):
     return write
 
 
-def run(messages: DataFrame, identifiers: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Starts the stream, each minute or (once) for what is there."""
-    writer = deduplicated(messages).writeStream.foreachBatch(write_batch(identifiers, path)).option("checkpointLocation", checkpoint)
+def weekly_spend(legs: DataFrame, late: str = "7 days") -> DataFrame:
+    """A stream of legs as spending by account and week from Sunday on; a week is told once it is over and late legs had their time."""
+    spent = legs.where("direction = 'debit' AND NOT is_internal").withWatermark("posted_at", late)
+    week = F.window("posted_at", "7 days", "7 days", "3 days")  # windows count from a Thursday
+    return spent.groupBy(week.alias("week"), "account").agg(F.sum("amount").alias("spent"), F.count("*").alias("legs")).select(F.to_date("week.start").alias("week"), "account", "spent", "legs")
+
+
+def run(messages: DataFrame, identifiers: DataFrame, path: str, checkpoint: str, once: bool = False, backfill: bool = False, forms=M.FORMS) -> StreamingQuery:
+    """Starts the stream, each minute or (once) for what is there. backfill takes messages up to 400 days old, else 3."""
+    writer = deduplicated(messages).writeStream.foreachBatch(write_batch(identifiers, path, backfill, forms)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

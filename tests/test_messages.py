@@ -164,3 +164,29 @@ def test_stream_links_legs_of_different_batches(spark, tmp_path):
     group = second["1"][1]
     assert group and second == {"1": (True, group), "2": (True, group)}
     assert run("c.json", topup | {"id": "4"}, topup | {"id": "5", "received_at": "2026-07-20T12:30:00Z"})["2"] == (True, group)
+
+
+def test_counter_legs(parse):
+    """A card's payment comes out of the account that funds it, a redeemed cashback out of its wallet."""
+    paid = ("AlRajhiBank", "بطاقة فيزا:سداد بSAR 300\nعبر0256;فيزا\nرصيد: 5 SAR\n20/7/26 14:00", AT)
+    redeemed = ("AlRajhiBank", "استرداد نقدي إلى البطاقة:\nتم استرداد و اضافة 12.5 SAR مبلغ الاسترداد النقدي الى رصيد بطاقتك 0256", AT)
+    legs = lambda r: [(x["account"], x["direction"], x["is_internal"], float(x["amount"])) for x in r["legs"]]
+    rows = parse(paid, redeemed, funding_account="current")
+    assert legs(rows[0]) == [("card", "credit", True, 300.0), ("current", "debit", True, 300.0)]
+    assert legs(rows[1]) == [("card", "credit", True, 12.5), ("cashback_wallet", "debit", True, 12.5)]
+    assert legs(parse(paid)[0]) == [("card", "credit", False, 300.0)]
+    assert (rows[0]["snapshot"]["account"], float(rows[0]["snapshot"]["balance"])) == ("card", 5.0)
+
+
+def test_weekly_spend_of_a_stream(spark, tmp_path):
+    """Weeks are told when they are over; a leg that comes within the time for late ones still counts."""
+    schema = "account string, direction string, is_internal boolean, amount double, posted_at timestamp"
+    leg = lambda day, amount, direction="debit": {"account": "a", "direction": direction, "is_internal": False, "amount": amount, "posted_at": f"2026-07-{day:02d}T12:00:00Z"}
+    source = tmp_path / "legs"
+    source.mkdir()
+    stream = ingest.weekly_spend(spark.readStream.schema(schema).json(str(source)))
+    for name, rows in (("a", [leg(6, 10.0), leg(7, 5.0, "credit"), leg(13, 1.0)]), ("b", [leg(8, 2.5)]), ("c", [leg(27, 4.0)]), ("d", [leg(28, 4.0)])):
+        (source / f"{name}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["week"], r["spent"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (dt.date(2026, 7, 5), 12.5) in got and (dt.date(2026, 7, 12), 1.0) in got
