@@ -16,6 +16,8 @@ from tally.llm.common import chunks, settled, text_bytes, text_hash, whole_rows,
 WINDOW = 10
 #: Bytes of test suffixes that one pass sends to all tasks; a larger benchmark is searched in as many passes as it takes.
 BLOCK_BYTES = 32 << 20
+#: Bytes of documents in one suffix array: every test suffix is searched once in each, so the larger the fewer searches.
+SHARD_BYTES = 16 << 20
 #: Bytes that a word and the suffix that begins with it take there.
 SUFFIX_BYTES = 48
 
@@ -169,7 +171,7 @@ def _lists(owner: np.ndarray, n: int, values: pa.Array) -> pa.Array:
 
 def _hits(queries: Queries, window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SHARD_BYTES):
             shard, n, ids = Shard(batch.column(2), window), batch.num_rows, queries.value.ids
             number, place, length = shard.longest(queries.value)
             edge = np.zeros(len(shard.text) + 1, np.int64)
@@ -189,7 +191,7 @@ def _hits(queries: Queries, window: int):
 
 def _matches(queries: Queries, window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SHARD_BYTES):
             shard, q = Shard(batch.column(2), window), queries.value
             number, place, length = shard.longest(q)
             owner = np.searchsorted(shard.first, place, "right") - 1
