@@ -39,6 +39,15 @@ def alert_steps(found: DataFrame, open_alerts: DataFrame) -> DataFrame:
     return both.select(F.coalesce("f.account_id", "o.account_id").alias("account_id"), action.alias("action"), F.coalesce("f.delta", "o.delta").alias("delta"))
 
 
+def refreshed_alerts(alerts: DataFrame, balances: DataFrame, note: str = "balance agrees after an edit by hand") -> DataFrame:
+    """Open alerts (account_id, reported, resolved_at) with the balance as it is now: one that agrees is closed with a note; closed ones stay."""
+    now = balances.select(F.col("id").alias("account_id"), "current_balance")
+    both = alerts.where("resolved_at IS NULL").join(now, "account_id")
+    delta = F.col("current_balance") - F.col("reported")
+    agrees = F.abs(delta) <= F.lit(str(TOLERANCE)).cast("decimal(14,2)")
+    return both.select("account_id", F.col("current_balance").alias("computed"), delta.alias("delta"), agrees.alias("closed"), F.when(agrees, F.lit(note)).alias("note"))
+
+
 def second_latest(alerts: DataFrame, snapshots: DataFrame) -> DataFrame:
     """For each alert (account_id, detected_at) the last but one snapshot before it: since then the drift can have come."""
     seen = alerts.join(snapshots.where("source = 'sms'").select("account_id", "as_of", "id"), "account_id").where("as_of <= detected_at")

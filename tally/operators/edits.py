@@ -177,19 +177,6 @@ def acted_series(series: DataFrame, actions: DataFrame) -> DataFrame:
     return both.withColumns({c: after(c) for c in ("status", "confirmed", "dismissed", "excluded")}).drop("action").select(*series.columns)
 
 
-def merged_series(stored: DataFrame, detected: DataFrame, found: list[str]) -> DataFrame:
-    """stored series brought up to date: the detector owns the found columns, people own status, confirmed, dismissed and excluded.
-
-    Excluded keys are skipped; new ones come in as active; a series that is no longer detected stays as it is.
-    """
-    new = detected.select("detect_key", F.lit(True).alias("seen"), *(F.col(c).alias(f"new_{c}") for c in found))
-    both = stored.withColumn("known", F.lit(True)).join(new, "detect_key", "full")
-    takes = F.col("seen").isNotNull() & ~F.coalesce("excluded", F.lit(False))
-    outcome = F.when(F.col("seen").isNull(), "kept").when(F.coalesce("excluded", F.lit(False)), "skipped").when(F.col("known").isNull(), "created").otherwise("updated")
-    none = F.lit(False)
-    return both.select("detect_key", *(F.when(takes, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in found), F.coalesce("status", F.lit("active")).alias("status"), *(F.coalesce(c, none).alias(c) for c in ("confirmed", "dismissed", "excluded")), outcome.alias("outcome"))
-
-
 def linked_to_series(tx: DataFrame, occurrences: DataFrame, series: DataFrame) -> DataFrame:
     """(id, detect_key): each transaction that a kept series was detected from, by the key of its occurrence."""
     kept = series.where("NOT excluded").select("detect_key")

@@ -114,6 +114,19 @@ def ledger_legs(parsed: DataFrame) -> DataFrame:
     return legs.select(key.alias("id"), "raw_message_id", "sender", "posted_at", "cycle_start", "kind", "type", "details.*", "leg.*")
 
 
+def snapshots(parsed: DataFrame) -> DataFrame:
+    """(account, balance, source, as_of, raw_message_id) of every message that states a balance."""
+    stated = parsed.select("id", "posted_at", F.explode_outer(F.array("snapshot")).alias("s")).where("s IS NOT NULL")  # told by the element, as in ledger_legs
+    return stated.select("s.account", "s.balance", F.lit("sms").alias("source"), F.col("posted_at").alias("as_of"), F.col("id").alias("raw_message_id"))
+
+
+def totals(legs: DataFrame) -> DataFrame:
+    """Income, spending and the change of net worth that legs make: what is credited raises it, on a card as well."""
+    signed = F.when(F.col("direction") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    part = lambda when: F.coalesce(F.sum(F.when(when, F.col("amount"))), F.lit(0)).cast("double")
+    return legs.agg(part(F.col("kind").isin("salary", "profit", "cashback_accrual")).alias("income"), part(F.col("kind").isin("purchase", "bill_payment") & ~F.col("is_internal")).alias("expense"), F.coalesce(F.sum(signed), F.lit(0)).cast("double").alias("net_worth_delta"))
+
+
 def stored_body() -> Column:
     """A one-time code is not kept: its body is replaced when it is recognised."""
     return F.when((F.col("status") == "ignored") & (F.col("kind") == "otp"), F.lit("[redacted]")).otherwise(F.col("body"))

@@ -172,16 +172,6 @@ def series_actions(spark, d):
     return E.acted_series(rows, actions).select("detect_key", "status", "confirmed", "dismissed", "excluded")
 
 
-@query(
-    "series_merge",
-    "WITH s AS (SELECT n_name AS detect_key, CASE WHEN n_nationkey % 3 = 0 THEN 'paused' ELSE 'active' END AS status, n_nationkey % 2 = 0 AS confirmed, n_nationkey % 7 = 0 AS excluded, (n_nationkey * 1.5)::DOUBLE AS amount_avg FROM nation), f AS (SELECT n_name AS detect_key, (n_nationkey * 2)::DOUBLE AS amount_avg FROM nation WHERE n_nationkey % 4 <> 1 UNION ALL SELECT r_name || ' new', r_regionkey::DOUBLE FROM region) SELECT coalesce(s.detect_key, f.detect_key) AS detect_key, CASE WHEN f.detect_key IS NULL OR excluded THEN s.amount_avg ELSE f.amount_avg END AS amount_avg, coalesce(status, 'active') AS status, coalesce(confirmed, false) AS confirmed, CASE WHEN f.detect_key IS NULL THEN 'kept' WHEN excluded THEN 'skipped' WHEN s.detect_key IS NULL THEN 'created' ELSE 'updated' END AS outcome FROM s FULL JOIN f USING (detect_key)",
-)
-def series_merge(spark, d):
-    stored = _stored_series(spark, d).withColumn("amount_avg", F.col("amount_avg").cast("double"))
-    found = stored.where("k % 4 <> 1").select("detect_key", (F.col("k") * 2).cast("double").alias("amount_avg")).unionByName(S.table(spark, d, "region").select(F.concat("r_name", F.lit(" new")).alias("detect_key"), F.col("r_regionkey").cast("double").alias("amount_avg")))
-    return E.merged_series(stored.drop("k"), found, ["amount_avg"]).select("detect_key", "amount_avg", "status", "confirmed", "outcome")
-
-
 @query("series_links", f"WITH {_OCC} SELECT tx.id, o.detect_key FROM tx LEFT JOIN (SELECT * FROM occ WHERE kind <> 'bill') o ON o.transaction_id = tx.id")
 def series_links(spark, d):
     """Each transaction's series; bills are excluded from detection here."""

@@ -247,3 +247,26 @@ def derived_form_parse(spark, d):
     rows = rows.join(amount, "id").withColumn("body", text_).drop("a")
     found = parser.parsed_messages(rows, spark.createDataFrame(IDENTIFIERS, "sender string, value string, account string"), forms=M.FORMS + derive.stored_forms(stored))
     return found.select("id", "form", F.get("legs", F.lit(0))["amount"].cast("double").alias("amount"), F.col("details.merchant").alias("merchant"), F.date_format("posted_at", "yyyy-MM-dd HH:mm").alias("posted_at"))
+
+
+@query("message_snapshots", f"WITH {_M} SELECT id AS raw_message_id, 'rajhi_card' AS account, 1000.5::DOUBLE AS balance, 'sms' AS source, strftime(mt, '%Y-%m-%d %H:%M') AS as_of FROM m WHERE c = 0")
+def message_snapshots(spark, d):
+    """The balances that messages state."""
+    found = parser.snapshots(parsed(spark, d))
+    return found.withColumns({"balance": F.col("balance").cast("double"), "as_of": F.date_format("as_of", "yyyy-MM-dd HH:mm")})
+
+
+@query("message_totals", f"WITH {_M} SELECT coalesce(sum(amount) FILTER (c = 6), 0)::DOUBLE AS income, coalesce(sum(amount) FILTER (c IN (0, 3)), 0)::DOUBLE AS expense, coalesce(sum(CASE WHEN c IN (1, 6) THEN amount WHEN c IN (0, 3) THEN -amount END), 0)::DOUBLE AS net_worth_delta FROM m")
+def message_totals(spark, d):
+    return parser.totals(parser.ledger_legs(parsed(spark, d)))
+
+
+@query(
+    "label_extraction",
+    f"WITH {_M} SELECT id, amount::DOUBLE AS amount, CASE c WHEN 3 THEN '1111' END AS account, CASE c WHEN 3 THEN 'Water' END AS biller, CASE c WHEN 3 THEN '123' END AS invoice, CASE c WHEN 1 THEN '0256' END AS card FROM m WHERE c IN (1, 3)",
+)
+def label_extraction(spark, d):
+    """Bills and top-ups read by the labels of their lines, without any form."""
+    rows = messages(spark, d).where("id % 8 IN (1, 3)").withColumn("norm", text.normalized(F.col("body")))
+    bill, topup, is_bill = text.bill_payment(F.col("norm")), text.wallet_topup(F.col("norm")), F.col("id") % 8 == 3
+    return rows.select("id", F.when(is_bill, bill["amount"]).otherwise(topup["amount"]).cast("double").alias("amount"), F.when(is_bill, bill["from"]).alias("account"), F.when(is_bill, bill["biller"]).alias("biller"), F.when(is_bill, bill["invoice"]).alias("invoice"), F.when(~is_bill, topup["card"]).alias("card"))

@@ -283,3 +283,16 @@ def account_statements(spark, d):
     legs = S.transactions(spark, d).where("state = 'posted' AND superseded_by IS NULL").groupBy(F.col("account_id").alias("id")).agg(F.count("*").alias("legs"), F.count_if(F.size("locked_fields") > 0).alias("edited"), F.date_format(F.max("posted_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
     rows = S.accounts(spark, d).where("is_active").join(legs, "id", "left")
     return rows.select(F.col("id").alias("account_id"), "name", F.coalesce("legs", F.lit(0)).alias("legs"), F.coalesce("edited", F.lit(0)).alias("edited"), "newest")
+
+
+@query("refreshed_alerts", f"WITH {BAL} SELECT id AS account_id, current_balance::DOUBLE AS computed, (CASE WHEN id % 2 = 0 THEN -3.5 ELSE 0 END)::DOUBLE AS delta, id % 2 <> 0 AS closed, CASE WHEN id % 2 <> 0 THEN 'balance agrees after an edit by hand' END AS note FROM bal WHERE id % 3 <> 0")
+def refreshed_alerts(spark, d):
+    """Open drift alerts after edits: those that agree by now close by themselves."""
+    from tally.operators import balances
+
+    k = F.col("id")
+    rows = current(spark, d)
+    reported = (F.col("current_balance") + F.when(k % 2 == 0, F.lit("3.50")).otherwise(F.lit("0")).cast("decimal(14,2)")).cast("decimal(14,2)")
+    alerts = rows.select(k.alias("account_id"), reported.alias("reported"), F.when(k % 3 == 0, F.lit(_AT)).alias("resolved_at"))
+    found = balances.refreshed_alerts(alerts, rows)
+    return found.withColumns({"computed": F.col("computed").cast("double"), "delta": F.col("delta").cast("double")})

@@ -9,24 +9,6 @@ MONEY = T.DecimalType(14, 2)
 # The names that stored rows hold.
 DIRECTIONS = ("debit", "credit")
 TRANSACTION_TYPES = ("purchase", "withdrawal", "transfer", "card_payment", "loan_payment", "fee", "refund", "income", "profit", "bill_payment", "adjustment")
-TRANSACTION_STATES = ("posted", "pending", "reversed", "declined")
-MESSAGE_STATUSES = ("pending", "processing", "parsed", "ignored", "needs_review", "failed")
-LANGUAGES = ("ar", "en", "unknown")
-BALANCE_SEMANTICS = ("balance", "available_credit")
-SNAPSHOT_SOURCES = ("sms", "manual", "computed")
-INCOME_CLASSES = ("earned", "passive", "other")
-CADENCES = ("weekly", "biweekly", "monthly", "quarterly", "yearly")
-ALERT_SEVERITIES = ("critical", "warning", "info")
-
-LEG = T.StructType(
-    [
-        T.StructField("account", T.StringType()),
-        T.StructField("direction", T.StringType()),
-        T.StructField("is_internal", T.BooleanType()),
-        T.StructField("amount", MONEY),
-        T.StructField("kind", T.StringType()),
-    ]
-)
 
 RAW_MESSAGE = T.StructType(
     [

@@ -75,7 +75,7 @@ def new_links(legs: DataFrame, identifiers: DataFrame, days: int = LOOKBACK_DAYS
 
 
 def write_batch(identifiers: DataFrame, path: str, backfill: bool = False, forms=M.FORMS):
-    """Writes a batch's outcomes, legs and links under path, a folder a batch, so that a repeat of the batch replaces them."""
+    """Writes a batch's outcomes, legs, snapshots and links under path, a folder a batch, so that a repeat of the batch replaces them."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -86,6 +86,7 @@ def write_batch(identifiers: DataFrame, path: str, backfill: bool = False, forms
         parsed.write.mode("overwrite").parquet(f"{path}/messages/batch={number}")
         done = spark.read.parquet(f"{path}/messages/batch={number}")
         parser.ledger_legs(done).write.mode("overwrite").parquet(f"{path}/legs/batch={number}")
+        parser.snapshots(done).write.mode("overwrite").parquet(f"{path}/snapshots/batch={number}")
         new_links(current_legs(spark, path, number), identifiers).write.mode("overwrite").parquet(f"{path}/links/batch={number}")
 
     return write
