@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tally.llm.common import settled, text_hash, whole_rows
-from tally.llm.quality import words_of
+from tally.llm.quality import SPACES, SYMBOLS, words_of
 
 #: Rows that one window partition of a source's prefix sum holds about.
 BUCKET_ROWS = 4000
 
 
-def quality_weight(chars: Column, size: Column) -> Column:
-    """Between 0.5 and 1: the nearer the mean word length is to 5.5 code points, the larger; 0.5 without words."""
-    mean = chars / F.greatest(size, F.lit(1)) - 1
-    return F.when(size > 0, 0.5 + 0.5 * F.exp(-F.abs(mean - 5.5) / 5.5)).otherwise(F.lit(0.5))
+def quality_weight(word_chars: Column, symbols: Column, size: Column) -> Column:
+    """Between 0.25 and 1: halved as the mean word is far from 4.5 code points, and once more as symbols take the place of words.
+
+    Both are the counts of quality.document_metrics; 0.5 without words.
+    """
+    words = F.greatest(size, F.lit(1))
+    shape, clean = 0.5 + 0.5 * F.exp(-F.abs(word_chars / words - 4.5) / 4.5), 1 - 0.5 * F.least(F.lit(1.0), symbols / words)
+    return F.when(size > 0, shape * clean).otherwise(F.lit(0.5))
 
 
 def targets(sizes: DataFrame, shares: tuple[float, ...] = (5, 2, 1), epochs: float = 3, total: float | None = None) -> DataFrame:
@@ -76,9 +80,9 @@ def mixture(
     sources are one source, last in order; rows that repeat are documents of their own; an empty table gives none.
     """
     text = F.coalesce(text_col, F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), *([F.length(text).alias("chars")] if weight is None else [weight.cast("double").alias("weight")]))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), *([F.length(F.translate(text, SPACES, "")).alias("chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("symbols")] if weight is None else [weight.cast("double").alias("weight")]))
     if weight is None:
-        rows = rows.withColumn("weight", quality_weight(F.col("chars"), F.col("size"))).drop("chars")
+        rows = rows.withColumn("weight", quality_weight(F.col("chars"), F.col("symbols"), F.col("size"))).drop("chars", "symbols")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text_hash"), 11).cast("double") + 0.5) / float(1 << 53)
     rows = settled(rows.withColumn("key", -F.log(uniform) / F.col("weight")))
     goals = settled(targets(rows, shares, epochs, total))

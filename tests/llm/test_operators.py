@@ -269,13 +269,14 @@ def test_mixture_takes_whole_epochs_then_smallest_keys(spark):
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [r.asDict() for r in mixing.mixture(docs).collect()]
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(0), F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(0), F.col("doc_id").isNull(), "doc_id", F.xxhash64("text")).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     drawn = {(r["doc_id"], r["text_hash"]): r for r in hashed.collect()}
     by = {}
     for r in rows:
         own = drawn[r["doc_id"], r["text_hash"]]
-        mean = own["chars"] / max(1, r["size"]) - 1
-        weight = 0.5 + 0.5 * math.exp(-abs(mean - 5.5) / 5.5) if r["size"] else 0.5
+        words = re.findall(r"[^\x20\x09-\x0D]+", own["text"])
+        mean, symbols = sum(map(len, words)) / max(1, len(words)), sum(c in "#*$%&|<>" for c in own["text"])
+        weight = (0.5 + 0.5 * math.exp(-abs(mean - 4.5) / 4.5)) * (1 - 0.5 * min(1, symbols / len(words))) if words else 0.5
         r["key"] = -math.log(((own["h"] % (1 << 64) >> 11) + 0.5) / 2**53) / weight
         by.setdefault(r["source"], []).append(r)
     for group in by.values():
@@ -373,3 +374,18 @@ def test_frequent_lines_on_hosts_of_any_size(spark):
     kept = {r["doc_id"]: r["text"] for r in quality.clean_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert len(kept) == len(rows) and not any("read more" in t for t in kept.values())
     assert sum("a rare line" in t for t in kept.values()) == 6
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, repeats, a long text and clashing columns go through all stages; an empty table stays empty."""
+    import corpus_pipeline
+
+    docs = _odd_documents(spark).drop("shard")
+    for some in (docs, docs.limit(0)):
+        at = some
+        for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            at = stage(spark, at, SMALL)
+            if number < len(corpus_pipeline.STAGES) - 1:
+                assert at.columns == docs.columns, name
+                at = spark.createDataFrame(at.collect(), at.schema)  # as if written and read
+        assert (at.count() > 0) == (some is docs)
