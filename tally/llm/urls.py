@@ -120,4 +120,31 @@ def judged_pages(
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The rule and verdict of every page."""
-    return judged_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE rules(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+parted AS (SELECT verdict, rule, rule[1:strpos(rule, '/') - 1] AS suffix, rule[strpos(rule, '/'):] AS start FROM rules),
+p AS (SELECT row_number() OVER () AS r, page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+fit AS (SELECT r, first(rule ORDER BY length(rule) DESC) AS rule, first(verdict ORDER BY length(rule) DESC) AS verdict FROM p JOIN parted ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start) GROUP BY r),
+decided AS (SELECT p.*, rule, verdict FROM p LEFT JOIN fit USING (r)),
+shares AS (SELECT host, count(*) FILTER (verdict = 'allow') / count(*) AS allowed, count(*) FILTER (verdict = 'block') / count(*) AS blocked FROM decided WHERE host <> '' GROUP BY 1),
+kinds AS (SELECT host, CASE WHEN allowed > 0.5 THEN 'trust' WHEN blocked > 0.5 THEN 'distrust' END AS kind FROM shares),
+seeds AS (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM kinds WHERE kind IS NOT NULL),
+hrefs AS (SELECT host AS source, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS link FROM p),
+targets AS (SELECT source, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM (SELECT source, replace(link, '&amp;', '&') AS link FROM hrefs) WHERE regexp_matches(link, '(?i)^([a-z][a-z0-9+.-]*:)?//')),
+edges AS (SELECT source, target, count(*) AS links FROM targets WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
+ways AS (SELECT 'trust' AS kind, source, target, links FROM edges UNION ALL SELECT 'distrust', target, source, links FROM edges),
+moves AS (SELECT kind, source, target, links / sum(links) OVER (PARTITION BY kind, source) AS share FROM ways),
+hosts AS (SELECT kind, host FROM seeds UNION SELECT kind, source FROM ways UNION SELECT kind, target FROM ways),
+steps AS (
+  SELECT kind, source, target, 0.85::DOUBLE * share AS w FROM moves
+  UNION ALL SELECT h.kind, h.host, s.host, (CASE WHEN EXISTS (SELECT 1 FROM moves m WHERE m.kind = h.kind AND m.source = h.host) THEN 0.15 ELSE 1 END)::DOUBLE * seed FROM hosts h JOIN seeds s ON s.kind = h.kind),
+ranks AS (
+  SELECT 0 AS n, kind, host, seed AS score FROM seeds
+  UNION ALL
+  SELECT n, kind, host, sum(part) FROM (SELECT ranks.n + 1 AS n, ranks.kind, steps.target AS host, ranks.score * steps.w AS part FROM ranks JOIN steps ON steps.kind = ranks.kind AND steps.source = ranks.host WHERE ranks.n < 80) GROUP BY n, kind, host),
+scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM ranks WHERE n = 80 GROUP BY 1)
+SELECT page_id, d.host, path, rule, coalesce(verdict, CASE WHEN distrust > 0.5 * (trust + distrust) THEN 'block' ELSE 'allow' END) AS verdict FROM decided d LEFT JOIN scores s ON s.host = d.host
+"""

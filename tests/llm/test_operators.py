@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -297,7 +299,7 @@ def test_trust_equals_power_iteration(spark):
     urls_of = [f"http://{h}/" for h in hosts[:62]] + ["http://x.net/es/", "http://y.example.com/en/"]
     links = sorted({(a, b) for a, b in links if a != b})
     html = [" ".join(f'<a href="{urls_of[b]}">' for a, b in links if a == k) for k in range(64)]
-    found = urls.judged_pages(spark.createDataFrame([(k, urls_of[k], html[k]) for k in range(64)], "page_id long, url string, html string"), tolerance=1e-9).collect()
+    found = urls.judged_pages(spark.createDataFrame([(k, urls_of[k], html[k]) for k in range(64)], "page_id long, url string, html string"), tolerance=1e-5).collect()
 
     def rank(edges, seeds):
         go = np.zeros((64, 64))
@@ -314,10 +316,13 @@ def test_trust_equals_power_iteration(spark):
     trust, distrust = rank(links, [60, 61]), rank([(b, a) for a, b in links], [62, 63])
     for r in found:
         k = r["page_id"]
-        assert (r["trust"], r["distrust"]) == (pytest.approx(trust[k], abs=1e-7), pytest.approx(distrust[k], abs=1e-7))
+        assert (r["trust"], r["distrust"]) == (pytest.approx(trust[k], abs=1e-4), pytest.approx(distrust[k], abs=1e-4))
         if k < 60:
             assert r["verdict"] == ("block" if distrust[k] > 0.5 * (trust[k] + distrust[k]) else "allow")
     assert {r["verdict"] for r in found if r["page_id"] < 60} == {"allow", "block"}
+    pages = pd.DataFrame({"page_id": range(64), "url": urls_of, "html": html})
+    sql = duckdb.connect().register("pages", pages).execute(urls.ORACLE_SQL).fetchall()
+    assert sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in found) == sorted(sql)
 
 
 def test_languages_equal_plain_profiles(spark):
