@@ -19,6 +19,9 @@ MODULES = {
     "op8_suffixes": "suffixes",
     "op9_sharding": "sharding",
     "op10_simhash": "simhash",
+    "op11_resampling": "resampling",
+    "op12_phrases": "phrases",
+    "op13_tokens": "tokens",
 }
 
 
