@@ -24,11 +24,11 @@ def quality_weight(word_chars: Column, symbols: Column, size: Column) -> Column:
 
 
 def targets(sizes: DataFrame, shares: tuple[float, ...] = (5, 2, 1), epochs: float = 3, total: float | None = None) -> DataFrame:
-    """(source, source_size, target): the shares repeat over sources by code point, null last.
+    """(source, source_size, docs, mean_weight, target): the shares repeat over sources by code point, null last.
 
     A target stops at epochs times its source's size; the excess is shared anew by weight until none is above. In the
     order of epochs * size / weight the sources that stop come first, and what is left for the rest, by weight, is
-    largest at the first that doesn't stop; so one pass of prefix sums finds the level. Works on one row a source.
+    largest at the first that doesn't stop; so one pass of prefix sums finds the level. Works on one row a source; an empty table gives none.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"), F.avg("weight").alias("mean_weight"))
     per = per.withColumn("turn", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(shares))
@@ -59,6 +59,27 @@ def _prefix(rows: DataFrame, amount: str, out: str) -> DataFrame:
     return joined.withColumn(out, F.col("__inside") + F.col("__offset")).drop("__source", "__bucket", "__inside", "__offset")
 
 
+def _left_over(rows: DataFrame, tolerance: float) -> DataFrame:
+    """Row ids of documents taken once beyond the prefix (once is false there) of sources that miss their target by more than tolerance of it.
+
+    First fit in key order: of the rows that still fit into what is left, those are taken whose prefix sum does; what
+    was too large never fits again, so rounds over ever fewer and smaller rows do what one pass in order would. When
+    none fits, the smallest row left is taken if that is nearer to the target than to leave it.
+    """
+    missing = F.first("gap") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))
+    left = settled(rows.groupBy("source").agg(F.first("target").alias("target"), missing.alias("left")).where((F.col("left") > 0.5) & (F.col("left") > tolerance * F.col("target"))).select("source", "left"))
+    free = settled(_same_source(rows.where("NOT once AND size > 0").select("row_id", "source", "bucket", "key", "doc_id", "text_hash", "size"), left))
+    found, rest = free.select("row_id").limit(0), free.where("size <= left")
+    while not (rest := settled(rest)).isEmpty():
+        rest = settled(_prefix(rest, "size", "before").withColumn("fits", F.col("before") + F.col("size") <= F.col("left")))
+        found = found.unionByName(rest.where("fits").select("row_id"))
+        used = rest.where("fits").groupBy("source").agg(F.sum("size").alias("used"))
+        left = settled(left.join(used.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
+        rest = _same_source(rest.where("NOT fits").drop("left", "before", "fits"), left).where("size <= left")
+    smallest = _same_source(free.drop("left").join(found, "row_id", "left_anti"), left).where("size < 2 * left")
+    return found.unionByName(smallest.groupBy("source").agg(F.min(F.struct("size", "key", "doc_id", "text_hash", "row_id")).alias("x")).select("x.row_id"))
+
+
 def mixture(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -69,22 +90,25 @@ def mixture(
     epochs: int = 3,
     total: float | None = None,
     seed: int = 0,
+    tolerance: float = 0.001,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, source, size, source_size, target, copies and taken (words).
 
     A document's key is an exponential variable over its quality weight, drawn from a hash of seed, id and text, so
     reruns agree; weight is a positive column, by default quality_weight. A source whose target is above its size
     first takes whole epochs of all its documents; what is left of the target goes to documents by ascending key
-    while their prefix sum stays within it, the document at the boundary if that
-    is nearer to the target than to leave it. No document is cut, and none is taken more than epochs times. Null texts have size 0; null
-    sources are one source, last in order; rows that repeat are documents of their own; an empty table gives none.
+    while their prefix sum stays within it. A source that then misses its target by more than tolerance of it goes on
+    past the first document that is too large: whatever still fits is taken in key order, and at last the smallest
+    document left, if that brings the sum nearer. So a source misses its target by at most half of the smallest document that it could
+    still take, or by tolerance. No document is cut, and none is taken more than epochs times. Null texts have size 0;
+    null sources are one source, last in order; rows that repeat are documents of their own; an empty table gives none.
     """
     text = F.coalesce(text_col, F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(source_col).alias("source"), F.size(words_of(text)).cast("long").alias("size"), *([F.length(F.translate(text, SPACES, "")).alias("chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("symbols")] if weight is None else [weight.cast("double").alias("weight")]))
     if weight is None:
         rows = rows.withColumn("weight", quality_weight(F.col("chars"), F.col("symbols"), F.col("size"))).drop("chars", "symbols")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text_hash"), 11).cast("double") + 0.5) / float(1 << 53)
-    rows = settled(rows.withColumn("key", -F.log(uniform) / F.col("weight")))
+    rows = settled(rows.withColumn("key", -F.log(uniform) / F.col("weight")).withColumn("row_id", F.monotonically_increasing_id()))
     goals = settled(targets(rows, shares, epochs, total))
     rows = _same_source(rows, goals)
     # a key's bucket follows its order: keys of mean weight are even in 1 - exp(-key * mean)
@@ -92,9 +116,9 @@ def mixture(
     rows = rows.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(F.lit(0)))
     rows = rows.withColumn("gap", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     rows = _prefix(rows, "size", "before")
-    after = F.col("before") + F.col("size")
-    boundary = (F.col("before") < F.col("gap")) & (after > F.col("gap"))
-    rows = rows.withColumn("taken_once", ((after <= F.col("gap")) | (boundary & (after - F.col("gap") < F.col("gap") - F.col("before")))) & (F.col("gap") > 0.5))
+    rows = settled(rows.withColumn("once", (F.col("before") + F.col("size") <= F.col("gap")) & (F.col("gap") > 0.5)))
+    more = settled(_left_over(rows, tolerance)).withColumn("more", F.lit(True))
+    rows = rows.join(more, "row_id", "left").withColumn("taken_once", F.col("once") | F.coalesce("more", F.lit(False)))
     copies = F.col("whole") + F.col("taken_once").cast("long")
     return rows.withColumn("copies", copies.cast("long")).select("doc_id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
