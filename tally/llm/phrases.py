@@ -19,9 +19,11 @@ PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x0A if chr(b) in ".,;:!?\n\x0b\x
 #: Stands in the word list where a piece ends; no UTF-8 text holds this byte.
 END = b"\xff"
 #: Words of one shard about, and words that a task holds in unfinished shards.
-SHARD_WORDS, HELD_WORDS = 1 << 20, 1 << 22
+SHARD_WORDS, HELD_WORDS = 1 << 19, 1 << 21
 #: Bits of a bitmap's block. Blocks without a bit are not stored.
 BITS = 16
+#: Blocks of phrases that are shifted and met with all words' blocks at once.
+BATCH = 1 << 15
 #: Rows of the frequent pairs up to which they are broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 200_000
 #: Parts that a language's candidates are ranked in before its best of all.
@@ -73,10 +75,11 @@ class Bitmaps:
     bitmap meets the blocks of all words there, and an AND with every word's bitmap costs only the blocks both have.
     """
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, n_words: int):
+        self.n_words = max(1, n_words)
         at = np.flatnonzero(words >= 0)
         block, bit = at // BITS, (1 << (at % BITS)).astype(np.uint16)
-        key = block * (int(words.max(initial=0)) + 1) + words[at]
+        key = block * self.n_words + words[at]
         order = np.argsort(key, kind="stable")
         key, block, bit = key[order], block[order], bit[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
@@ -84,92 +87,98 @@ class Bitmaps:
         self.bits = np.bitwise_or.reduceat(bit, first) if len(first) else bit
         self.begin = np.searchsorted(self.block, np.arange(len(words) // BITS + 3))
         self.order = np.argsort(self.word, kind="stable")
-        self.of_word = np.searchsorted(self.word[self.order], np.arange(int(words.max(initial=-1)) + 2))
-
-    def root(self, word: int) -> tuple[np.ndarray, np.ndarray]:
-        """The word's own bitmap: block numbers and bits."""
-        own = self.order[self.of_word[word] : self.of_word[word + 1]]
-        return self.block[own], self.bits[own]
-
-    def extended(self, block: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Each word that follows: its number, the popcount, and the bitmap of where the longer phrase ends."""
-        over = bits >> np.uint16(BITS - 1) != 0
-        shifted = (bits << np.uint16(1)).astype(np.uint16)
-        block, shifted = np.concatenate([block, block[over] + 1]), np.concatenate([shifted, np.ones(int(over.sum()), np.uint16)])
+
+    def extended(self, group: np.ndarray, block: np.ndarray, bits: np.ndarray, last: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Shift and AND for many phrases at once: which phrase, which word follows, the popcount, and the longer phrases' bitmaps.
+
+        group has the phrase of each block, last the last word of each phrase; pairs, if given, are the sorted numbers
+        (word * vocabulary + next word) of the pairs that may be extended.
+        """
+        over = np.flatnonzero(bits >> np.uint16(BITS - 1))
+        group, block, shifted = np.concatenate([group, group[over]]), np.concatenate([block, block[over] + 1]), np.concatenate([bits << np.uint16(1), np.ones(len(over), np.uint16)])
         sizes = self.begin[block + 1] - self.begin[block]
         ends = np.cumsum(sizes)
         met = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[block] - (ends - sizes), sizes)
         both = self.bits[met] & np.repeat(shifted, sizes)
         hit = np.flatnonzero(both)
-        met, both = met[hit], both[hit]
+        met, both, group = met[hit], both[hit], group[np.searchsorted(ends, hit, "right")]
         word = self.word[met]
-        order = np.argsort(word, kind="stable")
-        word, met, both = word[order], met[order], both[order]
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        if len(first):
-            counts = np.add.reduceat(np.bitwise_count(both).astype(np.int64), first)
-            for k, (a, b) in enumerate(zip(first, np.append(first[1:], len(word)), strict=True)):
-                yield int(word[a]), int(counts[k]), self.block[met[a:b]], both[a:b]
-
-
-def _local(shard: pa.Table, kept: np.ndarray) -> np.ndarray:
+        if pairs is not None:
+            wanted = last[group] * self.n_words + word
+            found = pairs[np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)] == wanted
+            group, word, met, both = group[found], word[found], met[found], both[found]
+        key = group * self.n_words + word
+        order = np.argsort(key, kind="stable")
+        key, met, both = key[order], met[order], both[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        counts = np.add.reduceat(np.bitwise_count(both).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        again = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        return key[first] // self.n_words, key[first] % self.n_words, counts, again, self.block[met], both
+
+    def phrases(self, least: int, most: int, pairs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases of least to most words (a row of word numbers each) and their popcounts.
+
+        Depth-first: a stack holds batches of phrases that share a length, each at most BATCH blocks, or one phrase; the
+        longer ones a batch yields are followed to their end before the next batch.
+        """
+        every = np.arange(self.n_words)
+        own = self.word[self.order].astype(np.int64)
+        stack = [(every[:, None], own, self.block[self.order], self.bits[self.order])]
+        while stack:
+            paths, group, block, bits = stack.pop()
+            if len(block) > BATCH and len(paths) > 1:
+                cut = len(paths) // 2
+                at = int(np.searchsorted(group, cut))
+                stack += [(paths[cut:], group[at:] - cut, block[at:], bits[at:]), (paths[:cut], group[:at], block[:at], bits[:at])]
+                continue
+            of, word, counts, group, block, bits = self.extended(group, block, bits, paths[:, -1], pairs)
+            paths = np.column_stack([paths[of], word])
+            if least <= paths.shape[1] and len(paths):
+                yield paths, counts
+            if paths.shape[1] < most and len(paths):
+                stack.append((paths, group, block, bits))
+
+
+def _local(shard: pa.Table, kept: np.ndarray, size: int) -> np.ndarray:
     """The shard's words renumbered to their places in kept; -1 for all others."""
     words = np.frombuffer(shard.column("words")[0].as_py(), np.int32)
-    new = np.full(len(shard.column("counts")[0]) + 1, -1, np.int32)  # the last is for -1, the end of a piece
+    new = np.full(size + 1, -1, np.int32)  # the last is for -1, the end of a piece
     new[kept] = np.arange(len(kept), dtype=np.int32)
     return new[words]
 
 
 def _pairs(key, shard: pa.Table, frequent: pa.Table) -> pa.Table:
     """How often each frequent word stands right after another in the shard."""
-    if not shard.num_rows or not frequent.num_rows:
-        return pa.table({"shard": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "second": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    found = []
     ids = frequent.column("id").to_numpy()
-    maps = Bitmaps(_local(shard, frequent.column("local").to_numpy()))
-    first, second, n = [], [], []
-    for word in range(len(ids)):
-        for follower, count, _, _ in maps.extended(*maps.root(word)):
-            first.append(word)
-            second.append(follower)
-            n.append(count)
-    take = lambda x: ids[np.array(x, np.int64)]
-    return pa.table({"shard": pa.array(np.full(len(n), key[0].as_py())), "first": pa.array(take(first)), "second": pa.array(take(second)), "n": pa.array(n, pa.int64())})
+    if shard.num_rows and frequent.num_rows:
+        maps = Bitmaps(_local(shard, frequent.column("local").to_numpy(), shard.column("size")[0].as_py()), len(ids))
+        found = [pa.table({"first": ids[paths[:, 0]], "second": ids[paths[:, 1]], "n": counts}) for paths, counts in maps.phrases(2, 2)]
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("first", "second", "n")})
+    made = pa.concat_tables([none, *found])
+    return made.add_column(0, "shard", pa.array(np.full(made.num_rows, key[0].as_py(), np.int64)))
 
 
 def _longer(key, shard: pa.Table, pairs: pa.Table, most: int) -> pa.Table:
-    """How often each phrase of 3 to most words, all of whose pairs are frequent, stands in the shard: depth-first."""
-    texts, counts = [], []
+    """How often each phrase of 3 to most words, all of whose pairs are frequent, stands in the shard."""
+    texts, numbers, lang = [], [np.zeros(0, np.int64)], ""
     if shard.num_rows and pairs.num_rows:
-        named = shard.column("vocabulary")[0].as_py()
+        lang, named = shard.column("lang")[0].as_py(), shard.column("vocabulary")[0].as_py()
+        size = len(named)
         number = {w: k for k, w in enumerate(named)}
         firsts, seconds = (np.array([number[w] for w in pairs.column(c).to_pylist()], np.int64) for c in ("first_word", "second_word"))
         kept = np.unique(np.concatenate([firsts, seconds]))
-        follows: dict[int, set[int]] = {}
-        for a, b in zip(np.searchsorted(kept, firsts).tolist(), np.searchsorted(kept, seconds).tolist(), strict=True):
-            follows.setdefault(a, set()).add(b)
-        maps = Bitmaps(_local(shard, kept))
-
-        def deeper(path: tuple[int, ...], block: np.ndarray, bits: np.ndarray) -> None:
-            allowed = follows.get(path[-1])
-            if not allowed:
-                return
-            for word, n, blocks, own in maps.extended(block, bits):
-                if word in allowed:
-                    if len(path) > 1:
-                        texts.append(" ".join(named[kept[k]] for k in (*path, word)))
-                        counts.append(n)
-                    if len(path) + 1 < most:
-                        deeper((*path, word), blocks, own)
-
-        for word in follows:
-            deeper((word,), *maps.root(word))
-    lang = shard.column("lang")[0].as_py() if shard.num_rows else ""
-    return pa.table({"lang": pa.array([lang] * len(texts), pa.string()), "phrase": pa.array(texts, pa.string()), "n": pa.array(counts, pa.int64())})
+        named = [named[k] for k in kept]
+        allowed = np.unique(np.searchsorted(kept, firsts) * len(kept) + np.searchsorted(kept, seconds))
+        for paths, counts in Bitmaps(_local(shard, kept, size), len(kept)).phrases(3, most, allowed):
+            texts += [" ".join([named[k] for k in path]) for path in paths.tolist()]
+            numbers.append(counts)
+    return pa.table({"lang": pa.array([lang] * len(texts), pa.string()), "phrase": pa.array(texts, pa.string()), "n": np.concatenate(numbers)})
 
 
 def _written(df: DataFrame, name: str) -> str:
-    """Rows as compressed Parquet in the shared folder: shards and pairs are large."""
-    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/phrases-{uuid.uuid4().hex}/{name}")
+    """Rows as compressed Parquet in the shared folder: shards and pairs are large. Pages of many MB, which other codecs would hold twice outside the heap, go through zstd as streams."""
+    df.write.option("compression", "zstd").parquet(path := f"{shared_folder(df.sparkSession)}/phrases-{uuid.uuid4().hex}/{name}")
     return path
 
 
@@ -182,7 +191,7 @@ def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     words = vocabulary.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("n")).where(F.col("n") >= support)
     words = settled(words.withColumn("id", F.monotonically_increasing_id()))
     present = vocabulary.select("shard", "local", "lang", F.col("w.vocabulary").alias("word")).join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id")
-    adjacent = _written(read(path).drop("lang", "vocabulary").groupBy("shard").cogroup(present.groupBy("shard")).applyInArrow(_pairs, "shard long, first long, second long, n long"), "pairs")
+    adjacent = _written(read(path).select("shard", "words", F.size("counts").alias("size")).groupBy("shard").cogroup(present.groupBy("shard")).applyInArrow(_pairs, "shard long, first long, second long, n long"), "pairs")
     pairs = read(adjacent)
     common = pairs.groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
     named = words.select(F.col("id").alias("first"), "lang", F.col("word").alias("first_word")), words.select(F.col("id").alias("second"), F.col("word").alias("second_word"))
@@ -190,7 +199,7 @@ def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     known = common.select("first", "second", "first_word", "second_word")
     known = F.broadcast(known) if common.count() <= BROADCAST_ROWS else known
     at_hand = pairs.select("shard", "first", "second").join(known, ["first", "second"]).select("shard", "first_word", "second_word")
-    local = read(path).groupBy("shard").cogroup(at_hand.groupBy("shard")).applyInArrow(lambda key, left, right: _longer(key, left, right, most), "lang string, phrase string, n long")
+    local = read(path).drop("counts").groupBy("shard").cogroup(at_hand.groupBy("shard")).applyInArrow(lambda key, left, right: _longer(key, left, right, most), "lang string, phrase string, n long")
     longer = settled(local.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)) if most > 2 else None
     found = words.select("lang", F.col("word").alias("phrase"), "n").unionByName(common.select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "n"))
     found = found if longer is None else found.unionByName(longer)
@@ -218,8 +227,8 @@ def lowest_cuts(found: DataFrame, totals: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, support: int = 100, inside_percent: int = 100, top: int = 2000, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to most words by their lowest-scoring cut.
 
-    Texts are lower-cased (A-Z), cut into pieces at .,;:!? and line ends, and into words at blanks and tabs. Shards of a
-    million words of one language hold a bitmap of positions for each word, with an empty place between pieces, so that
+    Texts are lower-cased (A-Z), cut into pieces at .,;:!? and line ends, and into words at blanks and tabs. Shards of half
+    a million words of one language hold a bitmap of positions for each word, with an empty place between pieces, so that
     no phrase goes over one. Popcounts are summed over shards three times: words, pairs of words found support times,
     and phrases, which each shard extends depth-first while every pair in them is found support times anywhere; a
     phrase that is found so often has no rarer part, so none is lost. Numbers are exact. A null text is empty, a null
