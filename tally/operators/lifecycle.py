@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tally.operators.linking import nearest_pairs
+
 #: How far off in amount and days a settlement may be, and in days a refund.
 SETTLE_SHARE, SETTLE_DAYS, REFUND_DAYS = 0.25, 7, 90
 
@@ -14,24 +16,18 @@ def merchant_key() -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce("merchant_raw", "biller"), r"\s+", " ")))
 
 
-def _nearest(pairs: DataFrame, mine: str, other: str) -> DataFrame:
-    """One to one: pairs that are nearest to both sides; what is left of others stays unpaired."""
-    order = F.struct("apart", mine, other)
-    best = pairs.withColumns({"a": F.min(order).over(Window.partitionBy(mine)), "b": F.min(order).over(Window.partitionBy(other))})
-    return best.where((F.col("a") == order) & (F.col("b") == order)).select(mine, other)
-
-
 def settlements(pending: DataFrame, posted: DataFrame) -> DataFrame:
     """(pending_id, posted_id): the message that settles a hold: same account and merchant, within 7 days after, amount within 25 % or the hold a token of 1.
 
-    Both have id, account_id, merchant (null never matches), amount and posted_at. A hold is settled once, by the nearest.
+    Both have id, account_id, merchant (null never matches), amount and posted_at. A hold is settled once: the nearest pairs come first,
+    and a hold whose nearest message settled another one goes on to the next, until no message fits a hold that waits.
     """
     hold = pending.select(F.col("id").alias("pending_id"), "account_id", "merchant", F.col("amount").alias("held"), F.col("posted_at").alias("held_at"), F.explode(F.array(F.floor(F.unix_date(F.to_date("posted_at")) / SETTLE_DAYS), F.floor(F.unix_date(F.to_date("posted_at")) / SETTLE_DAYS) + 1)).alias("week"))
     final = posted.select(F.col("id").alias("posted_id"), "account_id", "merchant", "amount", "posted_at", F.floor(F.unix_date(F.to_date("posted_at")) / SETTLE_DAYS).alias("week"))
     met = hold.join(final, ["account_id", "merchant", "week"])
     days = F.datediff(F.to_date("posted_at"), F.to_date("held_at"))
     near = (F.abs(F.col("amount") - F.col("held")) <= F.col("held") * F.lit(str(SETTLE_SHARE)).cast("decimal(4,2)")) | (F.col("held") == 1)
-    return _nearest(met.where((F.col("posted_at") >= F.col("held_at")) & (days <= SETTLE_DAYS) & near).select("pending_id", "posted_id", F.timestamp_diff("SECOND", F.col("held_at"), F.col("posted_at")).alias("apart")), "pending_id", "posted_id")
+    return nearest_pairs(met.where((F.col("posted_at") >= F.col("held_at")) & (days <= SETTLE_DAYS) & near).select("pending_id", "posted_id", F.timestamp_diff("SECOND", F.col("held_at"), F.col("posted_at")).alias("apart")), "pending_id", "posted_id")
 
 
 def settled_transactions(tx: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -103,13 +103,29 @@ def _buckets(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000))
 
 
+def nearest_pairs(candidates: DataFrame, mine: str, other: str) -> DataFrame:
+    """(mine, other) one to one: the nearest candidates first by (apart, mine, other), until none is left between two free sides.
+
+    A pair that is the nearest to both its sides is sure, so each round takes all of these at once; a candidate that stays
+    has both sides free. Every round settles at least the nearest of all.
+    """
+    left = settled(candidates.select(mine, other, "apart"))
+    pairs = left.select(mine, other).limit(0)
+    order = F.struct("apart", mine, other)
+    while not left.isEmpty():
+        best = left.withColumns({"__a": F.min(order).over(Window.partitionBy(mine)), "__b": F.min(order).over(Window.partitionBy(other))})
+        sure = settled(best.where((F.col("__a") == order) & (F.col("__b") == order)).select(mine, other))
+        pairs = pairs.union(sure)
+        left = settled(left.join(sure.select(mine), mine, "left_anti").join(sure.select(other), other, "left_anti").select(mine, other, "apart"))
+    return pairs
+
+
 def strict_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """(out_id, in_id): transfers matched one to one on cents and opposite direction, where either side names the other's account.
 
     legs has id, kind, account, direction, amount, ts and counterparty (the owned account that the message names, null if
     none). Only transfers pair, never with their own account. Candidates meet in time buckets of the window's length;
-    the nearest in time pair first, ties by the ids. A pair that is nearest to both its legs is sure, so each round
-    takes all of these at once, until no candidate is left.
+    the nearest in time pair first, ties by the ids, in rounds until no candidate is left.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = legs.where("kind = 'transfer' AND amount IS NOT NULL").select("id", "account", "direction", "counterparty", F.round(F.col("amount") * 100).cast("long").alias("cents"), micros.alias("at"), _buckets(F.col("ts"), seconds).alias("bucket"))
@@ -118,12 +134,4 @@ def strict_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     apart = F.abs(F.col("out_at") - F.col("in_at"))
     near = (apart <= seconds * 1_000_000) & (F.col("giver") != F.col("taker"))
     named = lambda here, there: given.join(taken, (given["cents"] == taken["cents"]) & (given["bucket"] == taken["bucket"]) & (F.col(here) == F.col(there))).where(near).select("out_id", "in_id", apart.alias("apart"))
-    left = settled(named("to", "taker").union(named("of", "giver")).distinct())
-    pairs = left.sparkSession.createDataFrame([], left.select("out_id", "in_id").schema)
-    order = F.struct("apart", "out_id", "in_id")
-    while not left.isEmpty():
-        best = left.withColumns({"of_out": F.min(order).over(Window.partitionBy("out_id")), "of_in": F.min(order).over(Window.partitionBy("in_id"))})
-        sure = settled(best.where((F.col("of_out") == order) & (F.col("of_in") == order)).select("out_id", "in_id"))
-        pairs = pairs.union(sure)
-        left = settled(left.join(sure.select("out_id"), "out_id", "left_anti").join(sure.select("in_id"), "in_id", "left_anti").select("out_id", "in_id", "apart"))
-    return pairs
+    return nearest_pairs(named("to", "taker").union(named("of", "giver")).distinct(), "out_id", "in_id")

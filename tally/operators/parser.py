@@ -127,9 +127,17 @@ def totals(legs: DataFrame) -> DataFrame:
     return legs.agg(part(F.col("kind").isin("salary", "profit", "cashback_accrual")).alias("income"), part(F.col("kind").isin("purchase", "bill_payment") & ~F.col("is_internal")).alias("expense"), F.coalesce(F.sum(signed), F.lit(0)).cast("double").alias("net_worth_delta"))
 
 
-def stored_body() -> Column:
-    """A one-time code is not kept: its body is replaced when it is recognised."""
-    return F.when((F.col("status") == "ignored") & (F.col("kind") == "otp"), F.lit("[redacted]")).otherwise(F.col("body"))
+#: Fixed value: what is kept of a one-time code's message.
+REDACTED = "[redacted: otp]"
+
+
+def redacted(parsed: DataFrame) -> DataFrame:
+    """A one-time code is not kept: where one is recognised, the body and its normal form are replaced before anything is written.
+
+    The shape has no digits, and the hash that tells repeats is one-way; nothing else is derived from such a message.
+    """
+    code = (F.col("status") == "ignored") & (F.col("kind") == "otp")
+    return parsed.withColumns({name: F.when(code, F.lit(REDACTED)).otherwise(F.col(name)) for name in ("body", "norm")})
 
 
 def attempted(messages: DataFrame, failed: Column, error: Column, most: int = 3) -> DataFrame:

@@ -24,8 +24,9 @@ def _tx(spark, d):
 
 @query(
     "settlement_pairs",
-    f"""WITH {_TX}, h AS (SELECT * FROM t WHERE id % 4 = 0), f AS (SELECT * FROM t WHERE id % 4 <> 0), c AS (SELECT h.id AS pending_id, f.id AS posted_id, date_diff('second', h.posted_at, f.posted_at) AS apart FROM h JOIN f ON h.account_id = f.account_id AND h.merchant = f.merchant AND f.posted_at >= h.posted_at AND date_diff('day', h.posted_at::DATE, f.posted_at::DATE) <= 7 AND abs(f.amount - h.amount) <= h.amount * 0.25)
-SELECT pending_id, posted_id FROM (SELECT *, row_number() OVER (PARTITION BY pending_id ORDER BY apart, pending_id, posted_id) AS a, row_number() OVER (PARTITION BY posted_id ORDER BY apart, pending_id, posted_id) AS b FROM c) WHERE a = 1 AND b = 1""",
+    f"""WITH RECURSIVE {_TX}, h AS (SELECT * FROM t WHERE id % 4 = 0), f AS (SELECT * FROM t WHERE id % 4 <> 0), c AS (SELECT h.id AS pending_id, f.id AS posted_id, date_diff('second', h.posted_at, f.posted_at) AS apart FROM h JOIN f ON h.account_id = f.account_id AND h.merchant = f.merchant AND f.posted_at >= h.posted_at AND date_diff('day', h.posted_at::DATE, f.posted_at::DATE) <= 7 AND abs(f.amount - h.amount) <= h.amount * 0.25),
+g AS (SELECT pending_id, posted_id, apart, false AS sure FROM c UNION ALL SELECT pending_id, posted_id, apart, s FROM (SELECT *, bool_or(s) OVER (PARTITION BY pending_id) AS x, bool_or(s) OVER (PARTITION BY posted_id) AS y FROM (SELECT *, row_number() OVER (PARTITION BY pending_id ORDER BY apart, pending_id, posted_id) = 1 AND row_number() OVER (PARTITION BY posted_id ORDER BY apart, pending_id, posted_id) = 1 AS s FROM g WHERE NOT sure)) WHERE s OR NOT (x OR y))
+SELECT pending_id, posted_id FROM g WHERE sure""",
 )
 def settlement_pairs(spark, d):
     """Each fourth transaction is a hold here; the nearest later one of its account, merchant and about its amount settles it."""

@@ -190,3 +190,95 @@ def test_weekly_spend_of_a_stream(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["week"], r["spent"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert (dt.date(2026, 7, 5), 12.5) in got and (dt.date(2026, 7, 12), 1.0) in got
+
+
+def _stream(spark, folder, **options):
+    """Runs the stream over what lies in folder/in; rows are added as a file of their own."""
+    owned = spark.createDataFrame(OWNED, "sender string, value string, account string")
+    (folder / "in").mkdir(exist_ok=True)
+
+    def run(name, *rows):
+        (folder / "in" / name).write_text("".join(json.dumps(r) + "\n" for r in rows))
+        ingest.run(ingest.message_stream(spark, str(folder / "in")), owned, str(folder / "out"), str(folder / "state"), once=True, **options).awaitTermination()
+
+    return run
+
+
+def _newest(folder):
+    return str(max(folder.iterdir(), key=lambda p: int(p.name.removeprefix("batch="))))
+
+
+def _moved(k, day=20, amount=50):
+    return {"id": str(k), "sender": "SAIB", "body": f"حوالة صادرة: بين حساباتك\nمن: 1111\nمبلغ: SAR {amount}\nالى: 2222\nفي: 07-{day} 14:00", "received_at": f"2026-07-{day}T11:{k % 60:02d}:00Z"}
+
+
+def test_a_message_that_fails_is_tried_thrice(spark, tmp_path):
+    """One bad message of twelve holds up no other, waits twice, then has failed; what is sent again is not taken anew."""
+
+    def parse(rows, *args, **options):
+        made = parser.parsed_messages(rows, *args, **options)
+        return made.withColumn("error", F.when(F.contains("body", F.lit("SAR 666")), F.raise_error(F.lit("no such amount"))).otherwise(F.col("error")))
+
+    run = _stream(spark, tmp_path, parse=parse)
+    messages = lambda: {r["id"]: (r["status"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out/messages")).collect()}
+    waiting = lambda: [(r["id"], r["status"], r["attempts"] in (1, 2), "no such amount" in r["last_error"]) for r in spark.read.parquet(_newest(tmp_path / "out/queue")).collect()]
+    bad = _moved(5, amount=666)
+    run("a.json", *(_moved(k) for k in range(10, 21)), bad)
+    assert set(messages()) == {str(k) for k in range(10, 21)} and waiting() == [("5", "pending", True, True)]
+    run("b.json", _moved(30), bad | {"id": "99"})
+    run("c.json", _moved(31))
+    found = messages()
+    assert found["5"][0] == "failed" and "no such amount" in found["5"][1] and waiting() == []
+    assert [r["attempts"] for r in spark.read.parquet(str(tmp_path / "out/messages")).where("id = '5'").collect()] == [3]
+    assert {s for k, (s, _) in found.items() if k != "5"} == {"parsed"} and len(found) == 14
+    assert spark.read.parquet(str(tmp_path / "out/legs")).count() == 26
+    run("e.json", bad | {"id": "100"})
+    assert set(messages()) == set(found)
+
+
+def test_parts_that_fail_whole_are_put_off(spark, tmp_path, monkeypatch):
+    """When all messages fail, a batch spends its jobs and no more; what it did not look at counts no attempt."""
+    monkeypatch.setattr(ingest, "HALVINGS", 3)
+
+    def broken(rows, *args, **options):
+        return parser.parsed_messages(rows, *args, **options).withColumn("error", F.raise_error(F.lit("broken")).cast("string"))
+
+    _stream(spark, tmp_path, parse=broken)("a.json", *(_moved(k) for k in range(20)))
+    rows = spark.read.parquet(_newest(tmp_path / "out/queue")).collect()
+    assert sorted(int(r["id"]) for r in rows) == list(range(20)) and {r["status"] for r in rows} == {"pending"} and min(r["attempts"] for r in rows) == 0
+    _stream(spark, tmp_path)("b.json", _moved(40))
+    assert spark.read.parquet(str(tmp_path / "out/messages")).where("status = 'parsed'").count() == 21
+
+
+def test_no_code_is_written(spark, tmp_path):
+    """No column of any folder holds a digit of a one-time code."""
+    run = _stream(spark, tmp_path)
+    run("a.json", {"id": "1", "sender": "AlRajhiBank", "body": "رمز التحقق: 778899 لمبلغ ٥٠ SAR", "received_at": "2026-07-20T11:30:00Z"}, {"id": "2", "sender": "SAIB", "body": "OTP 778899 to login", "received_at": "2026-07-20T11:31:00Z"}, _moved(3))
+    stored = spark.read.parquet(str(tmp_path / "out/messages"))
+    assert {(r["id"], r["body"], r["norm"]) for r in stored.where("id < 3").collect()} == {(k, parser.REDACTED, parser.REDACTED) for k in "12"}
+    for folder in ("messages", "legs", "snapshots", "links", "recent", "queue"):
+        if (tmp_path / "out" / folder).exists():
+            rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out" / folder)).drop("body_hash", "shape")
+            assert not any("778899" in str(r) for r in rows.collect()), folder
+
+
+def test_a_batch_reads_no_history(spark, tmp_path):
+    """Batches after the first give the same when all but the last days' state and the day of arrival is gone."""
+    import shutil
+
+    run = _stream(spark, tmp_path)
+    topup = {"id": "1", "sender": "barq app", "body": "إضافة أموال\n50 ر.س\nالبطاقة: 0256 , مدى\n2026-07-20 14:00", "received_at": "2026-07-20T11:01:00Z"}
+    run("a.json", _moved(7, day=10), _moved(8, day=11))
+    run("b.json", _moved(9, day=19), topup)
+    old = {r["id"] for r in spark.read.parquet(_newest(tmp_path / "out/recent")).select("raw_message_id").withColumnRenamed("raw_message_id", "id").collect()}
+    assert old == {"1", "9"}  # legs of ten days before are no state
+    for name in ("messages/day=2026-07-10", "messages/day=2026-07-11", "messages/day=2026-07-19", "legs", "links", "snapshots"):
+        shutil.rmtree(tmp_path / "out" / name, ignore_errors=True)
+    purchase = {"id": "2", "sender": "AlRajhiBank", "body": "شراء عبر نقاط البيع\nبطاقة:0256 ;مدى\nلدى:Wallet\nمبلغ:50 SR\nرصيد:1,000.50 SAR\n20/7/26 14:02", "received_at": "2026-07-20T11:03:00Z"}
+    owned = OWNED + [("barq app", "0256", "card")]
+    (tmp_path / "in/c.json").write_text(json.dumps(purchase) + "\n" + json.dumps(topup | {"id": "3"}) + "\n")
+    ingest.run(ingest.message_stream(spark, str(tmp_path / "in")), spark.createDataFrame(owned, "sender string, value string, account string"), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+    links = {r["id"]: (r["is_internal"], r["transfer_group"]) for r in spark.read.parquet(str(tmp_path / "out/links")).collect()}
+    assert len(links) == 2 and len({g for _, g in links.values()}) == 1 and all(i for i, _ in links.values())
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out/messages")).collect()} == {"1", "2"}
+    assert not (tmp_path / "out/recent/batch=0").exists()
