@@ -24,8 +24,6 @@ SHARD_WORDS, HELD_WORDS = 1 << 19, 1 << 21
 BITS = 16
 #: Blocks of phrases that are shifted and met with all words' blocks at once.
 BATCH = 1 << 15
-#: Rows of the frequent pairs up to which they are broadcast; beyond, the join is shuffled.
-BROADCAST_ROWS = 200_000
 #: Parts that a language's candidates are ranked in before its best of all.
 RANK_PARTS = 64
 
@@ -150,11 +148,13 @@ def _local(shard: pa.Table, kept: np.ndarray, size: int) -> np.ndarray:
 def _pairs(key, shard: pa.Table, frequent: pa.Table) -> pa.Table:
     """How often each frequent word stands right after another in the shard."""
     found = []
-    ids = frequent.column("id").to_numpy()
+    ids, local = frequent.column("id").to_numpy(), frequent.column("local").to_numpy()
     if shard.num_rows and frequent.num_rows:
-        maps = Bitmaps(_local(shard, frequent.column("local").to_numpy(), shard.column("size")[0].as_py()), len(ids))
-        found = [pa.table({"first": ids[paths[:, 0]], "second": ids[paths[:, 1]], "n": counts}) for paths, counts in maps.phrases(2, 2)]
-    none = pa.table({c: pa.array([], pa.int64()) for c in ("first", "second", "n")})
+        maps = Bitmaps(_local(shard, local, shard.column("size")[0].as_py()), len(ids))
+        for paths, counts in maps.phrases(2, 2):
+            first, second = paths.T
+            found.append(pa.table({"first": ids[first], "second": ids[second], "a": local[first], "b": local[second], "n": counts}))
+    none = pa.table({c: pa.array([], pa.int32() if c in "ab" else pa.int64()) for c in ("first", "second", "a", "b", "n")})
     made = pa.concat_tables([none, *found])
     return made.add_column(0, "shard", pa.array(np.full(made.num_rows, key[0].as_py(), np.int64)))
 
@@ -165,8 +165,7 @@ def _longer(key, shard: pa.Table, pairs: pa.Table, most: int) -> pa.Table:
     if shard.num_rows and pairs.num_rows:
         lang, named = shard.column("lang")[0].as_py(), shard.column("vocabulary")[0].as_py()
         size = len(named)
-        number = {w: k for k, w in enumerate(named)}
-        firsts, seconds = (np.array([number[w] for w in pairs.column(c).to_pylist()], np.int64) for c in ("first_word", "second_word"))
+        firsts, seconds = (pairs.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
         kept = np.unique(np.concatenate([firsts, seconds]))
         named = [named[k] for k in kept]
         allowed = np.unique(np.searchsorted(kept, firsts) * len(kept) + np.searchsorted(kept, seconds))
@@ -191,15 +190,14 @@ def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     words = vocabulary.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("n")).where(F.col("n") >= support)
     words = settled(words.withColumn("id", F.monotonically_increasing_id()))
     present = vocabulary.select("shard", "local", "lang", F.col("w.vocabulary").alias("word")).join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id")
-    adjacent = _written(read(path).select("shard", "words", F.size("counts").alias("size")).groupBy("shard").cogroup(present.groupBy("shard")).applyInArrow(_pairs, "shard long, first long, second long, n long"), "pairs")
-    pairs = read(adjacent)
-    common = pairs.groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    pairs = read(path).select("shard", "words", F.size("counts").alias("size")).groupBy("shard").cogroup(present.groupBy("shard")).applyInArrow(_pairs, "shard long, first long, second long, a int, b int, n long")
+    # a shard has a pair once, so even the most common pair is a small part of the rows that are dealt by pair
+    whole = F.sum("n").over(Window.partitionBy("first", "second"))
+    kept = _written(pairs.withColumn("total", whole).where(F.col("total") >= support).drop("n"), "pairs")
+    common = settled(read(kept).groupBy("first", "second").agg(F.first("total").alias("n")))
     named = words.select(F.col("id").alias("first"), "lang", F.col("word").alias("first_word")), words.select(F.col("id").alias("second"), F.col("word").alias("second_word"))
-    common = settled(common.join(named[0], "first").join(named[1], "second"))
-    known = common.select("first", "second", "first_word", "second_word")
-    known = F.broadcast(known) if common.count() <= BROADCAST_ROWS else known
-    at_hand = pairs.select("shard", "first", "second").join(known, ["first", "second"]).select("shard", "first_word", "second_word")
-    local = read(path).drop("counts").groupBy("shard").cogroup(at_hand.groupBy("shard")).applyInArrow(lambda key, left, right: _longer(key, left, right, most), "lang string, phrase string, n long")
+    common = common.join(named[0], "first").join(named[1], "second")
+    local = read(path).drop("counts").groupBy("shard").cogroup(read(kept).select("shard", "a", "b").groupBy("shard")).applyInArrow(lambda key, left, right: _longer(key, left, right, most), "lang string, phrase string, n long")
     longer = settled(local.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)) if most > 2 else None
     found = words.select("lang", F.col("word").alias("phrase"), "n").unionByName(common.select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "n"))
     found = found if longer is None else found.unionByName(longer)
