@@ -227,25 +227,25 @@ def labelled_amounts(spark, d):
     return S.table(spark, d, "events").select(k.alias("id"), text.labelled_amount(body, ["total due", "amount", "fee"]).cast("double").alias("amount"))
 
 
-_CASH = "سحب نقدي\nالمبلغ {a} SAR\nالصراف {m}\n{d}"
+_CASH = "سحب نقدي\nالقيمة {a} SAR\nالجهاز {m}\n{d}"
 
 
 @query(
     "derived_form_parse",
-    f"WITH {_M} SELECT id, 'BQ-NEW' AS form, amount::DOUBLE AS amount, 'ATM ' || (id % 9) AS merchant, strftime(mt, '%Y-%m-%d %H:%M') AS posted_at FROM m",
+    f"WITH {_M} SELECT id, 'BQ-NEW' AS form, amount::DOUBLE AS amount, 'GATE ' || (id % 9) AS merchant, strftime(mt, '%Y-%m-%d %H:%M') AS posted_at FROM m",
 )
 def derived_form_parse(spark, d):
     """A form derived from one message of a new kind, stored and loaded, reads all others of that kind."""
     from tally.functions import derive
     from tally.functions import forms as M
 
-    body = _CASH.replace("{a}", "45.50").replace("{m}", "TAMIMI ATM").replace("{d}", "2026-08-09 14:22")
-    form = derive.derived_form("BQ-NEW", "barq app", body, {"amount": "45.50", "merchant": "TAMIMI ATM", "date": "2026-08-09 14:22"}, "withdrawal", "debit", M.ISO, "barq")
+    body = _CASH.replace("{a}", "630.25").replace("{m}", "HARBOUR GATE").replace("{d}", "2025-11-03 09:41")
+    form = derive.derived_form("BQ-NEW", "barq app", body, {"amount": "630.25", "merchant": "HARBOUR GATE", "date": "2025-11-03 09:41"}, "withdrawal", "debit", M.ISO, "barq")
     stored = spark.createDataFrame([derive.as_row(form, "s", 1), derive.as_row(form, "s", 2) | {"id": "BAD", "text": "no {field"}], "id string, sender string, kind string, direction string, date string, text string, account string, shape string, created_at int")
     rows = messages(spark, d).withColumn("sender", F.lit("barq app"))
     printed = F.date_format(F.col("received_at") - F.expr("INTERVAL 2 MINUTES"), "yyyy-MM-dd HH:mm")
     amount = S.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").cast("decimal(14,2)").cast("string").alias("a"))
-    text_ = F.replace(F.replace(F.replace(F.lit(_CASH), F.lit("{a}"), F.col("a")), F.lit("{m}"), F.concat(F.lit("ATM "), (F.col("id") % 9).cast("string"))), F.lit("{d}"), printed)
+    text_ = F.replace(F.replace(F.replace(F.lit(_CASH), F.lit("{a}"), F.col("a")), F.lit("{m}"), F.concat(F.lit("GATE "), (F.col("id") % 9).cast("string"))), F.lit("{d}"), printed)
     rows = rows.join(amount, "id").withColumn("body", text_).drop("a")
     found = parser.parsed_messages(rows, spark.createDataFrame(IDENTIFIERS, "sender string, value string, account string"), forms=M.FORMS + derive.stored_forms(stored))
     return found.select("id", "form", F.get("legs", F.lit(0))["amount"].cast("double").alias("amount"), F.col("details.merchant").alias("merchant"), F.date_format("posted_at", "yyyy-MM-dd HH:mm").alias("posted_at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tally.functions import text
 from tally.operators import budgets, recurring
@@ -245,8 +246,7 @@ def pace_ranking(spark, d):
 def series_calendar(spark, d):
     k = F.col("n_nationkey")
     rows = S.table(spark, d, "nation").select(F.col("n_name").alias("detect_key"), F.when(k % 4 != 0, F.date_add(F.lit(dt.date(1997, 8, 1)), (k * 7 % 20).cast("int"))).alias("next_expected_at"), (k % 3 / F.lit(2.0)).alias("confidence"))
-    listed = rows.orderBy(*V.calendar_order()).agg(F.collect_list("detect_key").alias("keys"))
-    return listed.select(F.posexplode("keys").alias("at", "detect_key")).select("detect_key", (F.col("at") + 1).alias("place"))
+    return rows.select("detect_key", F.row_number().over(Window.orderBy(*V.calendar_order())).alias("place"))
 
 
 @query(

@@ -46,12 +46,13 @@ def period_bucket_columns(spark, d):
 
 @query(
     "period_invariants",
-    f"""WITH s AS (SELECT unnest(range(DATE '2025-01-01', DATE '2030-01-01', INTERVAL 1 DAY))::DATE AS d), b AS (SELECT d, {S.cycle_sql('d')} AS c FROM s),
+    f"""WITH s AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), b AS (SELECT d, {S.cycle_sql('d')} AS c FROM s),
 g AS (SELECT c, (c + INTERVAL 1 MONTH)::DATE - 1 AS e, count(*) AS seen FROM b GROUP BY 1, 2)
 SELECT c::VARCHAR AS cycle_start, e::VARCHAR AS cycle_end, date_diff('day', c, e) + 1 AS days, seen, coalesce(lag(e) OVER (ORDER BY c) + 1 = c, true) AS contiguous FROM g""",
 )
 def period_invariants(spark, d):
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(2025, 1, 1)), F.lit(dt.date(2029, 12, 31)), F.expr("interval 1 day"))).alias("d"))
+    """Every day with an order lies in one cycle, and the cycles follow each other without a gap."""
+    days = S.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
     cycles = days.groupBy(periods.period_start("d").alias("c")).agg(F.count("*").alias("seen")).withColumn("e", periods.period_end("c"))
     before = F.lag("e").over(Window.orderBy("c"))
     return cycles.select(F.col("c").cast("string").alias("cycle_start"), F.col("e").cast("string").alias("cycle_end"), periods.days_in_cycle("c").cast("long").alias("days"), "seen", F.coalesce(F.date_add(before, 1) == F.col("c"), F.lit(True)).alias("contiguous"))

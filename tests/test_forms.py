@@ -1,57 +1,66 @@
-"""Forms that people derive from a message, and shapes of messages."""
+"""Forms that people derive from a message, shapes of messages, and fields read by their labels."""
 
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from tally.functions import derive, text
 from tally.functions import forms as M
 
-BODY = "سحب نقدي\nالمبلغ 45.50 SAR\nالرصيد 158.51\nالصراف TAMIMI ATM\n2026-08-09 14:22"
-MARKS = {"merchant": "TAMIMI ATM", "amount": "45.50", "balance": "158.51", "date": "2026-08-09 14:22"}
-
-
-def _form(marks=MARKS, body=BODY, kind="withdrawal", direction="debit", **more):
-    return derive.derived_form("X", "barq app", body, marks, kind, direction, **({"date": M.ISO, "account": "barq"} | more))
-
-
-def test_a_derived_form_reads_other_messages_of_its_kind():
-    form = _form()
-    assert form.text.split("\n")[1:4] == ["المبلغ {amount} SAR", "الرصيد {balance}", "الصراف {merchant}"]
-    other = BODY.replace("45.50", "1,210.75").replace("TAMIMI", "Other").replace("المبلغ ", "المبلغ  ")
-    assert derive.values_of(form, other) == {"amount": "1,210.75", "balance": "158.51", "merchant": "Other ATM", "date": "2026-08-09 14:22"}
-    assert derive.values_of(form, "before\n" + BODY) is None and derive.values_of(form, BODY + "\nafter") is None
-
-
-@pytest.mark.parametrize(
-    "refused",
-    [
-        {"marks": MARKS | {"amount": "999.99"}},
-        {"marks": {"amount": "5.00"}, "body": "A 5.00 SAR\nB 5.00 SAR", "date": None},
-        {"marks": {"merchant": "TAMIMI ATM"}, "date": None},
-        {"marks": {}, "date": None},
-        {"direction": "sideways"},
-        {"kind": ""},
-        {"marks": MARKS | {"colour": "SAR"}},
-        {"marks": MARKS | {"merchant": "158.51"}},
-        {"marks": {"amount": "45.50"}},
-        {"account": None},
-    ],
-)
-def test_what_can_not_be_derived(refused):
+RECEIPT = "رسوم خدمة\nالقيمة 812.05 SAR\nالمتبقي 96.10\nالمتجر NORTH PIER BOOKS\n2025-11-03 09:41"
+FOUND = {"amount": "812.05", "balance": "96.10", "merchant": "NORTH PIER BOOKS", "date": "2025-11-03 09:41"}
+
+
+def _made(body=RECEIPT, kind="purchase", direction="debit", date=M.ISO, account="wallet", **marks):
+    """A form of the receipt; a mark given as None is left out."""
+    marks = {k: v for k, v in (FOUND | marks).items() if v is not None}
+    return derive.derived_form("N1", "barq app", body, marks, kind, direction, date=date, account=account)
+
+
+def test_marks_become_fields_and_the_rest_stays():
+    form = _made()
+    first, price, left, shop, when = form.text.split("\n")
+    assert (first, price, left, shop, when) == ("رسوم خدمة", "القيمة {amount} SAR", "المتبقي {balance}", "المتجر {merchant}", "{date}")
+
+
+@pytest.mark.parametrize("shop,price", [("A", "1"), ("OLD MILL & SONS", "40,000.99"), ("7 DAYS", "0.05")])
+def test_a_form_reads_what_differs_in_its_fields_only(shop, price):
+    sent = RECEIPT.replace("NORTH PIER BOOKS", shop).replace("812.05", price)
+    assert derive.values_of(_made(), sent) == FOUND | {"merchant": shop, "amount": price}
+    for other in ("x\n" + sent, sent + "\nx", sent.replace("المتبقي", "رصيد"), sent.replace("\n", " ")):
+        assert derive.values_of(_made(), other) is None
+
+
+def test_a_mark_has_one_place():
+    """It must stand in the text, once, and apart from the other marks; without an amount there is no form."""
+    with pytest.raises(derive.NotDerivable):
+        _made(merchant="SOUTH PIER")
+    with pytest.raises(derive.NotDerivable):
+        _made(body=RECEIPT + "\n812.05")
+    with pytest.raises(derive.NotDerivable):
+        _made(merchant="96.10")
     with pytest.raises(derive.NotDerivable):
-        _form(**refused)
+        _made(amount=None)
+    with pytest.raises(derive.NotDerivable):
+        _made(weather="SAR")
+
+
+@pytest.mark.parametrize("wrong", [{"kind": ""}, {"direction": "up"}, {"account": None}])
+def test_a_form_says_what_it_books(wrong):
+    with pytest.raises(derive.NotDerivable):
+        _made(**wrong)
 
 
 def test_stored_forms_skip_what_is_no_form(spark):
-    good = derive.as_row(_form(), "s", 2)
+    good = derive.as_row(_made(), "s", 2)
     rows = [good, good | {"id": "A", "created_at": 1}, good | {"id": "B", "text": "{unknown} {amount}"}, good | {"id": "C", "text": "{amount} {amount}"}, good | {"id": "D", "direction": "up"}]
     loaded = derive.stored_forms(spark.createDataFrame(rows, "id string, sender string, kind string, direction string, date string, text string, account string, shape string, created_at int"))
-    assert [f.id for f in loaded] == ["A", "X"] and loaded[1] == _form()
+    assert [f.id for f in loaded] == ["A", "N1"] and loaded[1] == _made()
 
 
 #: Message -> its shape.
 SHAPES = {
-    "Purchase\nAmount 10.50 SAR at Big-Shop Ltd": "Purchase T # SAR T",
+    "Receipt\nSum 88.25 SAR to Tea-House & Co": "Receipt T # SAR T",
     "شراء\nبطاقة:XX1111;مدى\nمبلغ 1,000.00 SAR": "شراء بطاقة X # مدي مبلغ # SAR",
     "المبلغ 5\nالرصيد 6": "مبلغ # رصيد #",
     "Xbox **12": "Xbox X #",
@@ -63,6 +72,29 @@ SHAPES = {
 
 def test_shapes(spark):
     rows = spark.createDataFrame([(k, body) for k, body in enumerate(SHAPES)], "k int, body string")
-    got = rows.select("k", text.shape_text(text.normalized(rows["body"])).alias("s"), text.split_scripts(rows["body"]).alias("parted")).orderBy("k").collect()
+    got = rows.select("k", text.shape_text(text.normalized(rows["body"])).alias("s")).orderBy("k").collect()
     assert [r["s"] for r in got] == list(SHAPES.values())
-    assert got[4]["parted"] == "a 1 b 2"
+
+
+#: Text -> what stands after "من", and the amount by the labels.
+LABELS = {
+    "من: 1111 \nمبلغ: SAR 50": ("1111", 50.0),
+    "مبلغ：1,250.5\nمن 7\nمن 8": ("7", 1250.5),
+    "اجمالي 90\nالمبلغ: 80 SAR\nمن": (None, 90.0),
+    "بطاقة:4455\nعملية بSAR 20": (None, 20.0),
+    "المبلغ: لاحقا\nبقيمة 3": (None, 3.0),
+    "لا شيء": (None, None),
+    "": (None, None),
+}
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([(k, body) for k, body in enumerate(LABELS)], "k int, t string")
+    got = rows.select("k", text.labelled(F.col("t"), "من").alias("who"), text.labelled_amount(F.col("t")).cast("double").alias("amount")).orderBy("k").collect()
+    assert [(r["who"], r["amount"]) for r in got] == list(LABELS.values())
+
+
+def test_a_topup_states_its_amount_bare(spark):
+    rows = spark.createDataFrame([("شحن\n1,500.25 SAR\nالبطاقة: 0256 , x",), ("شحن\nنقاط 5 SAR",)], "t string")
+    made = text.wallet_topup(F.col("t"))
+    assert [(r[0] and float(r[0]), r[1]) for r in rows.select(made["amount"], made["card"]).collect()] == [(1500.25, "0256"), (None, None)]
