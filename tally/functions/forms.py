@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,6 +51,10 @@ class Form:
         edges = (r"\A", r"\z") if self.whole else ("^", "$" if self.text.endswith("}") else "")
         return "(?md)" + edges[0] + "".join(out) + edges[1], names
 
+    def anchor(self) -> str:
+        """The longest word of the form itself: a text without it is not of this form, whatever its blanks and fields are."""
+        return max(re.split(r"\{\w+\}|\s+", self.text), key=len)
+
 
 # The banks' wordings, after normalisation.
 DMY, YMD, ISO, DASHED, MONTH_FIRST, DAY_FIRST = "d/M/yy H:mm", "yy/M/d H:mm", "yyyy-M-d H:mm", "d-M-yyyy H:mm", "M-d H:mm", "d-M H:mm"
@@ -112,11 +117,15 @@ def ledger_type(kind: Column) -> Column:
 
 
 def classified(norm: Column, sender: Column, senders: tuple[str, ...]) -> Column:
-    """struct(kind, effect): what a message is and what may come of it; no unknown sender reaches the ledger."""
+    """struct(kind, effect): what a message is and what may come of it; no unknown sender reaches the ledger. Plain words are looked for as they are, without a pattern."""
     gated = lambda kind, effect: F.when(sender.isin(*PROMOTERS), _verdict("promo", "none")).when(~sender.isin(*senders) & (sender != ""), _verdict(kind, "review")).otherwise(_verdict(kind, effect)) if effect == "ledger" else _verdict(kind, effect)
-    found = None
+    found, low = None, F.lower(norm)
     for kind, effect, patterns in CLASSES:
-        hit = norm.rlike("(?mdiuU)" + "|".join(f"(?:{p})" for p in patterns))
+        plain = [p for p in patterns if p == re.escape(p).replace("\\ ", " ")]
+        hits = [F.contains(low, F.lit(p.lower())) for p in plain]
+        if len(plain) < len(patterns):
+            hits.append(norm.rlike("(?mdiuU)" + "|".join(f"(?:{p})" for p in patterns if p not in plain)))
+        hit = reduce(Column.__or__, hits)
         found = F.when(hit, gated(kind, effect)) if found is None else found.when(hit, gated(kind, effect))
     return found.when(sender.isin(*PROMOTERS), _verdict("promo", "none")).otherwise(_verdict("unknown", "review"))
 
@@ -126,7 +135,7 @@ def _verdict(kind: str, effect: str) -> Column:
 
 
 def form_number(norm: Column, sender: Column, forms: tuple[Form, ...] = FORMS) -> Column:
-    """Which form of its sender a text has, the first in order; null if none."""
+    """Which form of its sender a text has, the first in order; null if none. A pattern is tried only on texts that have the form's longest word."""
     by_sender: dict[str, list[int]] = {}
     for k, form in enumerate(forms):
         by_sender.setdefault(form.sender, []).append(k)
@@ -134,7 +143,7 @@ def form_number(norm: Column, sender: Column, forms: tuple[Form, ...] = FORMS) -
     for name, numbers in by_sender.items():
         own = None
         for k in numbers:
-            hit = norm.rlike(forms[k].parts()[0])
+            hit = F.contains(norm, F.lit(forms[k].anchor())) & norm.rlike(forms[k].parts()[0])
             own = F.when(hit, F.lit(k)) if own is None else own.when(hit, F.lit(k))
         out = F.when(sender == name, own) if out is None else out.when(sender == name, own)
     return out
