@@ -73,6 +73,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = 8 << 20, id_col: str =
     """Writes the rows of docs as one folder a shard under path and returns docs with its shard.
 
     A folder is named s and the shard's bits, so that readers take it for no number, and the only shard is s alone.
+    Null ids and texts are rows like others, a null text of 0 bytes; an empty table writes no folder and gives no rows.
     """
     out = with_shards(docs, limit, id_col, text_col)
     out.withColumn("shard", F.concat(F.lit("s"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)

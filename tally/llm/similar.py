@@ -131,7 +131,8 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = TI
     """(u, v) of nodes (node, keys, p0 ..) that join what all pairs do that share a key and are within the radius.
 
     The keys of a block or more rows are held against one of their rows first; only rows beyond its radius are then
-    held against all the others, in tiles, so a group of near copies costs a comparison a row.
+    held against all the others, in tiles, so a group of near copies costs a comparison a row. A node of null or no keys
+    meets none; an empty table gives no links.
     """
     prints = [f"p{w}" for w in range(WORDS)]
     keyed = nodes.select("node", *prints, F.explode("keys").alias("key"))
@@ -294,7 +295,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", tex
     Components of candidates are small groups, which tasks take several of, or large ones: of these all texts are held
     against one of them, and then only those not similar to it against all. Every link rests on whole sets of
     shingles; a pair is missed only if it shares no band, or its fingerprints differ beyond the radius, and nothing
-    in between joins it.
+    in between joins it. Nodes without a link are left out, so an empty table gives none; null texts are one node. Texts
+    of one template that share much and stay below percent are compared each with each: this part is quadratic in them.
     """
     groups = components(candidate_links(nodes, block_rows=tile_sets)).withColumnRenamed("root", "part_of")
     members = settled(groups.join(nodes.select("node", "size", F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__text")), "node"))

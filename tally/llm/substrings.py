@@ -280,7 +280,7 @@ def segment_masks(segments: DataFrame, weights: DataFrame, window: int, gram: in
 
     Grams go to shards, and an FM-index of each answers. A gram with very many segments (a passage in ever new
     contexts) is no shard's: its segments are cut again, by the smallest gram of twice the length in each window, up to
-    the window itself, whose segments are all equal. Equal windows meet at each length. A gram that weighs one is left out.
+    the window itself: there a segment is its key, so the weights have decided, by 64-bit hashes, before an index is asked. Equal windows meet at each length. A gram that weighs one is left out.
     """
     sizes = weights.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight")).where("weight > 1")
     sizes = settled(sizes.select("key", "m", (F.col("m") > F.lit(gram_segments if gram < window else 1 << 62)).alias("large")))

@@ -235,11 +235,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = _passes(_hits, schema, docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes)
     if len(found) == 1:
         return found[0]
-    # one row of each pass meets the others by (id, text, number of the repeat)
+    # the rows of all passes meet by (id, text); copies of a row have the same spans, so only distinct lists are held
     every = found[0]
     for other in found[1:]:
         every = every.unionByName(other)
-    merged = every.groupBy("doc_id", "text_hash").agg((F.count("*") / len(found)).cast("int").alias("copies"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = every.groupBy("doc_id", "text_hash").agg((F.count("*") / len(found)).cast("int").alias("copies"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
 
     def join_up(done, span):
         """Spans come by start: a span that reaches into the last one lengthens it."""

@@ -100,7 +100,7 @@ def judged_pages(
 
     The longest rule that fits a url decides. Where none does, the host is blocked if distrust makes up more than
     threshold of its trust and distrust together, else allowed; so a host that no seed reaches is allowed. A null url, or
-    one without "://", has an empty host and path, no rule, and is allowed. A null html has no links; an empty table
+    one without "://", has an empty host and path, no rule, and is allowed. Only the href of an <a> counts as a link. A null html has no links; an empty table
     gives no rows; repeated pages are judged each; a long html is read whole. Other columns are not read.
     """
     spark = pages.sparkSession
