@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tally.functions import text
 from tally.operators import linking, parser, queue
 from tally.plans.registry import query
+from tally.sources import sinks
 from tally.sources import tables as S
 
 IDENTIFIERS = [("AlRajhiBank", "0256", "rajhi_card"), ("SAIB", "1111", "saib_current"), ("SAIB", "2222", "saib_savings"), ("SAIB", "__default__", "saib_current")]
@@ -272,3 +273,15 @@ def label_extraction(spark, d):
     rows = messages(spark, d).where("id % 8 IN (1, 3)").withColumn("norm", text.normalized(F.col("body")))
     bill, topup, is_bill = text.bill_payment(F.col("norm")), text.wallet_topup(F.col("norm")), F.col("id") % 8 == 3
     return rows.select("id", F.when(is_bill, bill["amount"]).otherwise(topup["amount"]).cast("double").alias("amount"), F.when(is_bill, bill["from"]).alias("account"), F.when(is_bill, bill["biller"]).alias("biller"), F.when(is_bill, bill["invoice"]).alias("invoice"), F.when(~is_bill, topup["card"]).alias("card"))
+
+
+@query(
+    "raw_message_dump",
+    f"""WITH {_QUEUE} SELECT q.id::VARCHAR AS id, e.event_type AS sender, e.props AS body, strftime(q.received_at, '%Y-%m-%dT%H:%M:%SZ') AS received_at, NULL::VARCHAR AS device_sent_at, NULL::VARCHAR AS ingested_at, NULL::VARCHAR AS body_hash, q.status, NULL::VARCHAR AS processed_at, q.attempts::BIGINT AS attempts,
+strftime(q.last_attempt_at, '%Y-%m-%dT%H:%M:%SZ') AS last_attempt_at, NULL::VARCHAR AS last_error, NULL::VARCHAR AS ignored_reason, NULL::VARCHAR AS classification, NULL::VARCHAR AS language, NULL::VARCHAR AS shape_hash, NULL::VARCHAR AS template_id, NULL::VARCHAR AS parse_method, NULL::VARCHAR AS llm_response
+FROM q JOIN events e ON e.event_id = q.id ORDER BY q.received_at, q.id LIMIT 200000""",
+)
+def raw_message_dump(spark, d):
+    """All 19 columns of the dump, oldest first; the limit of 200,000 is the dump's own."""
+    texts = S.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("sender"), F.col("props").alias("body"))
+    return sinks.raw_dump(_queued(spark, d).join(texts, "id"))

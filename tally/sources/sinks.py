@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,14 +48,45 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.option("ignoreNullFields", "false").json(path)
 
 
+#: The columns of a dump of raw messages, and those of them that are times.
+DUMP_COLUMNS = (
+    "id", "sender", "body", "received_at", "device_sent_at", "ingested_at", "body_hash", "status", "processed_at", "attempts",
+    "last_attempt_at", "last_error", "ignored_reason", "classification", "language", "shape_hash", "template_id", "parse_method", "llm_response",
+)
+DUMP_TIMES = ("received_at", "device_sent_at", "ingested_at", "processed_at", "last_attempt_at")
+
+
 def raw_dump(messages: DataFrame, limit: int = DUMP_ROWS) -> DataFrame:
-    """The oldest messages, as many as a dump holds, in the order of (received_at, id)."""
-    return messages.orderBy("received_at", "id").limit(limit)
+    """The oldest messages, as many as a dump holds, in the order of (received_at, id), with a dump's columns.
+
+    Times are UTC texts to the second, attempts a number, all else text; a column that messages lack is null.
+    """
+
+    def column(name: str) -> Column:
+        if name not in messages.columns:
+            return F.lit(None).cast("long" if name == "attempts" else "string").alias(name)
+        if name in DUMP_TIMES:
+            return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name)
+        return F.col(name).cast("long" if name == "attempts" else "string").alias(name)
+
+    return messages.orderBy("received_at", "id").limit(limit).select(*map(column, DUMP_COLUMNS))
 
 
 def dump_is_whole(messages: DataFrame, limit: int = DUMP_ROWS) -> bool:
-    """Whether a dump leaves nothing out: only then may the time of the last export be set."""
-    return messages.count() <= limit
+    """Whether a dump is sure to leave nothing out: one that is full may."""
+    return messages.limit(limit).count() < limit
+
+
+def export_raw(messages: DataFrame, settings: DataFrame, path: str, now: dt.datetime, limit: int = DUMP_ROWS, form: str = "csv") -> tuple[bool, DataFrame]:
+    """Writes the dump under path, as CSV or JSON lines: (truncated, settings after it).
+
+    last_export_at is set only once a whole dump lies there: a truncated one is no backup, and a reminder is then right.
+    """
+    rows = raw_dump(messages, limit)
+    (write_json if form == "json" else write_csv)(rows, path)
+    truncated = not dump_is_whole(messages, limit)
+    stamp = F.lit(now).cast("timestamp")
+    return truncated, settings if truncated else settings.withColumn("last_export_at", stamp)
 
 
 def with_defaults(settings: DataFrame, defaults: dict | None = None) -> DataFrame:

@@ -23,8 +23,19 @@ def test_json_keeps_nulls_and_a_dump_its_order(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b", None), (1, "a", 5), (3, "a", 7)], "id int, received_at string, x int")
     sinks.write_json(rows.coalesce(1), str(tmp_path / "out"))
     assert '{"id":2,"received_at":"b","x":null}' in next(Path(tmp_path / "out").glob("part-*")).read_text()
-    assert [r["id"] for r in sinks.raw_dump(rows, 2).collect()] == [1, 3]
-    assert not sinks.dump_is_whole(rows, 2) and sinks.dump_is_whole(rows, 3)
+
+
+def test_a_dump_is_stamped_only_if_whole(spark, tmp_path):
+    at, now = dt.datetime(2026, 5, 1, 9), dt.datetime(2026, 6, 1)
+    rows = spark.createDataFrame([(2, "b", at + dt.timedelta(hours=1), 1, "x"), (1, "a", at, 0, "x"), (3, "c", at, None, "x")], "id int, body string, received_at timestamp, attempts int, secret string")
+    settings = spark.createDataFrame([("Asia/Riyadh", None)], "timezone string, last_export_at timestamp")
+    for limit, truncated in ((2, True), (3, True), (4, False)):
+        got, after = sinks.export_raw(rows, settings, str(tmp_path / f"out{limit}"), now, limit, "json")
+        assert got is truncated and [r["last_export_at"] for r in after.collect()] == [None if truncated else now]
+        dumped = spark.read.json(str(tmp_path / f"out{limit}")).collect()
+        assert [r["id"] for r in dumped] == ["1", "3", "2"][:limit] and dumped[0]["received_at"] == "2026-05-01T09:00:00Z"
+        assert set(dumped[0].asDict()) == set(sinks.DUMP_COLUMNS)
+    assert sinks.raw_dump(rows.limit(0)).columns == list(sinks.DUMP_COLUMNS)
 
 
 def test_filters_from_parameters():
