@@ -54,6 +54,17 @@ def close_cycles(budgets: DataFrame, view: DataFrame, today) -> DataFrame:
     return both.select("category_id", "cycle_start", F.coalesce("amount", "base").alias("amount"), F.coalesce("rollover", "rolls").alias("rollover"), F.when(written & ~settled, F.col("carry")).otherwise(F.col("carry_in")).alias("carry_in"), action.alias("action"))
 
 
+#: Fixed value: cycles of carries that a budget's history shows, the one looked at included.
+HISTORY_CYCLES = 6
+
+
+def history(budgets: DataFrame, cycle, cycles: int = HISTORY_CYCLES) -> DataFrame:
+    """The budgets of the last cycles up to the one given (any day of it), with the place of each from the newest on, 1 first."""
+    last = periods.period_start(F.lit(cycle))
+    rows = budgets.where(F.col("cycle_start").between(F.add_months(last, 1 - cycles), last))
+    return rows.withColumn("place", F.months_between(last, F.col("cycle_start")).cast("int") + 1)
+
+
 def unclosed_cycles(budgets: DataFrame, today, limit: int = 6) -> DataFrame:
     """The first cycles that have ended and whose next cycle has no settled carry."""
     ended = budgets.where(F.col("cycle_start") < periods.period_start(F.lit(today))).select("cycle_start").distinct()

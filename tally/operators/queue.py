@@ -49,6 +49,15 @@ def parked_shapes(parked: DataFrame) -> DataFrame:
     return found.orderBy(F.col("messages").desc(), F.col("newest").desc(), "shape")
 
 
+def parked_members(parked: DataFrame) -> DataFrame:
+    """(id, shape, sender, status, messages): each message with how many its group of parked_shapes has, so that an action on the group can name them.
+
+    A row a message instead of a list a group: a shape may hold most of what waits.
+    """
+    groups = parked.groupBy("shape", "sender", "status").agg(F.count("*").alias("messages"))
+    return parked.select("id", "shape", "sender", "status").join(groups, ["shape", "sender", "status"])
+
+
 def requeued(messages: DataFrame, shape: str) -> DataFrame:
     """Messages of a shape that waited or failed are pending again; parsed ones stay."""
     again = (F.col("shape") == shape) & F.col("status").isin("needs_review", "failed")

@@ -80,6 +80,12 @@ def parked_shapes(spark, d):
     return found.select("sender", "messages", F.col("newest").cast("string"), F.col("oldest").cast("string"))
 
 
+@query("parked_members", f"WITH {_M} SELECT id, CASE c WHEN 5 THEN 'Nobody' ELSE 'AlRajhiBank' END AS sender, count(*) OVER (PARTITION BY c) AS messages FROM m WHERE c IN (5, 7)")
+def parked_members(spark, d):
+    """The messages of each parked group, by their ids."""
+    return queue.parked_members(parsed(spark, d).where("status = 'needs_review'")).select("id", "sender", "messages")
+
+
 @query("message_redaction", f"WITH {_M} SELECT c, count(*) AS n, count(*) FILTER (c = 4) AS redacted, 0::BIGINT AS codes_left FROM m GROUP BY c")
 def message_redaction(spark, d):
     """What is stored of one-time codes: no column of any row still holds the code 4455."""

@@ -193,6 +193,13 @@ def series_merchants(spark, d):
     return keys.join(known, "merchant", "left")
 
 
+@query("budget_history", f"WITH {S.BUDGETS.strip()} SELECT category_id, cycle_start::VARCHAR AS cycle_start, amount::DOUBLE AS amount, rollover, carry_in::DOUBLE AS carry_in, carry_closed_at IS NOT NULL AS closed, (date_diff('month', cycle_start, DATE '{CYCLE}') + 1)::INTEGER AS place FROM bud WHERE cycle_start BETWEEN (DATE '{CYCLE}' - INTERVAL 5 MONTH)::DATE AND DATE '{CYCLE}'")
+def budget_history(spark, d):
+    """What each category was given and carried in the six cycles up to one: six is the screen's own limit."""
+    rows = budgets.history(S.budgets(spark, d), CYCLE)
+    return rows.select("category_id", F.col("cycle_start").cast("string"), F.col("amount").cast("double"), "rollover", F.col("carry_in").cast("double"), F.col("carry_closed_at").isNotNull().alias("closed"), "place")
+
+
 @query("goals_with_accounts", f"WITH {S.ACCOUNTS}, {_GOALS} SELECT goal_id, a.name AS account, target_amount::DOUBLE AS target, target_date::VARCHAR AS target_date FROM goals LEFT JOIN acc a ON a.id = goals.account_id")
 def goals_with_accounts(spark, d):
     names = S.accounts(spark, d).select(F.col("id").alias("account_id"), F.col("name").alias("account"))
