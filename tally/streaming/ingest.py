@@ -33,9 +33,13 @@ def message_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Dat
 
 
 def deduplicated(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Drops messages that come again within the watermark; older repeats meet the stored hashes in the batch."""
+    """Drops messages that come again within the watermark; older repeats meet the stored hashes in the batch.
+
+    The watermark follows taken_at, when the engine reads a message, not received_at, which a phone that was offline
+    states hours later: a watermark of arrivals would drop such a message unseen.
+    """
     hashed = messages.withColumn("body_hash", text.body_hash(F.col("sender"), text.normalized(F.col("body")), F.col("received_at")))
-    return hashed.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["body_hash"])
+    return hashed.withColumn("taken_at", F.current_timestamp()).withWatermark("taken_at", late).dropDuplicatesWithinWatermark(["body_hash"])
 
 
 def _there(spark: SparkSession, path: str) -> bool:
@@ -131,7 +135,7 @@ def write_batch(identifiers: DataFrame, path: str, backfill: bool = False, forms
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        arrived = settled(batch.withColumn("day", F.to_date(_local_time())))
+        arrived = settled(batch.drop("taken_at").withColumn("day", F.to_date(_local_time())))
         days = [r["day"] for r in arrived.select("day").distinct().collect()]
         known = [f"{path}/messages/day={day}" for day in days if _there(spark, f"{path}/messages/day={day}")]
         waiting = _stored(spark, f"{path}/queue/batch={number - 1}", QUEUED)

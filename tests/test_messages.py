@@ -250,6 +250,17 @@ def test_parts_that_fail_whole_are_put_off(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(str(tmp_path / "out/messages")).where("status = 'parsed'").count() == 21
 
 
+def test_no_message_is_too_late(spark, tmp_path):
+    """One that arrived long before those of an earlier batch is parsed, one that tells of a time days before its arrival is in review."""
+    run = _stream(spark, tmp_path)
+    run("a.json", _moved(1, day=20), _moved(2, day=21))
+    run("b.json", _moved(3, day=21) | {"received_at": "2026-07-21T23:00:00Z"})
+    run("c.json", _moved(4, day=11), _moved(5, day=17) | {"received_at": "2026-07-20T19:00:00Z"})
+    run("d.json", _moved(4, day=11) | {"id": "6"})
+    found = {r["id"]: r["status"] for r in spark.read.parquet(str(tmp_path / "out/messages")).collect()}
+    assert found == {"1": "parsed", "2": "parsed", "3": "parsed", "4": "parsed", "5": "needs_review"}
+
+
 def test_no_code_is_written(spark, tmp_path):
     """No column of any folder holds a digit of a one-time code."""
     run = _stream(spark, tmp_path)
