@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tally.plans import accounts, edits, ledger, lifecycle, messages, planning, registry, review, saving, spending, upkeep  # noqa: F401  the modules register their queries
+from tally.plans import accounts, edits, ledger, lifecycle, messages, planning, registry, review, saving, spending, streamed, upkeep  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
