@@ -190,7 +190,7 @@ def _in_parts(parts: list[tuple[int, int]]) -> Column:
 
 
 def _linked(spark: SparkSession, path: str, number: int, legs: DataFrame | None, identifiers: DataFrame) -> None:
-    """Writes the batch's links, and the last days' legs as they are after it: all that the next batch reads of legs."""
+    """Writes the links of the batch's legs among each other and with those carried, and the last days' legs as they are after it: all that the next batch reads of legs."""
     was = f"{path}/recent/batch={number - 1}"
     state = spark.read.parquet(was) if _there(spark, was) else None
     if legs is not None:
@@ -198,15 +198,15 @@ def _linked(spark: SparkSession, path: str, number: int, legs: DataFrame | None,
         state = legs if state is None else state.unionByName(legs)
     if state is None:
         return
-    recent = settled(recent_legs(state))
-    links = settled(new_links(recent, identifiers))
+    carried = settled(state)  # the last days before this batch, and the batch whole: it may hold a month of them
+    links = settled(new_links(carried, identifiers))
     links.write.mode("overwrite").parquet(f"{path}/links/batch={number}")
     now = links.select(F.col("id").alias("link_id"), F.struct("is_internal", "transfer_group", "superseded_by").alias("now"))
-    both = recent.join(now, F.col("id") == F.col("link_id"), "left")
+    both = carried.join(now, F.col("id") == F.col("link_id"), "left")
     # a link that only tells of a superseding keeps the rest as it was, for it holds all three
     changed = F.col("link_id").isNotNull()
-    after = both.withColumns({c: F.when(changed, F.col(f"now.{c}")).otherwise(F.col(c)) for c in ("is_internal", "transfer_group", "superseded_by")}).select(*recent.columns)
-    after.write.mode("overwrite").parquet(f"{path}/recent/batch={number}")
+    after = both.withColumns({c: F.when(changed, F.col(f"now.{c}")).otherwise(F.col(c)) for c in ("is_internal", "transfer_group", "superseded_by")}).select(*carried.columns)
+    recent_legs(settled(after)).write.mode("overwrite").parquet(f"{path}/recent/batch={number}")
 
 
 def weekly_spend(legs: DataFrame, late: str = "7 days") -> DataFrame:
