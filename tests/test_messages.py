@@ -84,7 +84,8 @@ def test_topups_equal_brute_force(spark, seed):
             best = min(fit, key=lambda p: (abs(p[4] - t[4]), p[4], p[0]))
             taken.add(best[0])
             expected.add((t[0], best[0]))
-    assert {tuple(r) for r in linking.topup_pairs(df).collect()} == expected
+    for rows_a_block in (1, 7, linking.BLOCK_ROWS):  # cut in every slot, now and then, not at all
+        assert {tuple(r) for r in linking.topup_pairs(df, block_rows=rows_a_block).collect()} == expected
     linked = linking.linked_topups(df, spark.createDataFrame([("0",), ("1",)], "card string"))
     assert linked.count() == 80 and linked.where("kind = 'wallet_topup' AND NOT is_internal").isEmpty()
 
@@ -106,6 +107,25 @@ def test_echoes_equal_brute_force(spark, seed):
     assert linking.superseded_legs(df, pairs).count() == 2 * len(expected)
 
 
+def test_chains_across_blocks_are_as_one_pass_has_them(spark):
+    """Purchases midway between top-ups: each choice hangs on the one before, along the whole chain and over every edge of a block."""
+    rows = [(k, "purchase" if k % 2 else "wallet_topup", "0", 1.0, AT + dt.timedelta(seconds=50 * k), False) for k in range(160)]
+    df = spark.createDataFrame(rows, "id long, kind string, card string, amount double, ts timestamp_ntz, is_internal boolean")
+    assert {tuple(r) for r in linking.topup_pairs(df, block_rows=10).collect()} == {(k, k + 1) for k in range(0, 160, 2)}
+
+
+def test_a_long_chain_of_echoes(spark):
+    """Two institutions that tell of everything by turns: the first's are kept along the whole chain, found in a few rounds."""
+    told = [(k, "AB"[k % 2], AT + dt.timedelta(seconds=70 * k)) for k in range(400)]
+    legs = [(f"{k}{d}", k, i, ts, account, d, 5.0) for k, i, ts in told for account, d in (("x", "debit"), ("y", "credit"))]
+    df = spark.createDataFrame(legs, "id string, message_id long, institution string, ts timestamp_ntz, account string, direction string, amount double")
+    expected = {(max(k - 3, 0), k) for k in range(1, 400, 2)}
+    assert {tuple(r) for r in linking.echoes(df).collect()} == expected
+    odd = spark.createDataFrame([(f"{k}{d}", k, i, ts, account, d, 5.0) for k, i, ts in ((1, None, AT), (2, "A", AT), (2, "A", AT), (3, "B", AT), (4, None, None)) for account, d in (("x", "debit"), ("y", "credit"))], df.schema)
+    assert {tuple(r) for r in linking.echoes(odd).collect()} == {(1, 3)}
+    assert linking.echoes(odd.limit(0)).isEmpty() and linking.topup_pairs(_legs(spark, 1)[1].limit(0)).isEmpty()
+
+
 def test_stream_writes_each_message_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
