@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tally.functions.forms import NUMBER, SHAPES, Form
+from tally.functions.forms import DATES, NUMBER, SHAPES, Form
 from tally.functions.text import _normal
 
 #: What can be marked in a message; numbers are compared as amounts, accounts by their last digits.
@@ -40,6 +41,8 @@ def derived_form(id: str, sender: str, body: str, marks: dict[str, str], kind: s
         raise NotDerivable(f"no such field: {', '.join(sorted(unknown))}")
     if "amount" not in marks:
         raise NotDerivable("a transaction has an amount")
+    if date and date not in DATES:
+        raise NotDerivable(f"no such date pattern: {date}")
     if date and "date" not in marks:
         raise NotDerivable("a date pattern needs a marked date")
     if not account and not set(marks) & set(ACCOUNTS):
@@ -77,15 +80,54 @@ def as_row(form: Form, shape: str, created_at) -> dict:
     return {"id": form.id, "sender": form.sender, "kind": form.kind, "direction": form.direction, "date": form.date, "text": form.text, "account": form.account, "shape": shape, "created_at": created_at}
 
 
-def stored_forms(rows: DataFrame) -> tuple[Form, ...]:
-    """The forms of a table in the order in which they were made; rows that make no pattern are left out.
+def _whole(norm: Column) -> Column:
+    """A text's lines without blanks, as forms compare them."""
+    return F.transform(F.split(norm, "\n"), lambda line: F.replace(line, F.lit(" "), F.lit("")))
 
-    People make these one by one from messages that no form fits, so they are few enough to become part of a plan.
+
+def form_index(stored: DataFrame) -> DataFrame:
+    """(sender, lines, line, words, place, pattern, groups, fields, form) of each row of stored that is a form.
+
+    A form covers a message from end to end and no field crosses a line, so both have as many lines, and a line of the form
+    without a field stands in the message at the same place, but for blanks. The longest such line is what the form is looked
+    up by; a form that has none is looked up by its number of lines (line 0). place is the order in which forms were made. Rows
+    with an unknown direction, field or date pattern, without an amount, with a field given twice or a loose brace are left out.
+    """
+    names = F.regexp_extract_all("text", F.lit(r"\{(\w+)\}"), F.lit(1))
+    known = F.array(*(F.lit(n) for n in sorted({*SHAPES, *FIELDS})))
+    sound = F.col("direction").isin("debit", "credit") & F.array_contains("fields", "amount") & (F.size(F.array_distinct("fields")) == F.size("fields")) & (F.size(F.array_except("fields", known)) == 0) & (F.col("date").isNull() | F.col("date").isin(*DATES))
+    braces = F.regexp_replace("text", r"\{\w+\}", "").rlike(r"[{}]")
+    rows = stored.where("text IS NOT NULL AND sender IS NOT NULL").where(~braces).withColumn("fields", names).where(sound)
+    escaped = F.regexp_replace("text", r"([^\p{L}\p{N}_{} \n])", r"\\$1")
+    pattern = F.regexp_replace(escaped, " +", "[ ]*")
+    shape = lambda field: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SHAPES.items() for x in kv)), field), F.lit(".+?"))
+    pattern = F.aggregate("fields", pattern, lambda out, field: F.replace(out, F.concat(F.lit("{"), field, F.lit("}")), F.concat(F.lit("("), shape(field), F.lit(")"))))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(F.when(line.contains("{"), -1).otherwise(F.length(F.replace(line, F.lit(" "), F.lit("")))).alias("size"), (-i).alias("order"), F.replace(line, F.lit(" "), F.lit("")).alias("words")))
+    best = F.array_max(lines)
+    literal = best["size"] > 0
+    groups = F.array_join(F.transform(F.sequence(F.lit(1), F.size("fields")), lambda g: F.concat(F.lit("$"), g.cast("string"))), "\u0001")
+    return rows.select(
+        "sender",
+        F.size(F.split("text", "\n")).alias("lines"),
+        F.when(literal, 1 - best["order"]).otherwise(0).alias("line"),
+        F.when(literal, best["words"]).otherwise("").alias("words"),
+        F.struct("created_at", "id").alias("place"),
+        F.concat(F.lit(r"(?md)\A"), pattern, F.lit(r"\z")).alias("pattern"),
+        groups.alias("groups"),
+        "fields",
+        F.struct("id", "kind", "direction", "account", "date").alias("form"),
+    )
+
+
+def form_matches(texts: DataFrame, stored: DataFrame) -> DataFrame:
+    """(sender, norm, form, said) for the texts (sender, norm) that a stored form fits: the first made one, and what it reads.
+
+    Each line of a text is looked up among the forms' own lines, so that a text meets only the forms that have one of
+    its lines at its place, however many forms there are. A text of null, or of no form, has no row; equal texts have one.
     """
-    out = []
-    for r in rows.orderBy("created_at", "id").collect():
-        form = Form(r["id"], r["sender"], r["kind"], r["direction"], r["date"], r["text"], r["account"], whole=True)
-        names = re.findall(r"\{(\w+)\}", form.text or "")
-        if form.direction in ("debit", "credit") and "amount" in names and len(set(names)) == len(names) and set(names) <= set(SHAPES) | set(FIELDS):
-            out.append(form)
-    return tuple(out)
+    asked = texts.select("sender", "norm").distinct().withColumn("all", _whole(F.col("norm")))
+    keys = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.lit("").alias("words"))), F.transform("all", lambda line, i: F.struct((i + 1).alias("line"), line.alias("words"))))
+    met = asked.select("sender", "norm", F.size("all").alias("lines"), F.explode(keys).alias("k")).select("sender", "norm", "lines", "k.*").join(form_index(stored), ["sender", "lines", "line", "words"])
+    fit = met.where(F.rlike("norm", F.col("pattern"))).groupBy("sender", "norm").agg(F.min_by(F.struct("form", "pattern", "groups", "fields"), "place").alias("m")).select("sender", "norm", "m.*")
+    said = F.transform(F.split(F.regexp_replace("norm", F.col("pattern"), F.col("groups")), "\u0001"), lambda x: F.trim(x))
+    return fit.select("sender", "norm", "form", F.map_from_arrays("fields", said).alias("said"))

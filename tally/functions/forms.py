@@ -58,6 +58,7 @@ class Form:
 
 # The banks' wordings, after normalisation.
 DMY, YMD, ISO, DASHED, MONTH_FIRST, DAY_FIRST = "d/M/yy H:mm", "yy/M/d H:mm", "yyyy-M-d H:mm", "d-M-yyyy H:mm", "M-d H:mm", "d-M H:mm"
+DATES = (DMY, YMD, ISO, DASHED, MONTH_FIRST, DAY_FIRST)
 RAJHI, SAIB, BARQ, STC = "AlRajhiBank", "SAIB", "barq app", "STC Bank"
 FORMS = (
     Form("AR-01", RAJHI, "transfer", "credit", YMD, "حوالة داخلية واردة بSAR {amount}\nل{to}\nمن{from};{counterparty}\n{date}"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tally.functions import forms as M
 from tally.functions import periods, text
+from tally.functions.derive import form_matches
+from tally.operators.lineage import settled
 
 LEDGER_KINDS = ("purchase", "withdrawal", "transfer", "card_payment", "bill_payment", "salary", "profit", "cashback_accrual", "cashback_redeem")
 
@@ -36,21 +38,35 @@ def posted_at(raw: Column, clock: Column, number: Column, received: Column, form
     return out
 
 
-def parsed_messages(raw: DataFrame, identifiers: DataFrame, funding_account: str | None = None, cashback_account: str = "cashback_wallet", backfill: bool = False, forms=M.FORMS) -> DataFrame:
+def parsed_messages(raw: DataFrame, identifiers: DataFrame, funding_account: str | None = None, cashback_account: str = "cashback_wallet", backfill: bool = False, forms=M.FORMS, stored: DataFrame | None = None) -> DataFrame:
     """One row for each row of raw (id, sender, body, received_at in the bank's zone) with its outcome.
 
     status is parsed, ignored or needs_review, with kind, form, error, posted_at, cycle, snapshot and legs (account,
     direction, is_internal, amount). identifiers has sender, value and account, each pair of the first two once, value
-    __default__ for messages that name none; these are one owner's own accounts, a few a sender. Null bodies need a review.
+    __default__ for messages that name none; these are one owner's own accounts, a few a sender. Null bodies need a review. stored has forms that people made (derive.as_row); they are joined, by an index
+    over their lines, to the messages that none of forms fits, and the first made one that fits decides.
     """
     days = 400 if backfill else 3
     rows = raw.withColumns({"sender": text.canonical_sender(F.col("sender")), "norm": text.normalized(F.coalesce("body", F.lit("")))})
     rows = rows.withColumns({"language": text.language(F.col("norm")), "shape": text.shape_hash(F.col("norm")), "verdict": M.classified(F.col("norm"), F.col("sender"), text.SENDERS)})
-    rows = rows.withColumn("number", F.when((F.col("verdict.effect") == "snapshot") | (F.col("verdict.effect") == "ledger") & F.col("verdict.kind").isin(*LEDGER_KINDS), M.form_number(F.col("norm"), F.col("sender"), forms)))
+    booked = (F.col("verdict.effect") == "snapshot") | (F.col("verdict.effect") == "ledger") & F.col("verdict.kind").isin(*LEDGER_KINDS)
+    rows = rows.withColumn("number", F.when(booked, M.form_number(F.col("norm"), F.col("sender"), forms)))
     rows = rows.withColumn("f", F.when(F.col("number").isNotNull(), M.form_values(F.col("norm"), F.col("number"), forms)))
     column = lambda name: F.get(F.array(*(F.lit(getattr(f, name)) for f in forms)), F.col("number"))
     rows = rows.withColumns({"form": column("id"), "form_kind": column("kind"), "direction": column("direction"), "hint": column("account"), "dated": column("date").isNotNull()})
-    rows = rows.withColumn("printed_at", F.when(F.col("dated"), posted_at(said("date"), said("clock"), F.col("number"), F.col("received_at"), forms)).otherwise(F.col("received_at")))
+    printed = posted_at(said("date"), said("clock"), F.col("number"), F.col("received_at"), forms)
+    if stored is not None:
+        rows = settled(rows)
+        found = form_matches(rows.where(booked & F.col("number").isNull()), stored).select(F.col("sender").alias("__sender"), F.col("norm").alias("__norm"), F.col("form").alias("__form"), F.col("said").alias("__said"))
+        rows = rows.join(found, (F.col("sender") == F.col("__sender")) & (F.col("norm") == F.col("__norm")) & booked & F.col("number").isNull(), "left")
+        own = F.col("number").isNotNull()
+        either = {name: F.coalesce(F.col(name), F.col(f"__form.{field}")) for name, field in (("form", "id"), ("form_kind", "kind"), ("direction", "direction"))}
+        rows = rows.withColumns(either | {"hint": F.when(own, F.col("hint")).otherwise(F.col("__form.account")), "dated": F.when(own, F.col("dated")).otherwise(F.col("__form.date").isNotNull()), "f": F.coalesce("f", "__said")})
+        rows = rows.withColumn("stored_date", F.array_position(F.array(*map(F.lit, M.DATES)), F.col("__form.date")) - 1).withColumn("number", F.when(own, F.col("number")).when(F.col("__form").isNotNull(), -1))
+        by_date = tuple(M.Form("", "", "", "", pattern, "") for pattern in M.DATES)
+        printed = F.when(F.col("number") >= 0, printed).otherwise(posted_at(said("date"), said("clock"), F.col("stored_date"), F.col("received_at"), by_date))
+        rows = rows.drop("__sender", "__norm", "__form", "__said")
+    rows = rows.withColumn("printed_at", F.when(F.col("dated"), printed).otherwise(F.col("received_at")))
     # one map a sender: the planner traces a join key to its source, and that of a parsed field is a very long expression
     known = identifiers.groupBy(F.col("sender").alias("__s")).agg(F.map_from_entries(F.collect_set(F.struct("value", "account"))).alias("known"))
     rows = rows.join(known, F.col("sender") == F.col("__s"), "left").drop("__s")

@@ -254,7 +254,7 @@ def derived_form_parse(spark, d):
     amount = S.table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").cast("decimal(14,2)").cast("string").alias("a"))
     text_ = F.replace(F.replace(F.replace(F.lit(_CASH), F.lit("{a}"), F.col("a")), F.lit("{m}"), F.concat(F.lit("GATE "), (F.col("id") % 9).cast("string"))), F.lit("{d}"), printed)
     rows = rows.join(amount, "id").withColumn("body", text_).drop("a")
-    found = parser.parsed_messages(rows, spark.createDataFrame(IDENTIFIERS, "sender string, value string, account string"), forms=M.FORMS + derive.stored_forms(stored))
+    found = parser.parsed_messages(rows, spark.createDataFrame(IDENTIFIERS, "sender string, value string, account string"), stored=stored)
     return found.select("id", "form", F.get("legs", F.lit(0))["amount"].cast("double").alias("amount"), F.col("details.merchant").alias("merchant"), F.date_format("posted_at", "yyyy-MM-dd HH:mm").alias("posted_at"))
 
 

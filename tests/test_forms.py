@@ -51,11 +51,50 @@ def test_a_form_says_what_it_books(wrong):
         _made(**wrong)
 
 
-def test_stored_forms_skip_what_is_no_form(spark):
+STORED = "id string, sender string, kind string, direction string, date string, text string, account string, shape string, created_at int"
+
+
+def test_rows_that_are_no_form_are_left_out(spark):
     good = derive.as_row(_made(), "s", 2)
-    rows = [good, good | {"id": "A", "created_at": 1}, good | {"id": "B", "text": "{unknown} {amount}"}, good | {"id": "C", "text": "{amount} {amount}"}, good | {"id": "D", "direction": "up"}]
-    loaded = derive.stored_forms(spark.createDataFrame(rows, "id string, sender string, kind string, direction string, date string, text string, account string, shape string, created_at int"))
-    assert [f.id for f in loaded] == ["A", "N1"] and loaded[1] == _made()
+    wrong = ({"text": "{unknown} {amount}"}, {"text": "{amount} {amount}"}, {"text": "{amount} {x"}, {"text": "no field"}, {"text": None}, {"direction": "up"}, {"date": "week w"}, {"sender": None})
+    rows = [good, good | {"id": "A", "created_at": 1, "date": None}, *(good | {"id": f"W{k}"} | change for k, change in enumerate(wrong))]
+    kept = derive.form_index(spark.createDataFrame(rows, STORED)).select("form.id", "lines", "line", "words").orderBy("place").collect()
+    assert [tuple(r) for r in kept] == [("A", 5, 1, "رسومخدمة"), ("N1", 5, 1, "رسومخدمة")]
+
+
+def test_each_text_is_read_by_the_first_form_that_fits(spark):
+    """Forms of signs and of no line of their own among them; against each form's own pattern, tried in the order they were made."""
+    rows = [
+        M.Form("later", "s", "purchase", "debit", None, "Paid (a+b) $5\nsum {amount} SAR\nat {merchant}", None, True),
+        M.Form("first", "s", "purchase", "debit", None, "Paid (a+b) $5\nsum {amount} SAR\nat {merchant}", None, True),
+        M.Form("fields", "s", "purchase", "debit", None, "sum {amount} SAR\nat {merchant}", None, True),
+        M.Form("other", "t", "purchase", "debit", None, "sum {amount} SAR\nat {merchant}", None, True),
+        M.Form("two", "s", "purchase", "debit", None, "{merchant} {amount}\nbalance of [you] {balance}\nthe end.", None, True),
+    ]
+    made = {f.id: n for n, f in zip((4, 1, 2, 3, 5), rows)}
+    forms = sorted(rows, key=lambda f: made[f.id])
+    texts = ["Paid (a+b) $5\nsum 7.50 SAR\nat Old Mill", "Paid  (a+b)  $5\nsum 7 SAR\nat  X", "Paid aab $5\nsum 7 SAR\nat X", "sum 1,000 SAR\nat Y", "sum 1,000 SAR\nat Y\nmore", "Cafe 12\nbalance of [you] 3.5\nthe end.", "Cafe 12\nbalance of y 3.5\nthe end.", ""]
+    asked = [(s, t) for s in "stu" for t in texts] * 2 + [("s", None), (None, texts[0])]
+    stored = spark.createDataFrame([derive.as_row(f, "x", made[f.id]) for f in rows], STORED)
+    found = derive.form_matches(spark.createDataFrame(asked, "sender string, norm string"), stored)
+    expected = {}
+    for sender, norm in asked:
+        read = next(((f.id, v) for f in forms if norm and f.sender == sender and (v := derive.values_of(f, norm)) is not None), None)
+        if read:
+            expected[sender, norm] = read
+    got = found.select("sender", "norm", "form.id", "said").collect()
+    assert len(got) == len(expected) and {(r[0], r[1]): (r[2], r[3]) for r in got} == expected and len(expected) == 5
+    assert derive.form_matches(spark.createDataFrame([], "sender string, norm string"), stored).isEmpty() and derive.form_matches(spark.createDataFrame(asked, "sender string, norm string"), stored.limit(0)).isEmpty()
+
+
+def test_five_thousand_forms(spark):
+    """They are a table, so that a plan stays the same however many there are; each message meets those that have one of its lines."""
+    forms = spark.range(5000).select(F.concat(F.lit("F"), F.col("id")).alias("id"), F.lit("s").alias("sender"), F.lit("purchase").alias("kind"), F.lit("debit").alias("direction"), F.lit(None).cast("string").alias("date"), F.concat(F.lit("notice no. "), F.col("id"), F.lit("\nsum {amount} SAR\nat {merchant}")).alias("text"), F.lit("wallet").alias("account"), F.lit("x").alias("shape"), F.col("id").cast("int").alias("created_at"))
+    k = F.col("id") % 6000
+    texts = spark.range(20000).select(F.lit("s").alias("sender"), F.concat(F.lit("notice no. "), k, F.lit("\nsum "), F.col("id"), F.lit(" SAR\nat X"), k).alias("norm"))
+    found = derive.form_matches(texts, forms)
+    got = found.select(F.substring("form.id", 2, 9).cast("int").alias("k"), F.col("said.amount").cast("int").alias("sum"), F.col("said.merchant").alias("shop"))
+    assert got.count() == 15000 + 2000 and got.where("k <> sum % 6000 OR shop <> concat('X', k)").isEmpty()
 
 
 #: Message -> its shape.
