@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ def _micros(ts: Column) -> Column:
 
 
 def _blocks(rows: DataFrame, keys: list[str], reach: int, block_rows: int) -> DataFrame:
-    """(keys, slot, block, opens, closes): the block of each slot of 2 * reach microseconds that has rows, and the block's bounds.
+    """(keys, slot, n, block, opens, closes, joined): the block of each slot of 2 * reach microseconds that has rows, and the block's bounds; n counts the slot's rows.
 
     Blocks of a key are numbered in time. One ends before a slot without rows, which no pair crosses, or when it is full; joined says
     whether the block before it ends where this one begins. Blocks that no top-up and purchase could share are left out.
@@ -36,7 +37,7 @@ def _blocks(rows: DataFrame, keys: list[str], reach: int, block_rows: int) -> Da
     slots = slots.withColumn("block", F.dense_rank().over(Window.partitionBy(*keys).orderBy("run", "fill")))
     block = Window.partitionBy(*keys, "block")
     slots = slots.withColumns({"opens": F.min("slot").over(block) * long, "closes": (F.max("slot").over(block) + 1) * long, "joined": F.min("fill").over(block) > F.min("fill").over(run)})
-    return slots.select(*keys, "slot", "block", "opens", "closes", "joined")
+    return slots.select(*keys, "slot", "n", "block", "opens", "closes", "joined")
 
 
 def topup_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -57,8 +58,9 @@ def topup_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS, block_rows: int
     at = _micros(F.col("ts"))
     rows = rows.select("id", (F.col("kind") == "wallet_topup").alias("is_topup"), "card", F.round(F.col("amount") * 100).cast("long").alias("cents"), at.alias("at"), F.floor(at / (2 * reach)).alias("slot"))
     blocks = settled(_blocks(rows, keys, reach, block_rows))
-    cut = not blocks.where("joined").isEmpty()
-    dealt = rows.join(blocks, [*keys, "slot"])
+    known = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bool_or("joined"), F.lit(False)).alias("cut")).first()
+    cut, tasks = known["cut"], 1 + known["n"] // block_rows
+    dealt = rows.join(blocks.drop("n"), [*keys, "slot"])
     if cut:
         near_start, near_end = (F.col("at") < F.col("opens") + reach) & F.col("joined"), F.col("at") >= F.col("closes") - reach
         seen_by = F.when(F.col("is_topup"), F.array("block")).otherwise(F.array_compact(F.array(F.col("block"), F.when(near_start, F.col("block") - 1), F.when(near_end, F.col("block") + 1))))
@@ -70,19 +72,21 @@ def topup_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS, block_rows: int
     card, kind = (dealt.schema[c].dataType.simpleString() for c in ("card", "id"))
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "id"])
-        bought = group[~group["is_topup"] & ~group["taken"]]
-        free, out = list(zip(bought["at"], bought["id"])), []
-        for topup in group[group["is_topup"]].itertuples():
-            after = bisect_left(free, (topup.at,))
-            near = [(topup.at - free[after - 1][0], bisect_left(free, (free[after - 1][0],)))] if after else []
-            near += [(free[after][0] - topup.at, after)] if after < len(free) else []
-            if near and min(near)[0] <= reach:
-                out.append((topup.card, topup.cents, topup.block, topup.id, *free.pop(min(near)[1])))
+        group, out = group.sort_values([*keys, "block", "at", "id"]), []
+        told = zip(*(group[c].tolist() for c in (*keys, "block", "at", "id", "is_topup", "taken")))
+        for block, some in groupby(told, key=lambda row: row[:3]):
+            some = list(some)
+            free = [row[3:5] for row in some if not row[5] and not row[6]]
+            for moment, topup in (row[3:5] for row in some if row[5]):
+                after = bisect_left(free, (moment,))
+                near = [(moment - free[after - 1][0], bisect_left(free, (free[after - 1][0],)))] if after else []
+                near += [(free[after][0] - moment, after)] if after < len(free) else []
+                if near and min(near)[0] <= reach:
+                    out.append((*block, topup, *free.pop(min(near)[1])))
         return pd.DataFrame(out, columns=["card", "cents", "block", "topup_id", "at", "purchase_id"])
 
     def paired(some: DataFrame) -> DataFrame:
-        return some.groupBy(*keys, "block").applyInPandas(pair, f"card {card}, cents long, block int, topup_id {kind}, at long, purchase_id {kind}")
+        return some.groupBy(F.pmod(F.xxhash64(*keys, "block"), F.lit(tasks)).alias("task")).applyInPandas(pair, f"card {card}, cents long, block int, topup_id {kind}, at long, purchase_id {kind}")
 
     pairs = paired(dealt.withColumn("taken", F.lit(False)))
     if not cut:
@@ -93,8 +97,8 @@ def topup_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS, block_rows: int
     while True:
         takes = pairs.join(edges, [*keys, "block"]).where(F.col("at") >= F.col("closes") - reach).select(*keys, (F.col("block") + 1).alias("block"), "purchase_id").join(starts, [*keys, "block"], "left_semi")
         takes = settled(takes)
-        known = [*keys, "block", "purchase_id"]
-        again = settled(takes.join(told, known, "left_anti").union(told.join(takes, known, "left_anti")).select(*keys, "block").distinct())
+        one = [*keys, "block", "purchase_id"]
+        again = settled(takes.join(told, one, "left_anti").union(told.join(takes, one, "left_anti")).select(*keys, "block").distinct())
         if again.isEmpty():
             return pairs.select("topup_id", "purchase_id")
         left = takes.select(*keys, "block", F.col("purchase_id").alias("id"), F.lit(True).alias("taken"))
