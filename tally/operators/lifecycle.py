@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +14,18 @@ from tally.operators.linking import nearest_pairs
 
 #: How far off in amount and days a settlement may be, and in days a refund.
 SETTLE_SHARE, SETTLE_DAYS, REFUND_DAYS = 0.25, 7, 90
+#: Microseconds of a day, and rows that a task matches refunds of at a time.
+_DAY, TASK_ROWS = 86_400_000_000, 50_000
+
+
+def _place() -> Column:
+    """Account and merchant as one text."""
+    return F.to_json(F.struct("account_id", "merchant"))
+
+
+def _at() -> Column:
+    """The wall clock's microseconds."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp"), F.col("posted_at"))
 
 
 def merchant_key() -> Column:
@@ -46,6 +62,32 @@ def net_of_reversals(tx: DataFrame) -> DataFrame:
     return tx.join(back, "id", "left").select("id", F.when(F.col("reverses_transaction_id").isNotNull(), F.lit(0)).otherwise(signed + F.coalesce("back", F.lit(0))).alias("net"))
 
 
+def _last_purchases(group: pd.DataFrame) -> pd.DataFrame:
+    """For each refund the last purchase before it of at least its amount, within the days that count.
+
+    In order of time only purchases that no later one outbids can still be found: their prices fall, so one search finds the last that is high enough.
+    """
+    names = ["key", "period", "at", "is_refund", "id", "amount", "category_id"]
+    group = group[names].sort_values(["key", "period", "at", "id"])
+    out = []
+    told = zip(*(group[c].tolist() for c in names))
+    for _, some in groupby(told, key=lambda row: row[:2]):
+        open_, prices = [], []  # of the purchases that count, oldest first; prices negated
+        for at, same in groupby(some, key=lambda row: row[2]):
+            same = list(same)
+            for row in same:
+                if row[3] and (k := bisect_right(prices, -row[5]) - 1) >= 0 and at // _DAY - open_[k][2] // _DAY <= REFUND_DAYS:
+                    out.append((row[4], row[5], at, open_[k][4], open_[k][6], open_[k][5]))
+            for row in same:
+                if not row[3]:
+                    while open_ and open_[-1][5] <= row[5]:
+                        open_.pop()
+                        prices.pop()
+                    open_.append(row)
+                    prices.append(-row[5])
+    return pd.DataFrame(out, columns=["refund_id", "amount", "posted_at", "purchase_id", "category_id", "price"], dtype=object).astype({"posted_at": "int64"})
+
+
 def refunds(purchases: DataFrame, credits: DataFrame) -> DataFrame:
     """(refund_id, purchase_id, category_id, amount, refunded, outcome) of each refund that has a purchase to go with.
 
@@ -53,14 +95,19 @@ def refunds(purchases: DataFrame, credits: DataFrame) -> DataFrame:
     that one's category as a negative expense. Refunds of one purchase add up in time order; one that takes the sum
     above the purchase is for review.
     """
-    period = F.floor(F.unix_date(F.to_date("posted_at")) / REFUND_DAYS)
-    bought = purchases.select(F.col("id").alias("purchase_id"), "account_id", "merchant", "category_id", F.col("amount").alias("price"), F.col("posted_at").alias("bought_at"), F.explode(F.array(period, period + 1)).alias("period"))
-    back = credits.select(F.col("id").alias("refund_id"), "account_id", "merchant", "amount", "posted_at", period.alias("period"))
-    met = back.join(bought, ["account_id", "merchant", "period"]).where((F.col("bought_at") < F.col("posted_at")) & (F.datediff(F.to_date("posted_at"), F.to_date("bought_at")) <= REFUND_DAYS) & (F.col("amount") <= F.col("price")))
-    one = met.groupBy("refund_id", "amount", "posted_at").agg(F.max_by(F.struct("purchase_id", "category_id", "price"), F.struct("bought_at", "purchase_id")).alias("p")).select("refund_id", "amount", "posted_at", "p.*")
+    types = {name: purchases.schema[name].dataType for name in ("id", "category_id", "amount")}
+    rows = lambda df, *more: df.where("account_id IS NOT NULL AND merchant IS NOT NULL AND posted_at IS NOT NULL AND amount IS NOT NULL").select(_place().alias("key"), "id", _at().alias("at"), "amount", *more)
+    period = F.floor(F.floor(F.col("at") / _DAY) / REFUND_DAYS)
+    bought = rows(purchases, F.col("category_id").cast("string")).select(F.lit(False).alias("is_refund"), "*", F.explode(F.array(period, period + 1)).alias("period"))
+    back = rows(credits, F.lit(None).cast("string").alias("category_id")).select(F.lit(True).alias("is_refund"), "*", period.alias("period"))
+    both = bought.unionByName(back)
+    tasks = 1 + both.count() // TASK_ROWS
+    kind = {name: t.simpleString() for name, t in types.items()}
+    dealt = both.groupBy(F.pmod(F.xxhash64("key", "period"), F.lit(tasks)).alias("task"))
+    one = dealt.applyInPandas(_last_purchases, f"refund_id {credits.schema['id'].dataType.simpleString()}, amount {credits.schema['amount'].dataType.simpleString()}, posted_at long, purchase_id {kind['id']}, category_id string, price {kind['amount']}")
     so_far = F.sum("amount").over(Window.partitionBy("purchase_id").orderBy("posted_at", "refund_id").rowsBetween(Window.unboundedPreceding, 0))
     one = one.withColumn("refunded", so_far)
-    return one.select("refund_id", "purchase_id", "category_id", (-F.col("amount")).alias("amount"), "refunded", F.when(F.col("refunded") > F.col("price"), "review").otherwise("booked").alias("outcome"))
+    return one.select("refund_id", "purchase_id", F.col("category_id").cast(types["category_id"]), (-F.col("amount")).alias("amount"), "refunded", F.when(F.col("refunded") > F.col("price"), "review").otherwise("booked").alias("outcome"))
 
 
 def fee_splits(tx: DataFrame, fee_category: int) -> DataFrame:
