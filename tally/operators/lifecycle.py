@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from itertools import groupby
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tally.operators.linking import nearest_pairs
+from tally.operators.pairing import nearest_in_time
 
 #: How far off in amount and days a settlement may be, and in days a refund.
 SETTLE_SHARE, SETTLE_DAYS, REFUND_DAYS = 0.25, 7, 90
@@ -36,14 +37,20 @@ def settlements(pending: DataFrame, posted: DataFrame) -> DataFrame:
     """(pending_id, posted_id): the message that settles a hold: same account and merchant, within 7 days after, amount within 25 % or the hold a token of 1.
 
     Both have id, account_id, merchant (null never matches), amount and posted_at. A hold is settled once: the nearest pairs come first,
-    and a hold whose nearest message settled another one goes on to the next, until no message fits a hold that waits.
+    and a hold whose nearest message settled another one goes on to the next, until no message fits a hold that waits. Ids are unique.
+    Amounts lie in classes of a ratio of 1.25: a hold looks at those of its range, a token at the list of all.
     """
-    hold = pending.select(F.col("id").alias("pending_id"), "account_id", "merchant", F.col("amount").alias("held"), F.col("posted_at").alias("held_at"), F.explode(F.array(F.floor(F.unix_date(F.to_date("posted_at")) / SETTLE_DAYS), F.floor(F.unix_date(F.to_date("posted_at")) / SETTLE_DAYS) + 1)).alias("week"))
-    final = posted.select(F.col("id").alias("posted_id"), "account_id", "merchant", "amount", "posted_at", F.floor(F.unix_date(F.to_date("posted_at")) / SETTLE_DAYS).alias("week"))
-    met = hold.join(final, ["account_id", "merchant", "week"])
-    days = F.datediff(F.to_date("posted_at"), F.to_date("held_at"))
-    near = (F.abs(F.col("amount") - F.col("held")) <= F.col("held") * F.lit(str(SETTLE_SHARE)).cast("decimal(4,2)")) | (F.col("held") == 1)
-    return nearest_pairs(met.where((F.col("posted_at") >= F.col("held_at")) & (days <= SETTLE_DAYS) & near).select("pending_id", "posted_id", F.timestamp_diff("SECOND", F.col("held_at"), F.col("posted_at")).alias("apart")), "pending_id", "posted_id")
+    cents = F.round(F.col("amount") * 100).cast("long")
+    rows = lambda df: df.where("id IS NOT NULL AND account_id IS NOT NULL AND merchant IS NOT NULL AND posted_at IS NOT NULL").select("id", _place().alias("key"), _at().alias("at"), cents.alias("cents")).distinct()
+    share, token = round(SETTLE_SHARE * 100), F.col("cents") == 100
+    size = lambda c: F.when(c > 0, F.floor(F.log(c.cast("double")) / math.log(1.25))).otherwise(-1).cast("int")
+    low, high = F.col("cents") * (100 - share), F.col("cents") * (100 + share)
+    classes = F.transform(F.sequence(size(low), size(high)), lambda c: c.cast("string"))
+    left = F.lit(_DAY * (SETTLE_DAYS + 1) - 1) - F.pmod("at", F.lit(_DAY))  # to the end of the last day
+    hold = rows(pending).where("cents >= 0").select("id", "key", "at", left.alias("until"), F.when(~token, low).alias("low"), F.when(~token, high).alias("high"), F.when(token, F.array(F.lit("all"))).otherwise(classes).alias("lists"))
+    final = rows(posted).select("id", "key", "at", (F.col("cents") * 100).alias("low"), F.array_compact(F.array(F.lit("all"), F.when(F.col("cents") >= 0, size(F.col("cents") * 100).cast("string")))).alias("lists"))
+    found = nearest_in_time(hold, final, _DAY * (SETTLE_DAYS + 1), unit=1_000_000)
+    return found.select(F.col("out_id").alias("pending_id"), F.col("in_id").alias("posted_id"))
 
 
 def settled_transactions(tx: DataFrame, pairs: DataFrame) -> DataFrame:

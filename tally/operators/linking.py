@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tally.operators.lineage import settled
+from tally.operators.pairing import nearest_in_time
 
 WINDOW_SECONDS = 300
 #: Rows of one card and amount that a task pairs at a time.
@@ -172,39 +173,19 @@ def superseded_legs(legs: DataFrame, pairs: DataFrame) -> DataFrame:
     return legs.join(pairs, legs["message_id"] == pairs["echo_id"]).join(kept, ["kept_id", "account", "direction"]).select(F.col("id").alias("leg_id"), "superseded_by")
 
 
-def _buckets(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000))
-
-
-def nearest_pairs(candidates: DataFrame, mine: str, other: str) -> DataFrame:
-    """(mine, other) one to one: the nearest candidates first by (apart, mine, other), until none is left between two free sides.
-
-    A pair that is the nearest to both its sides is sure, so each round takes all of these at once; a candidate that stays
-    has both sides free. Every round settles at least the nearest of all.
-    """
-    left = settled(candidates.select(mine, other, "apart"))
-    pairs = left.select(mine, other).limit(0)
-    order = F.struct("apart", mine, other)
-    while not left.isEmpty():
-        best = left.withColumns({"__a": F.min(order).over(Window.partitionBy(mine)), "__b": F.min(order).over(Window.partitionBy(other))})
-        sure = settled(best.where((F.col("__a") == order) & (F.col("__b") == order)).select(mine, other))
-        pairs = pairs.union(sure)
-        left = settled(left.join(sure.select(mine), mine, "left_anti").join(sure.select(other), other, "left_anti").select(mine, other, "apart"))
-    return pairs
-
-
 def strict_pairs(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """(out_id, in_id): transfers matched one to one on cents and opposite direction, where either side names the other's account.
 
     legs has id, kind, account, direction, amount, ts and counterparty (the owned account that the message names, null if
-    none). Only transfers pair, never with their own account. Candidates meet in time buckets of the window's length;
-    the nearest in time pair first, ties by the ids, in rounds until no candidate is left.
+    none). Only transfers pair, never with their own account. The nearest in time pair first, ties by the ids, until no
+    candidate is left; ids are unique. A debit and a credit of one amount have a list in common if the debit names the credit's account, or
+    the credit the debit's, so pairing.nearest_in_time needs no table of candidates.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = legs.where("kind = 'transfer' AND amount IS NOT NULL").select("id", "account", "direction", "counterparty", F.round(F.col("amount") * 100).cast("long").alias("cents"), micros.alias("at"), _buckets(F.col("ts"), seconds).alias("bucket"))
-    given = rows.where("direction = 'debit'").select(F.col("id").alias("out_id"), F.col("account").alias("giver"), F.col("counterparty").alias("to"), "cents", F.col("at").alias("out_at"), F.explode(F.array(*(F.col("bucket") + k for k in (-1, 0, 1)))).alias("bucket"))
-    taken = rows.where("direction = 'credit'").select(F.col("id").alias("in_id"), F.col("account").alias("taker"), F.col("counterparty").alias("of"), "cents", F.col("at").alias("in_at"), "bucket")
-    apart = F.abs(F.col("out_at") - F.col("in_at"))
-    near = (apart <= seconds * 1_000_000) & (F.col("giver") != F.col("taker"))
-    named = lambda here, there: given.join(taken, (given["cents"] == taken["cents"]) & (given["bucket"] == taken["bucket"]) & (F.col(here) == F.col(there))).where(near).select("out_id", "in_id", apart.alias("apart"))
-    return nearest_pairs(named("to", "taker").union(named("of", "giver")).distinct(), "out_id", "in_id")
+    cents = F.round(F.col("amount") * 100).cast("long")
+    rows = legs.where("kind = 'transfer' AND amount IS NOT NULL AND ts IS NOT NULL AND account IS NOT NULL AND id IS NOT NULL").select("id", "account", "direction", "counterparty", cents.cast("string").alias("key"), _micros(F.col("ts")).alias("at")).distinct()
+    named = lambda role, account: F.concat(F.lit(role), F.col(account).cast("string"))
+    other = F.col("counterparty") != F.col("account")  # a leg that names its own account names no other side
+    side = lambda which, own, names: rows.where(F.col("direction") == which).select("id", "key", "at", F.lit(None).cast("long").alias("low"), F.array_compact(F.array(named(own, "account"), F.when(other, named(names, "counterparty")))).alias("lists"))
+    reach = seconds * 1_000_000
+    given = side("debit", "of ", "to ").withColumns({"until": F.lit(reach).cast("long"), "high": F.lit(None).cast("long")})
+    return nearest_in_time(given, side("credit", "to ", "of "), reach, both_ways=True)
