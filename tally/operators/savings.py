@@ -86,7 +86,12 @@ _ROW = "array<struct<n: int, payment: double, interest: double, principal: doubl
 
 
 def schedule(balance: Column, rate: Column, payment: Column, months: int = 600) -> Column:
-    """Payments until the balance is gone, the last one clipped; empty if a payment doesn't cover the first interest."""
+    """Payments until the balance is gone, the last one clipped; empty if a payment doesn't cover the first interest.
+
+    The formula of an annuity says how many months that takes at most, two more for rounding; the rows come from the payments themselves.
+    """
+    whole = F.when(rate > 0, -F.log1p(-balance * rate / payment) / F.log1p(rate)).otherwise(balance / payment)
+    most = F.least(F.lit(months), F.coalesce(F.when(whole < months, F.ceil(whole) + 2), F.lit(months))).cast("int")
 
     def step(done: Column, n: Column) -> Column:
         before = F.coalesce(F.try_element_at(done, F.lit(-1))["balance"], balance)
@@ -96,7 +101,7 @@ def schedule(balance: Column, rate: Column, payment: Column, months: int = 600)
         return F.when(before > 0.005, F.concat(done, F.array(row))).otherwise(done)
 
     none = F.array().cast(_ROW)
-    return F.when((balance <= 0) | (payment <= balance * rate + 0.01), none).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(months)), none, step))
+    return F.when((balance <= 0) | (payment <= balance * rate + 0.01), none).otherwise(F.aggregate(F.sequence(F.lit(1), most), none, step))
 
 
 def schedule_summary(rows: Column) -> dict[str, Column]:

@@ -71,9 +71,17 @@ def payout_status(spark, d):
     return V.payout_status(rows, dt.date(1999, 6, 1)).select("account_id", "n", "cadence", t("last_at"), t("expected_by"), "days_late", "state")
 
 
+#: Loans whose schedules a task works out.
+LOANS_A_TASK = 2000
+
+
 def loans(spark, d) -> DataFrame:
-    """One loan for each liability: principal from the balance, a yearly rate in percent or as a share, a payment."""
+    """One loan for each liability: principal from the balance, a yearly rate in percent or as a share, a payment.
+
+    Dealt over tasks: a loan is a few bytes that a small file holds many of, but its schedule is up to 600 rows.
+    """
     rows = S.accounts(spark, d).where("is_liability")
+    rows = rows.repartition(1 + rows.count() // LOANS_A_TASK, "id")
     return rows.select(F.col("id").alias("loan_id"), (F.abs("opening_balance") + 1000).cast("double").alias("balance"), F.when(F.col("id") % 24 == 0, (F.col("id") % 9 + 2).cast("double")).otherwise((F.col("id") % 9 + 2) / 100.0).alias("apr"), (50 + F.col("id") % 7 * 100).cast("double").alias("payment"))
 
 
