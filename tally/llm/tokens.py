@@ -23,6 +23,11 @@ BYTE_LEVEL = re.compile(rf"(?<=[!-~{LETTERS}])(?=[ \t\n\r])|(?<=[{LETTERS}])(?=[
 #: One blank between words: each piece gets the blank that a piece starts with, so this one is left out.
 BLANK = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
+#: Such a cut at one blank, which the piece after it begins with.
+BEFORE_BLANK = re.compile(rf"(?<=[!-~{LETTERS}]) ")
+#: Characters of a word whose count a task remembers, and words that it remembers.
+WORD_CHARS, KNOWN_WORDS = 64, 1 << 18
+
 Encode = Callable[[list[str]], list[int]]
 
 
@@ -93,7 +98,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     public one. No begin, end or other special tokens are added; strings of special tokens in a text count as the
     library counts them. Texts longer than piece characters are cut where the tokenizer's own split is sure to cut
     (byte-level files, and models none of whose pieces goes over a blank; others take a text whole), and pieces are
-    encoded in batches of about batch_bytes, so a task holds one batch's ids and no row is ever shuffled. Null and
+    encoded in batches of about batch_bytes, so a task holds one batch's ids and no row is ever shuffled. A byte-level text is cut
+    at all blanks that are sure cuts, and a task encodes a word with its blank once and then remembers its count. Null and
     empty texts have no tokens; ids may be null or repeat; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
@@ -101,6 +107,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, cuts, whole = loaded(place(tokenizer))
+        by_word, known = cuts == BYTE_LEVEL and not any(" " in s for s in whole), {}
         for batch in chunks(batches, "text", CHUNK_BYTES):
             column = batch.column(1)
             n_bytes = np.diff(text_bytes(column)[1])
@@ -112,7 +119,17 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 owners.clear()
 
             for row, text in enumerate(column):
-                for part in pieces_of(text.as_py() or "", piece, cuts, whole):
+                parts = [text.as_py() or ""]
+                if by_word:
+                    first, *words = BEFORE_BLANK.split(parts[0])
+                    if len(known) > KNOWN_WORDS:
+                        known.clear()
+                    new = [w for w in set(words).difference(known) if len(w) <= WORD_CHARS]
+                    if new:
+                        known.update(zip(new, encode([" " + w for w in new]), strict=True))
+                    parts = [first, *(" " + w for w in words if len(w) > WORD_CHARS)]
+                    found[row] = sum(known[w] for w in words if w in known) if len(parts) > 1 else sum(map(known.__getitem__, words))
+                for part in (x for p in parts for x in pieces_of(p, piece, cuts, whole)):
                     held.append(part)
                     owners.append(row)
                     size += len(part)
