@@ -144,13 +144,18 @@ def echoes(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     All kept messages within a window of the last one are of its institution (another's would have made it an echo). So
     which is kept next follows from the last kept alone: the next of its institution or the first beyond the window,
     whichever comes first. The kept ones are what these pointers reach from the messages that have none in the window before them.
+    Time is cut into views of 16 windows; only what lies near a view's edge is seen in the next one too, and a signature is its digest.
     """
     reach = seconds * 1_000_000
+    long = 16 * reach
     cents = F.round(F.col("amount") * 100).cast("long")
     told = legs.where("ts IS NOT NULL").groupBy(F.col("message_id").alias("id"), F.coalesce(F.col("institution").cast("string"), F.lit("")).alias("institution"), _micros(F.col("ts")).alias("at")).agg(F.array_sort(F.collect_list(F.struct("account", "direction", cents.alias("cents")))).alias("legs"))
-    rows = told.where(F.size("legs") == 2).select(F.to_json("legs").alias("signature"), F.struct("at", "id", "institution").alias("me"), "institution", "at", F.floor(F.col("at") / (2 * reach)).alias("slot"))
-    seen_in = lambda *by: F.explode(F.array(*(F.struct((F.col("slot") + k).alias("view"), F.lit(k == 0).alias("own")) for k in by))).alias("v")
-    view = rows.select("signature", "me", "institution", "at", "slot", seen_in(-1, 0, 1)).select("*", "v.*").drop("v")
+    rows = told.where(F.size("legs") == 2).select(F.unhex(F.md5(F.to_json("legs"))).alias("signature"), F.struct("at", "id", "institution").alias("me"), "institution", "at", F.floor(F.col("at") / long).alias("slot"))
+    within = F.col("at") - F.col("slot") * long
+    place = lambda k, when=F.lit(True): F.when(when, F.struct((F.col("slot") + k).alias("view"), F.lit(k == 0).alias("own")))
+    earlier, later = place(-1, within < 2 * reach), place(1, within >= long - reach)
+    seen_in = lambda *places: F.explode(F.array_compact(F.array(place(0), *places))).alias("v")
+    view = rows.select("signature", "me", "institution", "at", "slot", seen_in(earlier, later)).select("*", "v.*").drop("v")
     order = Window.partitionBy("signature", "view").orderBy("me")
     before, after = F.lag("at").over(order), F.lead("at").over(order)
     view = view.withColumns({"first": F.coalesce(F.col("at") - before > reach, F.lit(True)), "alone": F.coalesce(F.col("at") - before > reach, F.lit(True)) & F.coalesce(after - F.col("at") > reach, F.lit(True))})
@@ -161,7 +166,7 @@ def echoes(legs: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
     following = F.when(F.col("same.me.at") - F.col("at") <= reach, F.col("same")).otherwise(F.col("beyond"))
     nodes = settled(view.select("signature", "me", "at", "slot", "first", F.when(~following["first"], following["me"]).alias("next")))
     kept = _reached(nodes.where("first").select("me"), nodes.where("next IS NOT NULL").select("me", "next"))
-    marked = nodes.join(kept.withColumn("kept", F.lit(True)), "me", "left").select("signature", "me", "at", "slot", F.col("kept").isNotNull().alias("kept"), seen_in(0, 1)).select("*", "v.*")
+    marked = nodes.join(kept.withColumn("kept", F.lit(True)), "me", "left").select("signature", "me", "at", "slot", F.col("kept").isNotNull().alias("kept"), seen_in(later)).select("*", "v.*")
     since = Window.partitionBy("signature", "view").orderBy("at").rangeBetween(-reach, 0)
     first = F.min(F.when(F.col("kept"), F.col("me"))).over(since)
     return marked.withColumn("of", first).where("own AND NOT kept").select(F.col("of.id").alias("kept_id"), F.col("me.id").alias("echo_id"))
