@@ -119,15 +119,23 @@ def form_index(stored: DataFrame) -> DataFrame:
     )
 
 
-def form_matches(texts: DataFrame, stored: DataFrame) -> DataFrame:
+def form_matches(texts: DataFrame, stored: DataFrame, by: str | None = None, parts: int = 1) -> DataFrame:
     """(sender, norm, form, said) for the texts (sender, norm) that a stored form fits: the first made one, and what it reads.
 
     Each line of a text is looked up among the forms' own lines, so that a text meets only the forms that have one of
     its lines at its place, however many forms there are. A text of null, or of no form, has no row; equal texts have one.
+    With by, a column that numbers the texts, the result is (by, form, said), in so many parts. All messages of a form have the line
+    it is looked up by, so forms are copied parts times and each copy meets a part of the texts.
     """
-    asked = texts.select("sender", "norm").distinct().withColumn("all", _whole(F.col("norm")))
+    names = [by] if by else ["sender", "norm"]
+    asked = texts.select(by, "sender", "norm") if by else texts.select("sender", "norm").distinct()
+    asked = asked.withColumn("all", _whole(F.col("norm")))
     keys = F.concat(F.array(F.struct(F.lit(0).alias("line"), F.lit("").alias("words"))), F.transform("all", lambda line, i: F.struct((i + 1).alias("line"), line.alias("words"))))
-    met = asked.select("sender", "norm", F.size("all").alias("lines"), F.explode(keys).alias("k")).select("sender", "norm", "lines", "k.*").join(form_index(stored), ["sender", "lines", "line", "words"])
-    fit = met.where(F.rlike("norm", F.col("pattern"))).groupBy("sender", "norm").agg(F.min_by(F.struct("form", "pattern", "groups", "fields"), "place").alias("m")).select("sender", "norm", "m.*")
+    met = asked.select(*asked.columns[:-1], F.size("all").alias("lines"), F.explode(keys).alias("__key")).select(*asked.columns[:-1], "lines", "__key.*")
+    met = met.withColumn("part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
+    copies = form_index(stored).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = met.join(copies, ["sender", "lines", "line", "words", "part"])
     said = F.transform(F.split(F.regexp_replace("norm", F.col("pattern"), F.col("groups")), "\u0001"), lambda x: F.trim(x))
-    return fit.select("sender", "norm", "form", F.map_from_arrays("fields", said).alias("said"))
+    fit = met.where(F.rlike("norm", F.col("pattern"))).select(*names, "place", F.struct("form", F.map_from_arrays("fields", said).alias("said")).alias("m"))
+    fit = fit.repartition(parts, by) if by else fit
+    return fit.groupBy(*names).agg(F.min_by("m", "place").alias("m")).select(*names, "m.*")

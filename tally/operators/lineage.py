@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +23,12 @@ def settled(df: DataFrame) -> DataFrame:
     """Rows written once to the shared folder: cuts lineage, and a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns worked out once a row.
+
+    The planner puts a column's expression wherever the column is named, above all into filters, so that one named ten times is worked
+    out ten times; it does not look through the rows of an array.
+    """
+    return df.select(*(c for c in df.columns if c not in names), F.inline(F.array(F.struct(*names))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tally.functions import forms as M
 from tally.functions import periods, text
 from tally.functions.derive import form_matches
-from tally.operators.lineage import settled
+from tally.operators.lineage import once, settled
 
 LEDGER_KINDS = ("purchase", "withdrawal", "transfer", "card_payment", "bill_payment", "salary", "profit", "cashback_accrual", "cashback_redeem")
 
@@ -48,31 +48,35 @@ def parsed_messages(raw: DataFrame, identifiers: DataFrame, funding_account: str
     """
     days = 400 if backfill else 3
     rows = raw.withColumns({"sender": text.canonical_sender(F.col("sender")), "norm": text.normalized(F.coalesce("body", F.lit("")))})
-    rows = rows.withColumns({"language": text.language(F.col("norm")), "shape": text.shape_hash(F.col("norm")), "verdict": M.classified(F.col("norm"), F.col("sender"), text.SENDERS)})
+    rows = once(rows, "sender").withColumn("verdict", M.classified(F.col("norm"), F.col("sender"), text.SENDERS))
+    rows = once(rows, "verdict")
     booked = (F.col("verdict.effect") == "snapshot") | (F.col("verdict.effect") == "ledger") & F.col("verdict.kind").isin(*LEDGER_KINDS)
-    rows = rows.withColumn("number", F.when(booked, M.form_number(F.col("norm"), F.col("sender"), forms)))
-    rows = rows.withColumn("f", F.when(F.col("number").isNotNull(), M.form_values(F.col("norm"), F.col("number"), forms)))
+    rows = once(rows.withColumn("number", F.when(booked, M.form_number(F.col("norm"), F.col("sender"), forms))), "number")
+    rows = once(rows.withColumn("f", F.when(F.col("number").isNotNull(), M.form_values(F.col("norm"), F.col("number"), forms))), "f")
     column = lambda name: F.get(F.array(*(F.lit(getattr(f, name)) for f in forms)), F.col("number"))
     rows = rows.withColumns({"form": column("id"), "form_kind": column("kind"), "direction": column("direction"), "hint": column("account"), "dated": column("date").isNotNull()})
     printed = posted_at(said("date"), said("clock"), F.col("number"), F.col("received_at"), forms)
     if stored is not None:
-        rows = settled(rows)
-        found = form_matches(rows.where(booked & F.col("number").isNull()), stored).select(F.col("sender").alias("__sender"), F.col("norm").alias("__norm"), F.col("form").alias("__form"), F.col("said").alias("__said"))
-        rows = rows.join(found, (F.col("sender") == F.col("__sender")) & (F.col("norm") == F.col("__norm")) & booked & F.col("number").isNull(), "left")
+        rows = settled(rows.withColumn("__row", F.monotonically_increasing_id()).hint("rebalance", "id"))
+        # written parts are of one size, and the joined ones as many: what a task holds does not grow with the input
+        parts = max(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        found = form_matches(rows.where(booked & F.col("number").isNull()), stored, "__row", parts).withColumnsRenamed({"__row": "__number", "form": "__form", "said": "__said"})
+        rows = rows.repartition(parts, "__row").join(found, F.col("__row") == F.col("__number"), "left")
         own = F.col("number").isNotNull()
         either = {name: F.coalesce(F.col(name), F.col(f"__form.{field}")) for name, field in (("form", "id"), ("form_kind", "kind"), ("direction", "direction"))}
         rows = rows.withColumns(either | {"hint": F.when(own, F.col("hint")).otherwise(F.col("__form.account")), "dated": F.when(own, F.col("dated")).otherwise(F.col("__form.date").isNotNull()), "f": F.coalesce("f", "__said")})
         rows = rows.withColumn("stored_date", F.array_position(F.array(*map(F.lit, M.DATES)), F.col("__form.date")) - 1).withColumn("number", F.when(own, F.col("number")).when(F.col("__form").isNotNull(), -1))
         by_date = tuple(M.Form("", "", "", "", pattern, "") for pattern in M.DATES)
         printed = F.when(F.col("number") >= 0, printed).otherwise(posted_at(said("date"), said("clock"), F.col("stored_date"), F.col("received_at"), by_date))
-        rows = rows.drop("__sender", "__norm", "__form", "__said")
+        rows = rows.drop("__row", "__number", "__form", "__said")
     rows = rows.withColumn("printed_at", F.when(F.col("dated"), printed).otherwise(F.col("received_at")))
     # one map a sender: the planner traces a join key to its source, and that of a parsed field is a very long expression
     known = identifiers.groupBy(F.col("sender").alias("__s")).agg(F.map_from_entries(F.collect_set(F.struct("value", "account"))).alias("known"))
-    rows = rows.join(known, F.col("sender") == F.col("__s"), "left").drop("__s")
+    rows = rows.join(F.broadcast(known), F.col("sender") == F.col("__s"), "left").drop("__s")
     owner = lambda value: F.try_element_at("known", value)
     rows = rows.withColumns({f"{name}_owner": owner(text.last_digits(said(name))) for name in ("card", "from", "to")} | {"default_owner": owner(F.lit("__default__"))})
     rows = rows.withColumns({"account": F.coalesce("hint", "card_owner", "from_owner", "to_owner", "default_owner"), "amount": text.amount(said("amount")), "balance": text.amount(said("balance"))})
+    rows = once(rows, "printed_at", "from_owner", "to_owner", "account")
 
     effect, too_old = F.col("verdict.effect"), F.col("printed_at") < F.col("received_at") - F.expr(f"INTERVAL {days} DAYS")
     error = (
@@ -86,6 +90,7 @@ def parsed_messages(raw: DataFrame, identifiers: DataFrame, funding_account: str
     )
     rows = rows.withColumn("error", error)
     rows = rows.withColumn("status", F.when(effect == "none", "ignored").when(F.col("error").isNotNull(), "needs_review").otherwise("parsed"))
+    rows = once(rows, "error", "status")
 
     done = F.col("status") == "parsed"
     giver = F.coalesce("from_owner", F.when(F.col("direction") == "debit", F.col("hint")))
@@ -105,8 +110,8 @@ def parsed_messages(raw: DataFrame, identifiers: DataFrame, funding_account: str
     return rows.select(
         *(c for c in raw.columns if c not in MADE),
         "norm",
-        "language",
-        "shape",
+        text.language(F.col("norm")).alias("language"),
+        text.shape_hash(F.col("norm")).alias("shape"),
         "status",
         F.when(F.col("number").isNotNull(), F.col("form_kind")).otherwise(F.col("verdict.kind")).alias("kind"),
         "form",
