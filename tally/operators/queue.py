@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions import text
+from tally.operators.lineage import settled
 
 STALE = "INTERVAL 10 MINUTES"
 
@@ -52,10 +53,12 @@ def parked_shapes(parked: DataFrame) -> DataFrame:
 def parked_members(parked: DataFrame) -> DataFrame:
     """(id, shape, sender, status, messages): each message with how many its group of parked_shapes has, so that an action on the group can name them.
 
-    A row a message instead of a list a group: a shape may hold most of what waits.
+    A row a message instead of a list a group: a shape may hold most of what waits. The messages are written once, since what they
+    are read from is parsed.
     """
-    groups = parked.groupBy("shape", "sender", "status").agg(F.count("*").alias("messages"))
-    return parked.select("id", "shape", "sender", "status").join(groups, ["shape", "sender", "status"])
+    rows = settled(parked.select("id", "shape", "sender", "status"))
+    groups = rows.groupBy("shape", "sender", "status").agg(F.count("*").alias("messages"))
+    return rows.join(groups, ["shape", "sender", "status"])
 
 
 def requeued(messages: DataFrame, shape: str) -> DataFrame:
