@@ -24,6 +24,9 @@ SHARD_WORDS, HELD_WORDS = 1 << 19, 1 << 21
 BITS = 16
 #: Blocks of phrases that are shifted and met with all words' blocks at once.
 BATCH = 1 << 15
+#: Bytes of a row group about, and rows after which pages and row groups are measured. Parquet measures after 100 rows and reads a row group's
+#: columns at once: 100 shards are hundreds of MB, held by each task that writes or reads them.
+GROUP_BYTES, MEASURED_ROWS = 4 << 20, 1
 #: Parts that a language's candidates are ranked in before its best of all.
 RANK_PARTS = 64
 
@@ -177,7 +180,8 @@ def _longer(key, shard: pa.Table, pairs: pa.Table, most: int) -> pa.Table:
 
 def _written(df: DataFrame, name: str) -> str:
     """Rows as compressed Parquet in the shared folder: shards and pairs are large. Pages of many MB, which other codecs would hold twice outside the heap, go through zstd as streams."""
-    df.write.option("compression", "zstd").parquet(path := f"{shared_folder(df.sparkSession)}/phrases-{uuid.uuid4().hex}/{name}")
+    small = {"parquet.block.size": GROUP_BYTES} | {f"parquet.{what}.size.row.check.{end}": MEASURED_ROWS for what in ("block", "page") for end in ("min", "max")}
+    df.write.options(compression="zstd", **(small if name == "shards" else {})).parquet(path := f"{shared_folder(df.sparkSession)}/phrases-{uuid.uuid4().hex}/{name}")
     return path
 
 
