@@ -28,7 +28,7 @@ def settled(df: DataFrame) -> DataFrame:
 def once(df: DataFrame, *names: str) -> DataFrame:
     """df with the named columns worked out once a row.
 
-    The planner puts a column's expression wherever the column is named, above all into filters, so that one named ten times is worked
-    out ten times; it does not look through the rows of an array.
+    The planner may put a column's expression wherever the column is named, so that one named ten times is worked out ten times;
+    it does not look through the rows of an array.
     """
     return df.select(*(c for c in df.columns if c not in names), F.inline(F.array(F.struct(*names))))
