@@ -36,6 +36,15 @@ def whole_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(quoted(id_col)).alias("doc_id"), text_hash(F.col(quoted(text_col))).alias("text_hash"))
 
 
+#: Rows of a small table that one task takes, and the fewest tasks it is dealt over.
+TASK_ROWS, LEAST_TASKS = 100_000, 8
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many tasks as so many narrow rows ask for, if it has more: empty ones cost the driver as much as full ones."""
+    return df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
+
+
 #: A key of more rows than this, and than a thousandth of all, is joined by broadcast: there are at most a thousand such keys.
 HOT_ROWS = 1000
 

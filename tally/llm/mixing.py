@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tally.llm.common import settled, text_hash, whole_rows
+from tally.llm.common import gathered, settled, text_hash, whole_rows
 from tally.llm.quality import SPACES, SYMBOLS, words_of
 
 #: Rows that one window partition of a source's prefix sum holds about.
@@ -45,16 +45,17 @@ def _same_source(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.withColumnRenamed("source", "__source"), left["source"].eqNullSafe(F.col("__source"))).drop("__source")
 
 
-def _prefix(rows: DataFrame, amount: str, out: str) -> DataFrame:
+def _prefix(rows: DataFrame, amount: str, out: str, n: int | None = None) -> DataFrame:
     """Adds to each row the sum of amount over the rows of its source that come before it by (bucket, key, id, hash).
 
-    Sums within (source, bucket) and the buckets' own prefix sums add up to it, so no task takes a whole source.
+    Sums within (source, bucket) and the buckets' own prefix sums add up to it, so no task takes a whole source. Steps take as few tasks as n rows need, if it is given.
     """
+    few = (lambda df: df) if n is None else (lambda df: gathered(df, n))
     inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_last(), "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy("source", "bucket").agg(F.sum(amount).alias("__sum"))
+    buckets = few(rows.groupBy("source", "bucket").agg(F.sum(amount).alias("__sum")))
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("__sum").over(along), F.lit(0)).alias("__offset"))
-    summed = rows.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    offsets = few(buckets.select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), F.coalesce(F.sum("__sum").over(along), F.lit(0)).alias("__offset")))
+    summed = few(rows.withColumn("__inside", F.coalesce(F.sum(amount).over(inside), F.lit(0))))
     joined = summed.join(offsets, F.col("source").eqNullSafe(F.col("__source")) & (F.col("bucket") == F.col("__bucket")))
     return joined.withColumn(out, F.col("__inside") + F.col("__offset")).drop("__source", "__bucket", "__inside", "__offset")
 
@@ -69,13 +70,14 @@ def _left_over(rows: DataFrame, tolerance: float) -> DataFrame:
     missing = F.first("gap") - F.sum(F.when(F.col("once"), F.col("size")).otherwise(0))
     left = settled(rows.groupBy("source").agg(F.first("target").alias("target"), missing.alias("left")).where((F.col("left") > 0.5) & (F.col("left") > tolerance * F.col("target"))).select("source", "left"))
     free = settled(_same_source(rows.where("NOT once AND size > 0").select("row_id", "source", "bucket", "key", "doc_id", "text_hash", "size"), left))
-    found, rest = free.select("row_id").limit(0), free.where("size <= left")
-    while not (rest := settled(rest)).isEmpty():
-        rest = settled(_prefix(rest, "size", "before").withColumn("fits", F.col("before") + F.col("size") <= F.col("left")))
+    found, rest, sources, n = free.select("row_id").limit(0), settled(free.where("size <= left")), left.count(), 0
+    left = gathered(left, sources)
+    while n := rest.count():
+        rest = settled(gathered(_prefix(gathered(rest, n), "size", "before", n).withColumn("fits", F.col("before") + F.col("size") <= F.col("left")), n))
         found = found.unionByName(rest.where("fits").select("row_id"))
-        used = rest.where("fits").groupBy("source").agg(F.sum("size").alias("used"))
-        left = settled(left.join(used.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")))
-        rest = _same_source(rest.where("NOT fits").drop("left", "before", "fits"), left).where("size <= left")
+        used = gathered(rest.where("fits").groupBy("source").agg(F.sum("size").alias("used")), sources)
+        left = settled(gathered(left.join(used.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").select("source", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")), sources))
+        rest = settled(gathered(_same_source(rest.where("NOT fits").drop("left", "before", "fits"), left).where("size <= left"), n))
     smallest = _same_source(free.drop("left").join(found, "row_id", "left_anti"), left).where("size < 2 * left")
     return found.unionByName(smallest.groupBy("source").agg(F.min(F.struct("size", "key", "doc_id", "text_hash", "row_id")).alias("x")).select("x.row_id"))
 
