@@ -62,6 +62,30 @@ def hot_join(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: in
     return met.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how))
 
 
+#: Most words of 64 bits in a sieve, which is broadcast.
+SIEVE_WORDS = 1 << 19
+
+
+def sieve(table: DataFrame, column: str, n: int) -> DataFrame:
+    """(word, bits): a bit map of the n 64-bit hashes in a column of table, some 16 bits a hash and 32 MB at most; sifted takes it."""
+    words = min(SIEVE_WORDS, 1 << max(4, (n // 4).bit_length()))
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(column, 58).cast("int"))
+    return settled(table.groupBy(F.col(column).bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(mark).alias("bits"))).withColumn("words", F.lit(words))
+
+
+def sifted(rows: DataFrame, column: str, marked: DataFrame, others: bool = False) -> DataFrame:
+    """The rows whose hash may be one of those marked in a sieve, or with others those whose hash surely is none; no row is shuffled for it.
+
+    A sieve of too many hashes lets more rows pass, and a join must follow anyway. Hashes have no nulls.
+    """
+    words = marked.select("words").first()
+    if words is None:
+        return rows if others else rows.limit(0)
+    bit = F.call_function("shiftright", F.col("__bits"), F.shiftrightunsigned(column, 58).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    met = rows.withColumn("__word", F.col(column).bitwiseAND(F.lit(words[0] - 1))).join(F.broadcast(marked.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", "left" if others else "inner")
+    return met.where(F.col("__bits").isNull() | ~bit if others else bit).select(*rows.columns)
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality on these columns."""
     on = left[names[0]].eqNullSafe(right[names[0]])

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import _ODD, chunks, hot_join, mixed, run_hashes, settled, text_bytes, text_hash, word_hashes, word_spans
+from tally.llm.common import _ODD, chunks, hot_join, mixed, run_hashes, settled, sieve, sifted, text_bytes, text_hash, word_hashes, word_spans
 from tally.llm.suffixes import suffix_array
 
 #: Words of a window whose repeats are removed.
@@ -280,20 +280,21 @@ def segment_masks(segments: DataFrame, weights: DataFrame, window: int, gram: in
 
     Grams go to shards, and an FM-index of each answers. A gram with very many segments (a passage in ever new
     contexts) is no shard's: its segments are cut again, by the smallest gram of twice the length in each window, up to
-    the window itself: there a segment is its key, so the weights have decided, by 64-bit hashes, before an index is asked. Equal windows meet at each length. A gram that weighs one is left out.
+    the window itself: there a segment is its key, so the weights have decided, by 64-bit hashes, before an index is asked. Equal windows meet at each length. Segments meet no table but the few grams of very many, so
+    their words are shuffled once, to their shards.
     """
-    sizes = weights.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("weight")).where("weight > 1")
-    sizes = settled(sizes.select("key", "m", (F.col("m") > F.lit(gram_segments if gram < window else 1 << 62)).alias("large")))
-    known = {r["large"]: r["m"] for r in sizes.groupBy("large").agg(F.sum("m").alias("m")).collect()}
-    if known.get(True):
+    many, rows = settled(weights.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > F.lit(gram_segments if gram < window else 1 << 62))), weights.count()
+    known = many.agg(F.count("*").alias("keys"), F.coalesce(F.sum("m"), F.lit(0)).alias("segments")).first()
+    if known["keys"]:
         segments = settled(segments)
-    fit = segments.join(sizes.where("NOT large"), "key", "left_semi")
-    shards = 1 + known.get(False, 0) // SHARD_SEGMENTS
+    keys = F.broadcast(many.select("key")) if known["keys"] < SMALL_KEYS else many.select("key")
+    fit = segments.join(keys, "key", "left_anti") if known["keys"] else segments
+    shards = 1 + (rows - known["segments"]) // SHARD_SEGMENTS
     masks = fit.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "content", "n", "words").groupBy("shard").applyInArrow(_search_shard(window), "key long, content long, mask long")
-    if not known.get(True):
+    if not known["keys"]:
         return masks
     longer = min(2 * gram, window)
-    large = segments.join(F.broadcast(sizes.where("large").select("key")), "key", "left_semi") if known[True] // gram_segments < SMALL_KEYS else segments.join(sizes.where("large"), "key", "left_semi")
+    large = segments.join(keys, "key", "left_semi")
     cut = large.select("key", "content", "n", "words").dropDuplicates(["key", "content"]).mapInArrow(_cut_again(window, longer), "key long, content long, n long, words string, of long, within long, place int")
     # most windows of a passage in ever new contexts are unique by now, and go before their words are shuffled
     heavy = settled(cut.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
@@ -319,11 +320,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["doc_id"].dataType.simpleString()
     segments = rows.mapInArrow(_segments_of(window, gram), f"key long, content long, doc_id {kind}, text_hash long, begin int, windows int")
     twice = settled(segments.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    found = settled(hot_join(segments, twice, ["key"], "n", total).drop("n"))
+    known = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("keys")).first()
+    total = known["n"]
+    # most segments' grams occur once, and most texts hold no segment's first occurrence: those are not shuffled
+    found = settled(hot_join(sifted(segments, "key", sieve(twice, "key", known["keys"])), twice, ["key"], "n", total).drop("n"))
     distinct = settled(found.groupBy("key", "content").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "text_hash", "begin", "windows"), F.struct(F.col("text_hash"), F.col("begin"))).alias("at")))
     wanted = distinct.select("at.doc_id", "at.text_hash", F.struct("key", "content", "n", "at.begin", "at.windows").alias("segment"))
     wanted = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("segment").alias("segments")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
+    wanted = settled(wanted)
+    rows = sifted(rows, "text_hash", sieve(wanted, "__text", wanted.count()))
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__id"]) & rows["text_hash"].eqNullSafe(wanted["__text"])).select("text", "segments")
     contents = texts.mapInArrow(_contents(window), "key long, content long, n long, words string")
     masks = settled(segment_masks(contents, distinct, window, gram, gram_segments).where("mask <> 0"))
@@ -341,7 +346,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = repeated_passages(docs, id_col, text_col, window, gram, gram_segments).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "mask")).alias("hits")).withColumnsRenamed({"doc_id": "__id", "text_hash": "__text"})
     rows = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(hits, rows["doc_id"].eqNullSafe(hits["__id"]) & rows["text_hash"].eqNullSafe(hits["__text"]), "left").select("doc_id", "text", "hits")
+    hits = settled(hits)
+    marked = sieve(hits, "__text", hits.count())
+    some, others = sifted(rows, "text_hash", marked), sifted(rows, "text_hash", marked, others=True)
+    joined = some.join(hits, some["doc_id"].eqNullSafe(hits["__id"]) & some["text_hash"].eqNullSafe(hits["__text"]), "left").select("doc_id", "text", "hits")
+    joined = joined.unionByName(others.select("doc_id", "text", F.lit(None).cast(hits.schema["hits"].dataType).alias("hits")))
     return joined.mapInArrow(_kept_words(window), f"doc_id {kind}, n_words long, n_removed long, kept_text string")
 
 
