@@ -67,7 +67,7 @@ SIEVE_WORDS = 1 << 19
 
 
 def sieve(table: DataFrame, column: str, n: int) -> DataFrame:
-    """(word, bits): a bit map of the n 64-bit hashes in a column of table, some 16 bits a hash and 32 MB at most; sifted takes it."""
+    """(word, bits): a bit map of the n 64-bit hashes in a column of table, some 16 bits a hash and 4 MB at most; sifted takes it."""
     words = min(SIEVE_WORDS, 1 << max(4, (n // 4).bit_length()))
     mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(column, 58).cast("int"))
     return settled(table.groupBy(F.col(column).bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(mark).alias("bits"))).withColumn("words", F.lit(words))
