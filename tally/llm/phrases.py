@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tally.llm.common import chunks, quoted, settled, shared_folder
+from tally.llm.common import chunks, mixed, quoted, settled, shared_folder, sieve, text_bytes, word_hashes
 
 #: Upper-case letters to lower-case ones, what ends a piece to \n, tabs to blanks; other bytes to themselves.
 PLAIN = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x0A if chr(b) in ".,;:!?\n\x0b\x0c\r" else 0x20 if b == 0x09 else b for b in range(256))
@@ -27,6 +30,10 @@ BATCH = 1 << 15
 #: Bytes of a row group about, and rows after which pages and row groups are measured. Parquet measures after 100 rows and reads a row group's
 #: columns at once: 100 shards are hundreds of MB, held by each task that writes or reads them.
 GROUP_BYTES, MEASURED_ROWS = 4 << 20, 1
+#: A run's hash takes its next word's by this odd factor.
+STEP = np.uint64(0x9E3779B97F4A7C55)
+#: Parts that a language's longer phrases are summed in: so few at least, and one for so many shards.
+LEAST_PARTS, PART_SHARDS = 64, 50
 #: Parts that a language's candidates are ranked in before its best of all.
 RANK_PARTS = 64
 
@@ -89,11 +96,10 @@ class Bitmaps:
         self.begin = np.searchsorted(self.block, np.arange(len(words) // BITS + 3))
         self.order = np.argsort(self.word, kind="stable")
 
-    def extended(self, group: np.ndarray, block: np.ndarray, bits: np.ndarray, last: np.ndarray, pairs: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    def extended(self, group: np.ndarray, block: np.ndarray, bits: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, ...]:
         """Shift and AND for many phrases at once: which phrase, which word follows, the popcount, and the longer phrases' bitmaps.
 
-        group has the phrase of each block, last the last word of each phrase; pairs, if given, are the sorted numbers
-        (word * vocabulary + next word) of the pairs that may be extended.
+        group has the phrase of each block; wanted, if given, says which phrases may be extended by which words.
         """
         over = np.flatnonzero(bits >> np.uint16(BITS - 1))
         group, block, shifted = np.concatenate([group, group[over]]), np.concatenate([block, block[over] + 1]), np.concatenate([bits << np.uint16(1), np.ones(len(over), np.uint16)])
@@ -104,9 +110,8 @@ class Bitmaps:
         hit = np.flatnonzero(both)
         met, both, group = met[hit], both[hit], group[np.searchsorted(ends, hit, "right")]
         word = self.word[met]
-        if pairs is not None:
-            wanted = last[group] * self.n_words + word
-            found = pairs[np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)] == wanted
+        if wanted is not None:
+            found = wanted(group, word)
             group, word, met, both = group[found], word[found], met[found], both[found]
         key = group * self.n_words + word
         order = np.argsort(key, kind="stable")
@@ -116,8 +121,8 @@ class Bitmaps:
         again = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
         return key[first] // self.n_words, key[first] % self.n_words, counts, again, self.block[met], both
 
-    def phrases(self, least: int, most: int, pairs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Phrases of least to most words (a row of word numbers each) and their popcounts.
+    def phrases(self, least: int, most: int, wanted: Callable[[np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Phrases of least to most words (a row of word numbers each) and their popcounts; wanted takes a batch's phrases and says what may extend them.
 
         Depth-first: a stack holds batches of phrases that share a length, each at most BATCH blocks, or one phrase; the
         longer ones a batch yields are followed to their end before the next batch.
@@ -132,7 +137,7 @@ class Bitmaps:
                 at = int(np.searchsorted(group, cut))
                 stack += [(paths[cut:], group[at:] - cut, block[at:], bits[at:]), (paths[:cut], group[:at], block[:at], bits[:at])]
                 continue
-            of, word, counts, group, block, bits = self.extended(group, block, bits, paths[:, -1], pairs)
+            of, word, counts, group, block, bits = self.extended(group, block, bits, wanted and wanted(paths))
             paths = np.column_stack([paths[of], word])
             if least <= paths.shape[1] and len(paths):
                 yield paths, counts
@@ -140,74 +145,187 @@ class Bitmaps:
                 stack.append((paths, group, block, bits))
 
 
-def _local(shard: pa.Table, kept: np.ndarray, size: int) -> np.ndarray:
-    """The shard's words renumbered to their places in kept; -1 for all others."""
-    words = np.frombuffer(shard.column("words")[0].as_py(), np.int32)
+def _hashes(words: pa.Array, langs: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word in its language; seeds other than 0 take a slower hash that no text is made to defeat."""
+    langs = langs.dictionary_encode()
+    short = lambda text, salt: int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8, salt=salt.to_bytes(8)).digest())
+    of = np.array([short(lang, 0) for lang in langs.dictionary.to_pylist()], np.uint64)
+    if seed:
+        own = np.array([short(word, seed) for word in words.to_pylist()], np.uint64)
+    else:
+        data, offsets = text_bytes(words)
+        own = word_hashes(data, offsets[:-1], offsets[1:])
+    return mixed(own ^ of[langs.indices.to_numpy()]) if len(own) else own
+
+
+def _followed(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a run with one more word, of both their hashes."""
+    with np.errstate(over="ignore"):
+        return mixed(run * STEP + word)
+
+
+def _marked(frequent: DataFrame, size: int, seed: int) -> Broadcast:
+    """A bit map of the hashes of all runs of 1 to size words in these phrases (lang, phrase) of size words: 4 MB at most, and larger tables let more pass."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, phrases = batch.columns
+            words = pc.split_pattern(phrases, " ").flatten()
+            of = _hashes(words, langs.take(pa.array(np.repeat(np.arange(len(langs)), size))), seed).reshape(-1, size)
+            made = []
+            for start in range(size):
+                run = of[:, start]
+                made.append(run)
+                for end in range(start + 1, size):
+                    run = _followed(run, of[:, end])
+                    made.append(run)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(made)).view(np.int64))], names=["hash"])
+
+    hashes = settled(frequent.select("lang", "phrase").mapInArrow(runs, "hash long").distinct())
+    rows = sieve(hashes, "hash", 16 * hashes.count()).toArrow()
+    bits = np.zeros(rows["words"][0].as_py() if rows.num_rows else 1, np.uint64)
+    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return frequent.sparkSession.sparkContext.broadcast(bits)
+
+
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] >> (hashes >> np.uint64(58)) & np.uint64(1) == 1
+
+
+def _rows(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, pa.Array, np.ndarray]]:
+    """Each shard with its vocabulary, the vocabulary's language and hashes."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            named = row.column("vocabulary").flatten()
+            langs = row.column("lang").take(pa.array(np.zeros(len(named), np.int64)))
+            yield row, named, langs, _hashes(named, langs, seed)
+
+
+def _words(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    for row, named, langs, hashes in _rows(batches, seed):
+        yield pa.RecordBatch.from_arrays([langs, named, pa.array(hashes.view(np.int64)), row.column("counts").flatten()], names=["lang", "word", "hash", "n"])
+
+
+def _maps(row: pa.RecordBatch, kept: np.ndarray, size: int) -> Bitmaps:
+    """Bitmaps of the shard's kept words, numbered by their places in kept."""
     new = np.full(size + 1, -1, np.int32)  # the last is for -1, the end of a piece
     new[kept] = np.arange(len(kept), dtype=np.int32)
-    return new[words]
-
-
-def _pairs(key, shard: pa.Table, frequent: pa.Table) -> pa.Table:
-    """How often each frequent word stands right after another in the shard."""
-    found = []
-    ids, local = frequent.column("id").to_numpy(), frequent.column("local").to_numpy()
-    if shard.num_rows and frequent.num_rows:
-        maps = Bitmaps(_local(shard, local, shard.column("size")[0].as_py()), len(ids))
-        for paths, counts in maps.phrases(2, 2):
-            first, second = paths.T
-            found.append(pa.table({"first": ids[first], "second": ids[second], "a": local[first], "b": local[second], "n": counts}))
-    none = pa.table({c: pa.array([], pa.int32() if c in "ab" else pa.int64()) for c in ("first", "second", "a", "b", "n")})
-    made = pa.concat_tables([none, *found])
-    return made.add_column(0, "shard", pa.array(np.full(made.num_rows, key[0].as_py(), np.int64)))
-
-
-def _longer(key, shard: pa.Table, pairs: pa.Table, most: int) -> pa.Table:
-    """How often each phrase of 3 to most words, all of whose pairs are frequent, stands in the shard."""
-    texts, numbers, lang = [], [np.zeros(0, np.int64)], ""
-    if shard.num_rows and pairs.num_rows:
-        lang, named = shard.column("lang")[0].as_py(), shard.column("vocabulary")[0].as_py()
-        size = len(named)
-        firsts, seconds = (pairs.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
-        kept = np.unique(np.concatenate([firsts, seconds]))
-        named = [named[k] for k in kept]
-        allowed = np.unique(np.searchsorted(kept, firsts) * len(kept) + np.searchsorted(kept, seconds))
-        for paths, counts in Bitmaps(_local(shard, kept, size), len(kept)).phrases(3, most, allowed):
-            texts += [" ".join([named[k] for k in path]) for path in paths.tolist()]
+    return Bitmaps(new[np.frombuffer(row.column("words")[0].as_py(), np.int32)], len(kept))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], frequent: Broadcast, seed: int) -> Iterator[pa.RecordBatch]:
+    """How often each frequent word stands right after another in a shard; a pair is the two words' places among the frequent words' hashes."""
+    known = frequent.value
+    for row, named, _, hashes in _rows(batches, seed):
+        place = np.searchsorted(known, hashes)
+        kept = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == hashes) if len(known) else []
+        if len(kept):
+            place = place[kept]
+            for paths, counts in _maps(row, kept, len(named)).phrases(2, 2):
+                first, second = place[paths.T]
+                yield pa.RecordBatch.from_arrays([pa.array(first << 32 | second), pa.array(counts)], names=["pair", "n"])
+
+
+def _longer(batches: Iterator[pa.RecordBatch], marked: Broadcast, size: int, least: int, most: int, parts: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """How often each phrase of least to most words, all of whose runs of size words are marked, stands in a shard: a row for each part that it has phrases of."""
+    bits = marked.value
+    for row, named, langs, hashes in _rows(batches, seed):
+        kept = np.flatnonzero(_in(bits, hashes))
+        if not len(kept):
+            continue
+        own, names = hashes[kept], named.take(pa.array(kept))
+
+        def run(paths, own=own):
+            made = own[paths[:, 0]]
+            for k in range(1, paths.shape[1]):
+                made = _followed(made, own[paths[:, k]])
+            return made
+
+        def wanted(paths, own=own, run=run):
+            tail = run(paths[:, max(0, paths.shape[1] + 1 - size) :])
+            return lambda group, word: _in(bits, _followed(tail[group], own[word]))
+
+        part, texts, numbers = [], [], []
+        for paths, counts in _maps(row, kept, len(named)).phrases(least, most, wanted):
+            part.append((run(paths) % np.uint64(parts)).astype(np.int64))
+            texts.append(pc.binary_join_element_wise(*(names.take(pa.array(p)) for p in paths.T), " "))
             numbers.append(counts)
-    return pa.table({"lang": pa.array([lang] * len(texts), pa.string()), "phrase": pa.array(texts, pa.string()), "n": np.concatenate(numbers)})
+        if part:
+            part = np.concatenate(part)
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.diff(part[order], prepend=-1))
+            at = pa.array(np.append(first, len(order)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x.take(pa.array(order))) for x in (pa.concat_arrays(texts), pa.array(np.concatenate(numbers)))]
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(np.zeros(len(first), np.int64))), pa.array(part[order][first]), *lists], names=["lang", "part", "phrases", "counts"])
+
+
+def _summed(key, rows: pa.Table, support: int) -> pa.Table:
+    """The phrases of a language's part that its shards have support times together."""
+    whole = pa.table({"phrase": pc.list_flatten(rows.column("phrases")), "n": pc.list_flatten(rows.column("counts"))}).group_by("phrase").aggregate([("n", "sum")])
+    whole = whole.filter(pc.greater_equal(whole.column("n_sum"), support))
+    return pa.table({"lang": pa.array([key[0].as_py()] * whole.num_rows, pa.string()), "phrase": whole.column("phrase"), "n": whole.column("n_sum")})
 
 
 def _written(df: DataFrame, name: str) -> str:
-    """Rows as compressed Parquet in the shared folder: shards and pairs are large. Pages of many MB, which other codecs would hold twice outside the heap, go through zstd as streams."""
+    """Rows as compressed Parquet in the shared folder, in row groups of a few. Pages of many MB, which other codecs would hold twice outside the heap, go through zstd as streams."""
     small = {"parquet.block.size": GROUP_BYTES} | {f"parquet.{what}.size.row.check.{end}": MEASURED_ROWS for what in ("block", "page") for end in ("min", "max")}
-    df.write.options(compression="zstd", **(small if name == "shards" else {})).parquet(path := f"{shared_folder(df.sparkSession)}/phrases-{uuid.uuid4().hex}/{name}")
+    df.write.options(compression="zstd", **small).parquet(path := f"{shared_folder(df.sparkSession)}/phrases-{uuid.uuid4().hex}/{name}")
     return path
 
 
 def counted_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 5, support: int = 100, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Two tables: (lang, phrase, words, n), every phrase of 1 to most words found support times or more, and (lang, n), all words of a language."""
-    read = docs.sparkSession.read.parquet
-    table = read(path := _written(shards(docs, text_col, lang_col, shard_words), "shards"))
-    vocabulary = table.select("shard", "lang", F.posexplode(F.arrays_zip("vocabulary", "counts")).alias("local", "w"))
+    table = docs.sparkSession.read.parquet(_written(shards(docs, text_col, lang_col, shard_words), "shards"))
     totals = settled(table.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
-    words = vocabulary.groupBy("lang", F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("n")).where(F.col("n") >= support)
-    words = settled(words.withColumn("id", F.monotonically_increasing_id()))
-    present = vocabulary.select("shard", "local", "lang", F.col("w.vocabulary").alias("word")).join(words.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id")
-    pairs = read(path).select("shard", "words", F.size("counts").alias("size")).groupBy("shard").cogroup(present.groupBy("shard")).applyInArrow(_pairs, "shard long, first long, second long, a int, b int, n long")
-    # a shard has a pair once, so even the most common pair is a small part of the rows that are dealt by pair
-    whole = F.sum("n").over(Window.partitionBy("first", "second"))
-    kept = _written(pairs.withColumn("total", whole).where(F.col("total") >= support).drop("n"), "pairs")
-    common = settled(read(kept).groupBy("first", "second").agg(F.first("total").alias("n")))
-    named = words.select(F.col("id").alias("first"), "lang", F.col("word").alias("first_word")), words.select(F.col("id").alias("second"), F.col("word").alias("second_word"))
-    common = common.join(named[0], "first").join(named[1], "second")
-    local = read(path).drop("counts").groupBy("shard").cogroup(read(kept).select("shard", "a", "b").groupBy("shard")).applyInArrow(lambda key, left, right: _longer(key, left, right, most), "lang string, phrase string, n long")
-    longer = settled(local.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)) if most > 2 else None
-    found = words.select("lang", F.col("word").alias("phrase"), "n").unionByName(common.select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "n"))
-    found = found if longer is None else found.unionByName(longer)
+    words, seed = _hashed_words(table)
+    words = settled(words.where(F.col("n") >= support))
+    texts = table.select("lang", "words", "vocabulary")
+    parts = max(LEAST_PARTS, table.count() // PART_SHARDS)
+
+    def longer(known: DataFrame, size: int, least: int, most: int) -> DataFrame:
+        marked = _marked(known, size, seed)
+        rows = texts.mapInArrow(lambda batches: _longer(batches, marked, size, least, most, parts, seed), "lang string, part long, phrases array<string>, counts array<long>")
+        return settled(rows.groupBy("lang", "part").applyInArrow(lambda key, rows: _summed(key, rows, support), "lang string, phrase string, n long"))
+
+    known = np.sort(words.select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
+    frequent = docs.sparkSession.sparkContext.broadcast(known)
+    rows = texts.mapInArrow(lambda batches: _pairs(batches, frequent, seed), "pair long, n long")
+    pairs = settled(rows.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= support))
+    single = words.select("lang", F.col("word").alias("phrase"), "n")
+    pairs = _named(pairs, frequent, words)
+    found = single.unionByName(pairs)
+    if most > 2:
+        found = found.unionByName(triples := longer(pairs, 2, 3, 3))
+    if most > 3:
+        found = found.unionByName(longer(triples, 3, 4, most))
     return found.withColumn("words", F.size(F.split("phrase", " "))), totals
 
 
+def _named(pairs: DataFrame, frequent: Broadcast, words: DataFrame) -> DataFrame:
+    """(lang, phrase, n) of pairs (pair, n)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frequent.value.view(np.int64)
+        for batch in batches:
+            pair = batch.column("pair").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(known[pair >> 32]), pa.array(known[pair & 0xFFFFFFFF]), batch.column("n")], names=["first", "second", "n"])
+
+    first, second = words.select(F.col("hash").alias("first"), "lang", F.col("word").alias("first_word")), words.select(F.col("hash").alias("second"), F.col("word").alias("second_word"))
+    found = pairs.mapInArrow(hashed, "first long, second long, n long").join(first, "first").join(second, "second")
+    return settled(found.select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), "n"))
+
+
+def _hashed_words(table: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, word, hash, n) of all words, and the first seed by which no two of them share a hash."""
+    seed = 0
+    while True:
+        words = settled(table.select("lang", "vocabulary", "counts").mapInArrow(lambda batches, seed=seed: _words(batches, seed), "lang string, word string, hash long, n long").groupBy("lang", "word").agg(F.first("hash").alias("hash"), F.sum("n").alias("n")))
+        if words.groupBy("hash").count().where("count > 1").isEmpty():
+            return words, seed
+        seed += 1
+
+
 def _joined(words, start, length):
     return F.array_join(F.slice(words, start, length), " ")
 
@@ -231,9 +349,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     Texts are lower-cased (A-Z), cut into pieces at .,;:!? and line ends, and into words at blanks and tabs. Shards of half
     a million words of one language hold a bitmap of positions for each word, with an empty place between pieces, so that
-    no phrase goes over one. Popcounts are summed over shards three times: words, pairs of words found support times,
-    and phrases, which each shard extends depth-first while every pair in them is found support times anywhere; a
-    phrase that is found so often has no rarer part, so none is lost. Numbers are exact. A null text is empty, a null
+    no phrase goes over one. Shards stay in their files, and popcounts are summed over them four times: words, pairs of
+    words found support times, phrases of three words whose pairs are, and longer ones, which each shard extends
+    depth-first while every three words in them are found support times anywhere; a phrase that is found so often has no
+    rarer part, so none is lost. Which parts are is told by a bit map of their hashes, which lets some more pass and none
+    less; the sums decide. Words go by hashes that were seen to differ. Numbers are exact. A null text is empty, a null
     language is "und", repeated rows count again, an empty table gives no rows; a piece is never cut, so a text without
     an end of piece makes a shard as long as itself. A phrase inside a longer one with inside_percent of its count goes.
     """
